@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import license_scan, mixing, nbsvm, toxicity
+from weft.llm import license_scan, mixing, nbsvm, packing, toxicity
 from weft.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -30,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_licenses": op2_licenses,
         "op3_toxicity": op3_toxicity,
+        "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
         "op9_quality": op9_quality,
     }
