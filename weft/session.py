@@ -1,13 +1,14 @@
-"""Session helpers: shipping this package to executors, broadcast size checks."""
+"""Session helpers: shipping this package to executors, tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -23,3 +24,43 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"weft/{p.relative_to(ROOT)}")
     sc.addPyFile(path)
     sc._weft_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own (tests)."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    held = spark.sparkContext.getCheckpointDir()
+    if held:
+        return held.rstrip("/")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-ckpt-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+class Workspace:
+    """Intermediate Parquet tables of one operator call, in the shared folder.
+
+    ``write`` cuts lineage; ``drop`` deletes a table that no later plan reads.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n:03d}-{tag}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._weft_path = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            path = getattr(df, "_weft_path", None)
+            if path:
+                jvm = self.spark.sparkContext._jvm
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
