@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.session import ship
+from weft.session import Workspace, shared_dir, ship  # noqa: F401
 
 U64 = np.uint64
 #: Odd multipliers of the usual 64-bit finaliser.
@@ -23,46 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-ckpt-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-class Workspace:
-    """Intermediate Parquet tables of one operator call, in the shared folder.
-
-    ``write`` cuts lineage; ``drop`` deletes a table that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def write(self, df: DataFrame, tag: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{tag}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._weft_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = getattr(df, "_weft_path", None)
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Run ``fn`` over column lists of each Arrow batch: dict of lists in, dict of lists out."""
     ship(df.sparkSession)
