@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import license_scan, mixing, nbsvm, packing, toxicity
+from weft.llm import license_scan, mixing, nbsvm, packing, superminhash, toxicity
 from weft.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_quality": op9_quality,
     }
 
