@@ -179,3 +179,22 @@ def mix(docs: DataFrame, seed: int = 17, size: Column | None = None, share: floa
     return plain.unionByName(ranked).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as often as the mix takes it.
+
+    Decisions meet their rows by id, source and size; rows that share all three
+    divide their copies among them in the order of their texts' hashes.
+    """
+    space = Workspace(docs.sparkSession, "mixed")
+    key = [F.col("doc_id").cast("bigint").alias("_id"), F.col("source").cast("string").alias("_src"), "_size"]
+    made = mix(docs.select("doc_id", "source", "text"), seed).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_c"), F.col("size").alias("_z"))
+    made = space.write(made.agg(F.count(F.lit(1)).alias("_m"), F.sum("copies").alias("_copies")), "copies")
+    on = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_src").eqNullSafe(F.col("_c")) & (F.col("_size") == F.col("_z"))
+    rows = docs.withColumn("_size", word_count(F.col("text"))).select(*docs.columns, *key).join(made.where("_copies > 0"), on)
+    alone = rows.where("_m = 1").withColumn("_k", F.col("_copies"))
+    turn = F.row_number().over(Window.partitionBy("_id", "_src", "_size").orderBy(F.xxhash64("text")))
+    several = rows.where("_m > 1").withColumn("_k", F.floor((F.col("_copies") + F.col("_m") - turn) / F.col("_m")))
+    both = alone.unionByName(several.withColumn("_k", F.col("_k").cast("bigint")))
+    return both.where("_k > 0").withColumn("_k", F.explode(F.expr("sequence(1, _k)"))).select(*docs.columns)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import license_scan, mixing, nbsvm, packing, superminhash, toxicity
+from weft.llm import license_scan, mixing, nbsvm, packing, suffix_dedup, superminhash, toxicity
 from weft.llm.common import table
 
 
+def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -36,6 +40,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeated_strings": op1_repeated_strings,
         "op2_licenses": op2_licenses,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
