@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import license_scan, mixing, nbsvm, packing, suffix_dedup, superminhash, toxicity
+from weft.llm import embedding_dedup, license_scan, mixing, nbsvm, packing, posting_ann, suffix_dedup, superminhash, toxicity
 from weft.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeated_strings": op1_repeated_strings,
@@ -45,8 +53,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
+        "op6_embedding_links": op6_embedding_links,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_quality": op9_quality,
+        "op10_nearest": op10_nearest,
     }
 
 
