@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import embedding_dedup, license_scan, mixing, nbsvm, packing, posting_ann, suffix_dedup, superminhash, toxicity
+from weft.llm import chunk_dedup, embedding_dedup, license_scan, mixing, nbsvm, packing, posting_ann, suffix_dedup, superminhash, toxicity
 from weft.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_repeated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.removed_chunks(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
         "op6_embedding_links": op6_embedding_links,
+        "op7_repeated_chunks": op7_repeated_chunks,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_quality": op9_quality,
         "op10_nearest": op10_nearest,
