@@ -8,12 +8,11 @@ are tried in ascending order and a set stops as soon as no slot can still fall,
 so a set of n elements takes about (slots / n) log slots ranks each.
 
 Signatures are cut into bands.  Documents with equal shingle sets form a class,
-whose smallest id stands for it.  Every band bucket is searched in star rounds:
-its members are compared with the member that shares the most bucket-mates,
-then, as long as a bucket holds several components, its members are compared
-with members of the other components, block against block, so no pair of a
-bucket is left out unless a component already joins it.  Links are confirmed on
-full sets; components come from their union.
+whose smallest id stands for it.  The members of every band bucket are first compared
+with the one that shares the most bucket-mates.  Where a bucket still holds
+several components, their members are compared block against block, so no pair
+of a bucket is left out unless a component already joins it.  Links are confirmed
+on full sets; components come from their union.
 
 Null and empty texts, and texts without words, have empty sets: they link with
 nothing and are their own component.  Rows that repeat an id share its smallest
@@ -29,15 +28,11 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import U64, Workspace, map_rows, mix64, ship
 from weft.llm.textsets import shingle_sets
-from weft.operators.components import components
+from weft.operators.components import components, find
 
 BANDS, ROWS = 25, 5
-#: Star rounds before blocks are compared.
-STARS = 2
-#: Members of a bucket compared at once.
-BLOCK = 512
-#: A pair is confirmed on full sets if its signatures' agreement is within so much of the threshold, about five standard deviations.
-SLACK = 0.18
+#: Shingles of the documents that are compared at once, about.
+BLOCK = 1 << 20
 
 
 def signatures(sets: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarray:
@@ -91,7 +86,7 @@ def _signed(k: int):
                 sig = signatures(part)
                 yield {
                     "doc_id": b["doc_id"][i : i + 256], "n_shingles": [len(s) for s in part], "digest": [digest(s) if len(s) else None for s in part],
-                    "bands": list(bands_of(sig)), "sketch": [(x * U64(0x9E3779B97F4A7C15) >> U64(48)).astype(np.uint16).tobytes() for x in sig],
+                    "bands": list(bands_of(sig)),
                 }
 
     return run
@@ -145,32 +140,85 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(many, "key", "left_semi")
 
 
-def _block_pairs(num: int, den: int, slots: int):
-    least = num / den - SLACK
+def cross_links(sets: list[np.ndarray], comps: list[int], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Index pairs that join all components which links between the sides join; if there is one side only, links inside it.
+
+    An inverted index counts the intersections of one set with all others at once.
+    """
+    one = not any(side)
+    left = [i for i, x in enumerate(side) if x == 0]
+    right = left if one else [i for i, x in enumerate(side) if x]
+    if not left or not right:
+        return []
+    sizes = np.array([len(sets[i]) for i in right])
+    items = np.concatenate([sets[i] for i in right])
+    owner = np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    parent: dict = {}
+    out = []
+    for i in left:
+        own = sets[i]
+        lo, hi = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        for j in np.flatnonzero(den * both >= num * (len(own) + sizes - both)).tolist():
+            a, b = find(parent, comps[i]), find(parent, comps[right[j]])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((i, right[j]))
+    return out
+
 
+def _cross(num: int, den: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        left, right = part[part["side"] == 0], part[part["side"] == 1]
-        if len(left) and len(right):
-            sk = [np.frombuffer(b"".join(x["sketch"]), np.uint16).reshape(len(x), slots) for x in (left, right)]
-            ids, cs, ns = ([x[c].to_numpy() for x in (left, right)] for c in ("doc_id", "c", "n_shingles"))
-            for i in range(len(left)):
-                far = (cs[1] != cs[0][i]) & (den * np.minimum(ns[1], ns[0][i]) >= num * np.maximum(ns[1], ns[0][i]))
-                j = np.flatnonzero(far)
-                if len(j):
-                    j = j[(sk[1][j] == sk[0][i]).mean(axis=1) >= least]
-                    out += [(min(ids[0][i], y), max(ids[0][i], y)) for y in ids[1][j]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+        ids = part["doc_id"].tolist()
+        sets = [np.frombuffer(x, U64) for x in part["items"]]
+        found = cross_links(sets, part["c"].tolist(), part["side"].tolist(), num, den)
+        return pd.DataFrame([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found], columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def _rest(mixed: DataFrame, docs: DataFrame, space: Workspace, k: int, num: int, den: int) -> DataFrame:
+    """Links that join components which share a bucket.
+
+    Documents connected through such buckets form a cluster.  Its components are
+    dealt to blocks of about ``BLOCK`` shingles, a large component to blocks of its
+    own, and all pairs of blocks are compared on full sets, except those inside
+    one component.  A pair of blocks yields at most one link for each document.
+    """
+    head = mixed.groupBy("key").agg(F.min("doc_id").alias("h"))
+    cluster = components(mixed.join(head, "key").select("doc_id", "h"))
+    member = mixed.select("doc_id", "c").distinct().join(cluster.withColumnsRenamed({"id": "doc_id", "component": "cluster"}), "doc_id")
+    member = space.write(member, "clusters")
+    texts = docs.join(member.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = space.write(map_rows(texts, _sets(k), "doc_id bigint, items binary").join(member, "doc_id"), "cluster-sets")
+    sizes = rows.groupBy("cluster", "c").agg(F.sum(F.length("items") / 8).alias("s"))
+    small = sizes.where(F.col("s") <= BLOCK).groupBy("cluster").agg(F.sum("s").alias("small"))
+    dealt = rows.join(sizes, ["cluster", "c"]).join(small, "cluster", "left")
+    own = F.col("s") > BLOCK
+    dealt = space.write(dealt.select(
+        "cluster", "c", "doc_id", "items", own.alias("own"), F.when(own, F.col("c")).otherwise(0).alias("p"),
+        F.when(own, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("s") / BLOCK))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.coalesce("small", F.lit(1)) / BLOCK))).alias("i"),
+    ), "dealt")
+    dealt = dealt.withColumn("x", F.struct("own", "p", "i")).select("cluster", "c", "doc_id", "items", "x")
+    blocks = dealt.select("cluster", "x").distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "cluster").where("x <= y and not (x.own and y.own and x.p = y.p)")
+    one = dealt.join(pairs, ["cluster", "x"]).withColumn("side", F.lit(0))
+    two = dealt.withColumnRenamed("x", "y").join(pairs.where("x != y"), ["cluster", "y"]).withColumn("side", F.lit(1))
+    cols = ["cluster", "x", "y", "side", "doc_id", "c", "items"]
+    both = one.select(cols).unionByName(two.select(cols))
+    return space.write(both.groupBy("cluster", "x", "y").applyInPandas(_cross(num, den), "a bigint, b bigint"), "cross")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links have ``den * intersection >= num * union`` over ``k``-word shingles."""
     ship(docs.sparkSession)
     space = Workspace(docs.sparkSession, "superminhash")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = space.write(map_rows(docs, _signed(k), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"), "signed")
+    signed = space.write(map_rows(docs, _signed(k), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "signed")
     some = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     # Classes of equal sets; the smallest id stands for each.
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -183,43 +231,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     weight = shared.groupBy("doc_id").agg(F.sum(F.log2(F.col("n").cast("double"))).alias("w"))
     members = space.write(shared.select("key", "doc_id").join(weight, "doc_id"), "members")
     space.drop(shared)
-    links = []
-    current = _labelled(members, docs.sparkSession.createDataFrame([], "id bigint, component bigint"))
-    comps = None
-    for _ in range(STARS):
-        # The member that shares the most bucket-mates is nearest to the middle of its group.
-        head = current.groupBy("key").agg(F.max(F.struct(F.col("w"), -F.col("doc_id"), F.col("c"))).alias("h")).select("key", (-F.col("h")["col2"]).alias("head"), F.col("h")["c"].alias("hc"))
-        pairs = current.join(head, "key").where(F.col("c") != F.col("hc")).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
-        links.append(_confirm(pairs, docs, space, k, num, den))
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        comps = space.write(components(every), "components")
-        current = space.write(_mixed(_labelled(members, comps)), "mixed")
-        if current.isEmpty():
-            break
-    else:
-        links.append(_confirm(_candidates(current, reps, space, num, den), docs, space, k, num, den))
-    every = member
-    for x in links:
-        every = every.unionByName(x)
-    comps = space.write(components(every), "components")
+    # The member that shares the most bucket-mates is nearest to the middle of its group.
+    head = members.groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("doc_id")).alias("m"))).alias("h")).select("key", (-F.col("h.m")).alias("head"))
+    pairs = members.join(head, "key").where(F.col("doc_id") != F.col("head")).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
+    links = _confirm(pairs, docs, space, k, num, den)
+    mixed = space.write(_mixed(_labelled(members, space.write(components(links), "stars"))), "mixed")
+    if not mixed.isEmpty():
+        links = links.unionByName(_rest(mixed, docs, space, k, num, den))
+    comps = space.write(components(member.unionByName(links)), "components")
     out = signed.select("doc_id", "n_shingles").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _candidates(mixed: DataFrame, reps: DataFrame, space: Workspace, num: int, den: int) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures agree enough; every pair of a bucket is looked at, block against block."""
-    spread = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m")), "key")
-    spread = spread.join(reps.select("doc_id", "sketch", "n_shingles"), "doc_id").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("m")).cast("int"))
-    left = spread.withColumn("j", F.explode(F.expr("sequence(i, m - 1)"))).withColumn("side", F.lit(0)).withColumn("bi", F.col("i"))
-    right = spread.withColumn("bi", F.explode(F.expr("sequence(0, i)"))).withColumn("side", F.lit(1)).withColumn("j", F.col("i"))
-    cols = ["key", "bi", "j", "side", "doc_id", "c", "n_shingles", "sketch"]
-    both = left.select(cols).unionByName(right.select(cols))
-    return both.groupBy("key", "bi", "j").applyInPandas(_block_pairs(num, den, BANDS * ROWS), "a bigint, b bigint")
-
-
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that stand for their group: the smallest doc_id; rows without id stay."""
     found = near_duplicates(docs.select("doc_id", "text"), k, num, den)
