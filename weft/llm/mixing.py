@@ -38,6 +38,8 @@ MOST = 2
 FIT_WORDS = 1 << 16
 #: The join with the plan spreads one length's documents over so many keys.
 SALTS = 32
+#: Rows of about 100 bytes that are broadcast at most.
+BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -124,10 +126,17 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, fit_words:
 
 
 def _matched(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on source, size and the rows' salt; ``plan`` has a row for each source and size, and is copied to every salt."""
-    copies = plan.withColumnsRenamed({"source": "_s", "size": "_n"}).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")) & (F.col("_salt") == F.col("_t"))
-    return rows.join(copies, on, how).drop("_s", "_n", "_t")
+    """Join on source and size; ``plan`` has one row for each at most.
+
+    A plan of up to ``BROADCAST_ROWS`` rows, which are counted, is broadcast.  A
+    larger one is copied to every salt, so a common length meets in many tasks.
+    """
+    plan = plan.withColumnsRenamed({"source": "_s", "size": "_n"})
+    on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
+    if plan.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(plan), on, how).drop("_s", "_n")
+    copies = plan.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return rows.join(copies, on & (F.col("_salt") == F.col("_t")), how).drop("_s", "_n", "_t")
 
 
 def mix(docs: DataFrame, seed: int = 17, size: Column | None = None, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -170,6 +179,7 @@ def mix(docs: DataFrame, seed: int = 17, size: Column | None = None, share: floa
         counts.withColumn("before", before).where((F.col("before") < F.col("take")) & (F.col("before") + F.col("c") >= F.col("take")))
         .select(*key, F.col("_b").alias("edge"), (F.col("take") - F.col("before")).alias("rest"))
     )
+    edge = space.write(edge, "edges")
     marked = _matched(joined, edge, "left")
     at_edge = F.col("edge").isNotNull() & (F.col("_b") == F.col("edge"))
     # Documents outside the bucket in which their length's selection ends need no rank.
