@@ -37,7 +37,7 @@ LENGTH = 400
 #: Gram sizes, finer and finer, as shares of the window.
 GRAMS = (0.4, 0.64, 0.96, 1.0)
 #: Bytes whose suffixes one array holds.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Longer texts are keyed piece by piece.
 PIECE = 1 << 20
 #: Up to so many documents, their ids are broadcast to keep other texts out of a join: 16 bytes each.
@@ -99,7 +99,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     t = triple[order]
     name = np.empty(len(t), np.int64)
     name[order] = np.concatenate([[1], 1 + np.cumsum(t[1:] != t[:-1])])
+    del triple
     if name[order[-1]] < len(t):
+        del t
         order = suffix_array(name)
     sample = pos[order]
     rank = np.zeros(n + 5, np.int64)
@@ -342,7 +344,7 @@ def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, ke
         rows = space.write(one.join(several, "key", "left_semi"), "rows")
     ready = rows if ready is None else ready.unionByName(rows)
     total = ready.agg(F.sum(F.length("body"))).first()[0] or 0
-    parts = max(1, int(total // (8 * block)), min(64, int(total // block)))
+    parts = max(1, int(total // (256 * block)), min(64, int(total // block)))
     solved = space.write(map_rows(ready.repartition(parts, "key").sortWithinPartitions("key", "sub"), _blocks(length), "key bigint, sub bigint, spans binary, firsts binary"), "solved")
     space.drop(rows)
     # What was found under finer keys goes back to the runs it came from.
