@@ -8,8 +8,9 @@ are tried in ascending order and a set stops as soon as no slot can still fall,
 so a set of n elements takes about (slots / n) log slots ranks each.
 
 Signatures are cut into bands.  Documents with equal shingle sets form a class,
-whose smallest id stands for it.  The members of every band bucket are first compared
-with the one that shares the most bucket-mates.  Where a bucket still holds
+whose smallest id stands for it.  Of the members of each band bucket, the one
+that shares the most bucket-mates is the head, and every document is first
+compared with the best head of its buckets.  Where a bucket still holds
 several components, their members are compared block against block, so no pair
 of a bucket is left out unless a component already joins it.  Links are confirmed
 on full sets; components come from their union.
@@ -232,8 +233,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     members = space.write(shared.select("key", "doc_id").join(weight, "doc_id"), "members")
     space.drop(shared)
     # The member that shares the most bucket-mates is nearest to the middle of its group.
-    head = members.groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("doc_id")).alias("m"))).alias("h")).select("key", (-F.col("h.m")).alias("head"))
-    pairs = members.join(head, "key").where(F.col("doc_id") != F.col("head")).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
+    head = members.groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("doc_id")).alias("m"))).alias("h")).select("key", (-F.col("h.m")).alias("head"), F.col("h.w").alias("hw"))
+    # Each document meets the best head of all its buckets; the rest is left to the blocks.
+    best = members.join(head, "key").where(F.col("doc_id") != F.col("head")).groupBy("doc_id").agg(F.max(F.struct("hw", (-F.col("head")).alias("m"))).alias("h"))
+    pairs = best.withColumn("head", -F.col("h.m")).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
     links = _confirm(pairs, docs, space, k, num, den)
     mixed = space.write(_mixed(_labelled(members, space.write(components(links), "stars"))), "mixed")
     if not mixed.isEmpty():
