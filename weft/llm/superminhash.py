@@ -34,6 +34,8 @@ from weft.operators.components import components, find
 BANDS, ROWS = 25, 5
 #: Shingles of the documents that are compared at once, about.
 BLOCK = 1 << 20
+#: Ids of 8 bytes that are broadcast at most.
+BROADCAST_IDS = 2_000_000
 
 
 def signatures(sets: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarray:
@@ -116,11 +118,17 @@ def _confirmed(num: int, den: int):
     return run
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents with an id in ``ids``, which are broadcast if there are at most BROADCAST_IDS, so texts stay where they are."""
+    small = ids.count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, space: Workspace, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet ``den * intersection >= num * union``."""
     pairs = space.write(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = space.write(map_rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), _sets(k), "doc_id bigint, items binary"), "sets")
+    ids = space.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    sets = space.write(map_rows(_only(docs, ids), _sets(k), "doc_id bigint, items binary"), "sets")
     joined = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
@@ -194,8 +202,7 @@ def _rest(mixed: DataFrame, docs: DataFrame, space: Workspace, k: int, num: int,
     cluster = components(mixed.join(head, "key").select("doc_id", "h"))
     member = mixed.select("doc_id", "c").distinct().join(cluster.withColumnsRenamed({"id": "doc_id", "component": "cluster"}), "doc_id")
     member = space.write(member, "clusters")
-    texts = docs.join(member.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = space.write(map_rows(texts, _sets(k), "doc_id bigint, items binary").join(member, "doc_id"), "cluster-sets")
+    rows = space.write(map_rows(_only(docs, member.select("doc_id")), _sets(k), "doc_id bigint, items binary").join(member, "doc_id"), "cluster-sets")
     sizes = rows.groupBy("cluster", "c").agg(F.sum(F.length("items") / 8).alias("s"))
     small = sizes.where(F.col("s") <= BLOCK).groupBy("cluster").agg(F.sum("s").alias("small"))
     dealt = rows.join(sizes, ["cluster", "c"]).join(small, "cluster", "left")
@@ -227,13 +234,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     reps = some.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     # Buckets of one member have nothing to compare.
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Tables of buckets are written before they are joined, so Spark can split the join of a hot bucket.
+    sizes = space.write(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     shared = space.write(keys.join(sizes, "key"), "buckets")
     weight = shared.groupBy("doc_id").agg(F.sum(F.log2(F.col("n").cast("double"))).alias("w"))
     members = space.write(shared.select("key", "doc_id").join(weight, "doc_id"), "members")
     space.drop(shared)
     # The member that shares the most bucket-mates is nearest to the middle of its group.
     head = members.groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("doc_id")).alias("m"))).alias("h")).select("key", (-F.col("h.m")).alias("head"), F.col("h.w").alias("hw"))
+    head = space.write(head, "heads")
     # Each document meets the best head of all its buckets; the rest is left to the blocks.
     best = members.join(head, "key").where(F.col("doc_id") != F.col("head")).groupBy("doc_id").agg(F.max(F.struct("hw", (-F.col("head")).alias("m"))).alias("h"))
     pairs = best.withColumn("head", -F.col("h.m")).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
