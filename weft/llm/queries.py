@@ -65,5 +65,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Components of the links l(a, b) among the ids n(id): the smallest id that can be reached.
+_COMPONENTS = """e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT n.id, least(n.id, coalesce(min(r.b), n.id)) AS component_id FROM n LEFT JOIN r ON r.a = n.id GROUP BY n.id)"""
+
+OP6_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id AS id FROM v),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.93), {_COMPONENTS}
+SELECT id AS vec_id, (SELECT count(*) FROM e WHERE a = id) AS n_links, component_id, component_id = id AS kept FROM c"""
+
+OP8_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+g AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS (SELECT id, CAST(len(s) AS BIGINT) AS size FROM g), u AS (SELECT id, unnest(s) AS s FROM g), i AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM u p JOIN u q ON p.s = q.s AND p.id < q.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 85 * (x.size + y.size - k)), {_COMPONENTS}
+SELECT c.id AS doc_id, n.size AS n_shingles, component_id, component_id = c.id AS kept FROM c JOIN n ON n.id = c.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that joins and a closure can express; the others rest on models, hashes or dynamic programs."""
+    return {"op6_embedding_links": OP6_SQL, "op8_near_duplicates": OP8_SQL}
