@@ -242,7 +242,8 @@ def _blocks(length: int):
     def solve(rows: dict) -> dict:
         got = repeats([r[0] for r in rows.values()], [r[1] for r in rows.values()], [((r[2], r[3]), r[4]) for r in rows.values()], length)
         keep = [(k, g) for k, g in zip(rows, got) if g]
-        return {"key": [k[0] for k, _ in keep], "sub": [k[1] for k, _ in keep], "spans": [g[0] for _, g in keep], "firsts": [g[1] for _, g in keep]}
+        out = {"key": [k[0] for k, _ in keep], "sub": [k[1] for k, _ in keep], "spans": [g[0] for _, g in keep], "firsts": [g[1] for _, g in keep]}
+        return out | {c: [rows[k][i] for k, _ in keep] for c, i in (("d", 2), ("t", 3), ("start", 4))}
 
     def run(batches):
         rows: dict = {}
@@ -262,6 +263,20 @@ def _blocks(length: int):
     return run
 
 
+def _raised(batches):
+    """Repeats of a finer run as repeats of the run that holds it; only the run in which a string stands first keeps it as such."""
+
+    def shift(raw: bytes, by: int) -> bytes:
+        return (np.frombuffer(raw, np.int32) + np.int32(by)).tobytes()
+
+    for b in batches:
+        same = zip(b["firsts"], b["rel"], b["here"])
+        yield {
+            "key": b["up_key"], "sub": b["up_sub"], "spans": [shift(x, r) for x, r in zip(b["spans"], b["rel"])], "firsts": [shift(x, r) if h else b"" for x, r, h in same],
+            "d": b["d"], "t": b["t"], "start": [x - r for x, r in zip(b["start"], b["rel"])],
+        }
+
+
 def _places(first: bool):
     """Repeated windows of each occurrence, as pairs of int64."""
 
@@ -271,11 +286,11 @@ def _places(first: bool):
     def run(batches):
         for b in batches:
             out = []
-            for spans, firsts, start, rel, own in zip(b["spans"], b["firsts"], b["start"], b["rel"], b["own"]):
+            for spans, firsts, start, own in zip(b["spans"], b["firsts"], b["start"], b["own"]):
                 p = pairs(spans)
                 if first and own and firsts:
                     p = minus(p, pairs(firsts))
-                out.append((p.astype(np.int64) + (start + rel)).tobytes())
+                out.append((p.astype(np.int64) + start).tobytes())
             yield {"d": b["d"], "t": b["t"], "p": out}
 
     return run
@@ -319,6 +334,8 @@ def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, ke
     docs = _identified(docs)
     occ = space.write(map_rows(docs.where(F.octet_length("text") >= length), _keyed(length), "key bigint, sub bigint, d bigint, t bigint, start bigint, n int"), "runs")
     twice = occ.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    # Written before it is joined, so Spark can split the join of a key that many texts hold.
+    twice = space.write(twice, "twice")
     cand = space.write(occ.join(twice, "key"), "shared")
     space.drop(occ)
     first = F.min(F.struct("d", "t", "start")).alias("f")
@@ -338,23 +355,26 @@ def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, ke
         finer = space.write(
             map_rows(rows.join(heavy, "key", "left_semi"), _finer(length, max(1, int(length * share))), f"{body}, up_key bigint, up_sub bigint, rel int"), "finer"
         )
-        maps.append(finer.select("key", "sub", "up_key", "up_sub", "rel"))
+        maps.append(finer.select("key", "sub", "up_key", "up_sub", "rel", F.col("d").alias("md"), F.col("t").alias("mt"), F.col("start").alias("ms")))
         one = finer.groupBy("key", "sub").agg(F.sum("w").alias("w"), F.min(F.struct("d", "t", "start", "body")).alias("f")).select("key", "sub", "w", "f.*")
         several = finer.groupBy("key").agg(F.sum("w").alias("w")).where("w > 1").select("key")
         rows = space.write(one.join(several, "key", "left_semi"), "rows")
     ready = rows if ready is None else ready.unionByName(rows)
     total = ready.agg(F.sum(F.length("body"))).first()[0] or 0
     parts = max(1, int(total // (256 * block)), min(64, int(total // block)))
-    solved = space.write(map_rows(ready.repartition(parts, "key").sortWithinPartitions("key", "sub"), _blocks(length), "key bigint, sub bigint, spans binary, firsts binary"), "solved")
+    result = "key bigint, sub bigint, spans binary, firsts binary, d bigint, t bigint, start bigint"
+    solved = space.write(map_rows(ready.repartition(parts, "key").sortWithinPartitions("key", "sub"), _blocks(length), result), "solved")
     space.drop(rows)
-    # What was found under finer keys goes back to the runs it came from.
-    found = solved.withColumn("rel", F.lit(0))
+    # What was found under finer keys goes back to the runs it came from, one row for each of them.
+    found = solved
+    joined = lambda c: F.aggregate(F.collect_list(c), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x)).alias(c)
     for m in reversed(maps):
-        up = found.join(m.withColumnRenamed("rel", "step"), ["key", "sub"]).select(F.col("up_key").alias("key"), F.col("up_sub").alias("sub"), "spans", "firsts", (F.col("rel") + F.col("step")).alias("rel"))
-        found = found.unionByName(up)
-    at = cand.join(found, ["key", "sub"]).join(dist.select("key", "sub", "f"), ["key", "sub"])
-    own = F.struct("d", "t", "start") == F.col("f")
-    places = map_rows(at.select("d", "t", "start", "rel", "spans", "firsts", own.alias("own")), _places(keep_first), "d bigint, t bigint, p binary")
+        up = found.join(m, ["key", "sub"]).select("up_key", "up_sub", "rel", "spans", "firsts", (F.struct("d", "t", "start") == F.struct("md", "mt", "ms")).alias("here"), F.col("md").alias("d"), F.col("mt").alias("t"), F.col("ms").alias("start"))
+        up = map_rows(up, _raised, result).groupBy("key", "sub").agg(joined("spans"), joined("firsts"), *(F.first(c).alias(c) for c in ("d", "t", "start")))
+        found = space.write(solved.unionByName(up), "found")
+    at = cand.join(found.withColumnsRenamed({"d": "fd", "t": "ft", "start": "fs"}), ["key", "sub"])
+    own = F.struct("d", "t", "start") == F.struct("fd", "ft", "fs")
+    places = map_rows(at.select("d", "t", "start", "spans", "firsts", own.alias("own")), _places(keep_first), "d bigint, t bigint, p binary")
     return space.write(places.groupBy("d", "t").agg(F.collect_list("p").alias("p")), "windows")
 
 
