@@ -104,27 +104,39 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, fit_words:
     bulk = max(0, budget - fit_words)
     taken = np.minimum(counts, (counts * (bulk / total)).astype(np.int64)) if total else taken
     left = budget - int((lengths * taken).sum())
-    # Single documents of the most common lengths, until the exact program can take over.
-    for i in np.argsort(-(counts - taken), kind="stable"):
-        if left <= fit_words:
-            break
-        if lengths[i]:
-            n = min(int(counts[i] - taken[i]), (left - fit_words) // int(lengths[i]))
-            taken[i] += n
-            left -= n * int(lengths[i])
+    # Then documents of the longest lengths, until the exact program can take over.
     for i in np.argsort(-lengths, kind="stable"):
         if left <= fit_words:
             break
         if lengths[i]:
-            n = min(int(counts[i] - taken[i]), left // int(lengths[i]))
+            n = min(int(counts[i] - taken[i]), -(-(left - fit_words) // int(lengths[i])), left // int(lengths[i]))
             taken[i] += n
             left -= n * int(lengths[i])
     if left > 0:
-        more, _ = knapsack([int(x) for x in lengths], [int(x) for x in counts - taken], min(left, 2 * fit_words))
+        more, _ = knapsack([int(x) for x in lengths], [int(x) for x in counts - taken], left)
         taken += np.array(more, np.int64)
     return taken
 
 
+def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST, fit_words: int = FIT_WORDS) -> np.ndarray:
+    """Copies of the documents of each length, at most ``most`` of a document, for ``target`` words.
+
+    Whole passes come first. Where that leaves words over and the target is small,
+    the program is run on all copies from the start.
+    """
+    total = int((lengths * counts).sum())
+    if not total:
+        return np.zeros(len(lengths), np.int64)
+    whole = min(most, int(target // total))
+    out = counts * whole
+    if whole < most:
+        out = out + fit_lengths(lengths, counts, int(target) - whole * total, fit_words)
+        if int((lengths * out).sum()) < int(target) <= 4 * fit_words:
+            better, reached = knapsack([int(x) for x in lengths], [int(x) * most for x in counts], int(target))
+            out = np.array(better, np.int64) if reached > int((lengths * out).sum()) else out
+    return out
+
+
 def _matched(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
     """Join on source and size; ``plan`` has one row for each at most.
 
@@ -158,11 +170,9 @@ def mix(docs: DataFrame, seed: int = 17, size: Column | None = None, share: floa
 
     def plan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("size")
-        total, target = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
-        whole = min(most, int(target // total)) if total else 0
-        left = int(target - whole * total) if whole < most else 0
-        take = fit_lengths(part["size"].to_numpy(np.int64), part["n"].to_numpy(np.int64), left) if left > 0 else np.zeros(len(part), np.int64)
-        return part.assign(whole=np.int64(whole), take=take)[["source", "size", "n", "source_size", "target", "whole", "take"]]
+        lengths, n = part["size"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+        copies = fit_source(lengths, n, float(part["target"].iloc[0]), most)
+        return part.assign(whole=copies // n, take=copies % n)[["source", "size", "n", "source_size", "target", "whole", "take"]]
 
     planned = space.write(
         hist.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
