@@ -109,7 +109,9 @@ class Matcher:
                     lo, hi = a, b
             merged.append((lo, hi))
             for a, b in merged:
-                for m in self.patterns[n].finditer(norm, a, min(b, len(norm))):
+                # Whole words, as the pattern asks for their ends.
+                a, b = norm.rfind(" ", 0, a) + 1, norm.find(" ", min(b, len(norm)))
+                for m in self.patterns[n].finditer(norm, a, len(norm) if b < 0 else b):
                     found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
         return sorted(found)
 
