@@ -131,3 +131,26 @@ def test_empty_graph_statistics(spark):
     row = lookup.compute_stats(e).first()
     assert row["nodes"] == row["edges"] == row["components"] == 0 and not row["has_cycle"]
     assert lookup.looks_layerable(e).first()[0] and condense.component_summary(condense.weak_components(e)).first()["largest"] == 0
+
+
+#: Data item, direction and edge item of an example sheet; A stands for A1..A4.
+EXAMPLE = "DA O EA/DB I EA/DC I EA/DA I EB/DD O EB/DE O EB/DD I EC/DF O EC/DE I ED/DG O ED/DF I EE/DH O EE/DG I EF/DH I EF/DC O EF/DB O EC/DA I EE/DH O EA/DF I EB/DG I EA"
+
+
+def test_example_sheet(spark):
+    rows = [r.split() for r in EXAMPLE.split("/")]
+    sheet = [HEAD, *([*(f"{d}{i}" for i in range(1, 5)), w, *(f"{e}{i}" for i in range(1, 5)), "t"] for d, w, e in rows)]
+    nodes, found = tabular.sheet_to_graph(spark, sheet)
+    edges = found.withColumnsRenamed({"source": "src", "target": "dst"})
+    row = lookup.compute_stats(edges, nodes).first()
+    assert (row["nodes"], row["edges"], row["max_node"], row["max_degree"], row["avg_out"], row["density"], row["components"], row["has_cycle"]) == (14, 20, "EA4.EA3.EA2.EA1", 5, 1.43, 0.11, 1, True)
+    assert condense.component_summary(condense.strong_components(edges), "scc").first()["largest"] == 14
+
+
+def test_command_line(spark, tmp_path):
+    from weft import cli
+
+    (tmp_path / "g.txt").write_text(MINIMAL, encoding="utf-8")
+    for name in ("a.svg", "a.html"):
+        assert cli.draw(spark, str(tmp_path / "g.txt"), str(tmp_path / name))["edges"] == 3
+    assert "<svg" in (tmp_path / "a.svg").read_text() and "3 nodes, 3 edges" in (tmp_path / "a.html").read_text()

@@ -57,6 +57,8 @@ def back_edges(nodes: DataFrame, edges: DataFrame, graph: str | None = None) ->
         pdf = pdf.sort_values(["t", "pos"], kind="stable")
         own, arc = pdf[pdf["t"] == 0], pdf[pdf["t"] == 1]
         found = depth_first_back_edges(own["src"].tolist(), list(dict.fromkeys(zip(arc["src"], arc["dst"]))))
+        if not found:
+            return pdf[[key, "src", "src"]].set_axis([key, "src", "dst"], axis=1).iloc[:0]
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]})
 
     out = rows.groupBy(key).applyInPandas(run, f"{key} {key_kind}, src {kind}, dst {kind}")

@@ -49,6 +49,40 @@ def node_detail(edges: DataFrame, node) -> DataFrame | None:
     return both.orderBy("role", "id", F.coalesce("transformation", F.lit("")))
 
 
+def edges_from(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges that leave a node of ``ids`` (id)."""
+    return edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+
+
+def edges_into(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges that enter a node of ``ids`` (id)."""
+    return edges.join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+
+
+def edges_touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with an end in ``ids``, once for each row of ``edges``: two equi-joins, as a join on either end would compare all pairs."""
+    out = edges_from(edges, ids)
+    # Those already found by their source are left out of the second join.
+    rest = edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_anti").select(*edges.columns)
+    return out.select(*edges.columns).unionByName(edges_into(rest, ids).select(*edges.columns))
+
+
+def neighbour_lists(edges: DataFrame) -> DataFrame:
+    """(id, predecessors, successors): sorted distinct neighbours of each node, itself left out."""
+    pair = edges.select("src", "dst").where("src != dst").distinct()
+    there = pair.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("successors"))
+    back = pair.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_list("src")).alias("predecessors"))
+    none = F.array().cast(f"array<{edges.schema['src'].dataType.simpleString()}>")
+    found = nodes_of(edges).join(back, "id", "left").join(there, "id", "left")
+    return found.select("id", F.coalesce("predecessors", none).alias("predecessors"), F.coalesce("successors", none).alias("successors"))
+
+
+def row_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of one table that the other lacks, counting repeats, and the side that has them; empty if both hold the same rows."""
+    side = lambda a, b, name: a.exceptAll(b.select(*a.columns)).withColumn("side", F.lit(name))
+    return side(left, right, "left").unionByName(side(right.select(*left.columns), left, "right"))
+
+
 def global_stats(edges: DataFrame) -> DataFrame:
     """(nodes, edges, density, average_degree): distinct edges; density m / (n (n - 1)) to 6 digits, 2 m / n to 2; 0 for graphs too small."""
     n = nodes_of(edges).agg(F.count(F.lit(1)).alias("nodes"))

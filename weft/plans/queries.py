@@ -106,6 +106,43 @@ def node_detail(spark, sf):
     return lookup.node_detail(g, nodes_of(g).agg(F.min("id")).first()[0])
 
 
+@query("neighbour_lists", f"""WITH {D.EVENT}, {NODES} SELECT id, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM g WHERE dst = id AND src <> id), '') AS predecessors,
+coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM g WHERE src = id AND dst <> id), '') AS successors FROM n""")
+def neighbour_lists(spark, sf):
+    return lookup.neighbour_lists(D.event(spark, sf)).select("id", F.array_join("predecessors", ",").alias("predecessors"), F.array_join("successors", ",").alias("successors"))
+
+
+_SOME = "SELECT src FROM g WHERE src % 40 = 3"
+
+
+def _some(g):
+    return g.where("src % 40 = 3").select(F.col("src").alias("id"))
+
+
+@query("edges_from", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE src IN ({_SOME})")
+def edges_from(spark, sf):
+    g = D.sparse(spark, sf)
+    return lookup.edges_from(g, _some(g))
+
+
+@query("edges_into", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE dst IN ({_SOME})")
+def edges_into(spark, sf):
+    g = D.sparse(spark, sf)
+    return lookup.edges_into(g, _some(g)).select("src", "dst")
+
+
+@query("edges_touching", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE src IN ({_SOME}) OR dst IN ({_SOME})")
+def edges_touching(spark, sf):
+    g = D.sparse(spark, sf)
+    return lookup.edges_touching(g, _some(g))
+
+
+@query("row_difference", f"WITH {D.SPARSE}, a AS (SELECT src, dst FROM g WHERE src % 3 = 0), b AS (SELECT src, dst FROM g WHERE src % 3 = 0 AND dst % 5 <> 0 OR src % 31 = 1) SELECT *, 'left' AS side FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT *, 'right' FROM (FROM b EXCEPT ALL FROM a)")
+def row_difference(spark, sf):
+    g = D.sparse(spark, sf)
+    return lookup.row_difference(g.where("src % 3 = 0"), g.where("src % 3 = 0 and dst % 5 != 0 or src % 31 = 1"))
+
+
 @query("global_stats", f"WITH {D.FULL}, {NODES}, c AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM g)) AS edges) SELECT nodes, edges, round_even(edges / (CAST(nodes AS DOUBLE) * (nodes - 1)), 6) AS density, round_even(2.0 * edges / CAST(nodes AS DOUBLE), 2) AS average_degree FROM c")
 def global_stats(spark, sf):
     return lookup.global_stats(D.full(spark, sf))
@@ -328,6 +365,12 @@ def path_describe(spark, sf):
     return traverse.describe_path(traverse.bidirectional_path(g, *ends(g), max_depth=8), D.full_table(spark, sf))
 
 
+@query("path_subgraph", DESCRIBED + 'SELECT DISTINCT unnest(["from", "to"]) AS id FROM hop')
+def path_subgraph(spark, sf):
+    g = D.full(spark, sf)
+    return traverse.path_subgraph(traverse.bidirectional_path(g, *ends(g), max_depth=8))[0]
+
+
 RINGS = "u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), r(id, k) AS (SELECT min(src), 0 FROM g UNION SELECT b, k + 1 FROM r JOIN u ON a = id WHERE k < {k}), ring AS (SELECT id, CAST(min(k) AS INTEGER) AS dist FROM r GROUP BY id)"
 
 
