@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that Python takes up at once.
+ROWS = 1024
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Run ``fn`` over column lists of each Arrow batch: dict of lists in, dict of lists out."""
     ship(df.sparkSession)
@@ -28,7 +38,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
     arrow = _arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
+        columns = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in sliced(batches))
         for out in fn(columns):
             arrays = [pa.array(out[n], type=arrow.field(n).type, from_pandas=False) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

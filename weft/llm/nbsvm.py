@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import held_out, labelled_sample, map_rows
+from weft.llm.common import held_out, labelled_sample, map_rows, sliced
 from weft.session import ship
 
 BITS = 18
@@ -103,16 +103,15 @@ def dual_coordinate_descent(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray
     """
     w, bias = np.zeros(SIZE), 0.0
     alpha = np.zeros(len(rows))
-    values = [r[idx] for idx in rows]
-    norms = [math.sqrt(float(v @ v)) or 1.0 for v in values]
-    values = [v / n for v, n in zip(values, norms)]
+    norms = [math.sqrt(float(r[idx] @ r[idx])) or 1.0 for idx in rows]
     rate = max(1e-9, (y > 0).mean())
     cost = np.where(y > 0, 0.5 / rate, 0.5 / max(1e-9, 1 - rate)) * c
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         largest = 0.0
         for i in rng.permutation(len(rows)):
-            idx, v = rows[i], values[i]
+            idx = rows[i]
+            v = r[idx] / norms[i]
             g = y[i] * (float(w[idx] @ v) + bias) - 1.0
             old = alpha[i]
             new = min(max(old - g / 2.0, 0.0), cost[i])
@@ -172,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: in
     Only n-gram indices of at most ``max_rows`` rows reach the driver.
     """
     sample = labelled_sample(docs, labels, column, modulus, rest, max_rows)
-    rows = map_rows(sample, _features_of, "doc_id bigint, label int, idx binary").toPandas().sort_values("doc_id")
-    return fit_rows([np.frombuffer(x, np.int32) for x in rows["idx"]], list(rows["label"]))
+    found = map_rows(sample, _features_of, "doc_id bigint, label int, idx binary").toArrow().sort_by("doc_id")
+    return fit_rows([np.frombuffer(x.as_buffer(), np.int32) for x in found.column("idx")], found.column("label").to_pylist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -206,7 +205,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
         import pyarrow as pa
 
         m = shared.value
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([m.score(features(t or "")) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -39,7 +39,7 @@ SENTENCE, HARD = 8, 64
 #: Longest distance between places for a cut.
 STRIDE = 64
 #: Tokens of a block, about.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 END = 0
 
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import U64, Workspace, byte_codes, map_rows, mix64, ship
+from weft.llm.common import U64, Workspace, byte_codes, map_rows, mix64, ship, sliced
 from weft.llm.textsets import powers, prefix, slices
 
 LENGTH = 400
@@ -446,7 +446,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True)
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             p = b.column(b.schema.get_field_index("p")).to_pylist()
             texts = [cut_text((x or "").encode("utf-8", "replace"), covered(q, length)) for x, q in zip(b.column(at).to_pylist(), p)]
             cols = [b.column(i) for i in range(len(names))]

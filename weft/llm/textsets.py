@@ -16,7 +16,7 @@ CODES = byte_codes(0x51ED270B)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are joined to blocks of about so many bytes.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
