@@ -22,14 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Workspace, map_rows, mix64, ship
+from weft.llm.common import Workspace, map_rows, mix64, ship, sliced
 from weft.llm.suffix_dedup import NULL_ID, cut_text
 
 #: Bits of the hash that are zero at a cut, and the highest of them: the hash of bit b depends on b + 1 bytes.
-BITS, TOP = 5, 16
-LEAST, MOST = 16, 512
+BITS, TOP = 4, 16
+LEAST, MOST = 12, 512
 #: Bytes of consecutive copied chunks that count as a repeated substring.
-SHORTEST = 160
+SHORTEST = 100
 PIECE = 1 << 20
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 MASK = np.uint32(((1 << BITS) - 1) << (TOP - BITS))
@@ -73,7 +73,7 @@ def _chunked(batches):
         for d, t, text in zip(b["d"], b["t"], b["text"]):
             raw = text.encode("utf-8", "replace")
             ends = cuts(raw).tolist()
-            starts = [0, *ends[:-1]]
+            starts = [0, *ends[:-1]] if ends else []
             out["d"] += [d] * len(ends)
             out["t"] += [t] * len(ends)
             out["start"] += starts
@@ -112,9 +112,11 @@ def _identified(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, space: Workspace, shortest: int = SHORTEST) -> DataFrame:
     """(d, t, spans) for each document with repeated substrings: byte ranges whose chunks an earlier place holds."""
     ship(docs.sparkSession)
-    occ = space.write(map_rows(_identified(docs), _chunked, "d bigint, t bigint, start bigint, size int, digest bigint"), "chunks")
+    occ = space.write(map_rows(_identified(docs), _chunked, "d bigint, t bigint, start int, size int, digest bigint"), "chunks")
     place = F.struct("d", "t", "start")
     first = occ.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1").select("digest", "f")
+    # Written before it is joined, so Spark can split the join of a chunk that many texts hold.
+    first = space.write(first, "first")
     copies = occ.join(first, "digest").where(place != F.col("f")).select("d", "t", F.struct("start", "size").alias("c"))
     by_doc = copies.groupBy("d", "t").agg(F.collect_list("c").alias("chunks"))
     spans = map_rows(by_doc, _runs(shortest), "d bigint, t bigint, spans array<struct<begin: bigint, end: bigint>>").where(F.size("spans") > 0)
@@ -146,7 +148,7 @@ def deduplicate(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             spans = b.column(b.schema.get_field_index("_spans")).to_pylist()
             cols = [b.column(i) for i in range(len(b.schema.names) - 1)]
             texts = [x if not s else cut_text(x.encode("utf-8", "replace"), [(r["begin"], r["end"]) for r in s]) for x, s in zip(cols[at].to_pylist(), spans)]
