@@ -6,6 +6,14 @@ from weft.model import to_edges
 from weft.operators import components as comp, condense, history, layout, lookup, traverse, weighted
 from weft.sources import edges as sources
 
+
+
+@pytest.fixture(params=[500_000, 0], ids=["driver", "distributed"])
+def where(request, monkeypatch):
+    """Searches of small graphs on the driver, and the same by levels of jobs."""
+    monkeypatch.setattr(traverse, "DRIVER_EDGES", request.param)
+
+
 NARROW = "src string, dst string, transformation string"
 
 
@@ -28,7 +36,7 @@ SEARCHES = [traverse.shortest_path, traverse.bidirectional_path, weighted.dijkst
 
 
 @pytest.mark.parametrize("search", SEARCHES)
-def test_paths(spark, search):
+def test_paths(spark, search, where):
     assert way(search(graph(spark, T4), "N1", "N4")) == ["N1", "N2", "N3", "N4"]
     g = graph(spark, T1)
     assert way(search(g, "A", "E")) == ["A", "B", "C", "D", "E"]
@@ -37,26 +45,26 @@ def test_paths(spark, search):
 
 
 @pytest.mark.parametrize("search", SEARCHES)
-def test_bounds(spark, search):
+def test_bounds(spark, search, where):
     g = chain(spark, 20)
     assert len(way(search(g, 0, 12, *([None, 12] if search is weighted.a_star else [12])))) == 13
     assert way(search(g, 0, 13, *([None, 12] if search is weighted.a_star else [12]))) is None
 
 
-def test_per_side_quirk(spark):
+def test_per_side_quirk(spark, where):
     g = chain(spark, 30)
     assert not weighted.bidirectional_dijkstra(g, 0, 13, 12).first()["found"]
     assert weighted.bidirectional_dijkstra(g, 0, 24, 12, per_side=True).first()["cost"] == 24
     assert not weighted.bidirectional_dijkstra(g, 0, 25, 12, per_side=True).first()["found"]
 
 
-def test_visited_bound(spark):
+def test_visited_bound(spark, where):
     g = spark.createDataFrame([("s", f"x{i}") for i in range(50)] + [("x1", "t")], "src string, dst string")
     assert way(traverse.shortest_path(g, "s", "t", 12, most=20)) is None
     assert way(traverse.shortest_path(g, "s", "t", 12)) == ["s", "x1", "t"]
 
 
-def test_random_graphs_agree(spark):
+def test_random_graphs_agree(spark, where):
     rng = random.Random(4)
     for _ in range(2):
         rows = list({(rng.randrange(25), rng.randrange(25)) for _ in range(45)})
@@ -80,7 +88,7 @@ def test_random_graphs_agree(spark):
         assert mine == {r["id"]: r["scc"] for r in condense.strong_components(g, driver_edges=0).collect()}
 
 
-def test_weights(spark):
+def test_weights(spark, where):
     g = spark.createDataFrame([("A", "B", 4.0), ("A", "C", 2.0), ("C", "B", 1.0), ("B", "D", 5.0), ("C", "D", 8.0), ("D", "E", 0.0), ("E", "D", 0.0)], "src string, dst string, weight double")
     row = weighted.dijkstra(g, "A", "E", 100).first()
     assert row["cost"] == 8 and list(row["path"]) == ["A", "C", "B", "D", "E"]

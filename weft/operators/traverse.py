@@ -1,6 +1,7 @@
 """Breadth-first operators: distances, bounded shortest paths, neighbourhoods, path description.
 
-Loops run on the driver, one level at a time; a level is an equi-join of the
+A graph of at most ``DRIVER_EDGES`` edges is searched on the driver (see
+``weft.operators.local``). Of a larger one, loops run one level at a time; a level is an equi-join of the
 frontier with the edges, of which Spark broadcasts the smaller side by its
 measured size.  Levels are written to the shared folder, so plans stay short and
 lost executors cost the level they ran.  Every loop is bounded or ends when no new
@@ -11,10 +12,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.operators.local import DRIVER_EDGES, LocalGraph, ids_of
 from weft.session import Workspace
 
 #: Bounds of searches.
@@ -34,6 +37,7 @@ class Search:
 
     def __init__(self, edges: DataFrame, starts: DataFrame, space: Workspace, forward: bool = True):
         a, b = ("src", "dst") if forward else ("dst", "src")
+        edges = space.stored(edges, "edges")
         self.edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
         self.space = space
         kind = self.edges.schema["a"].dataType
@@ -72,7 +76,21 @@ class Search:
 
 def distances(edges: DataFrame, starts: DataFrame, forward: bool = True, max_depth: int | None = None) -> DataFrame:
     """(id, dist): hops from the nearest of ``starts`` along (or against) edges (src, dst); nodes out of reach are left out."""
-    search = Search(edges, starts, Workspace(edges.sparkSession, "bfs"), forward)
+    space = Workspace(edges.sparkSession, "bfs")
+    edges = space.stored(edges, "edges")
+    graph = LocalGraph.of(edges, DRIVER_EDGES)
+    ids = ids_of(starts, DRIVER_EDGES) if graph else None
+    if ids is not None:
+        local = graph.search(ids, forward)
+        while local.last and (max_depth is None or local.depth < max_depth):
+            local.step()
+        found = np.flatnonzero(local.dist >= 0)
+        kind = edges.schema["src"].dataType.simpleString()
+        there = graph.frame(edges.sparkSession, found, kind, dist=local.dist[found])
+        # Start nodes without edges are at distance 0 too.
+        alone = [v for v in ids if v not in graph.at]
+        return there.unionByName(edges.sparkSession.createDataFrame([(v, 0) for v in alone], f"id {kind}, dist int")) if alone else there
+    search = Search(edges, starts, space, forward)
     while search.last and (max_depth is None or len(search.levels) <= max_depth):
         search.step()
     return search.visited()
@@ -108,11 +126,21 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int | None = DEFA
     one of smallest parents, seen from the target, is returned.
     """
     spark = edges.sparkSession
+    space = Workspace(spark, "path")
+    edges = space.stored(edges, "edges")
     if not exists(edges, source) or not exists(edges, target):
         return path_row(spark, None)
     if source == target:
         return path_row(spark, [source])
-    search = Search(edges, _one(spark, edges, source), Workspace(spark, "path"))
+    graph = LocalGraph.of(edges, DRIVER_EDGES)
+    if graph:
+        local, goal = graph.search([source]), graph.at[target]
+        while local.last and local.size < (most or float("inf")) and (max_depth is None or local.depth < max_depth):
+            local.step()
+            if local.dist[goal] >= 0:
+                return path_row(spark, graph.ids[local.path(goal)].tolist())
+        return path_row(spark, None)
+    search = Search(edges, _one(spark, edges, source), space)
     while search.last and search.size < (most or float("inf")) and (max_depth is None or len(search.levels) <= max_depth):
         search.step()
         if not search.frontier.where(F.col("id") == F.lit(target)).isEmpty():
@@ -127,11 +155,26 @@ def bidirectional_path(edges: DataFrame, source, target, max_depth: int = DEFAUL
     path is the one ``shortest_path`` returns.
     """
     spark = edges.sparkSession
+    space = Workspace(spark, "bidirectional")
+    edges = space.stored(edges, "edges")
     if not exists(edges, source) or not exists(edges, target):
         return path_row(spark, None)
     if source == target:
         return path_row(spark, [source])
-    space = Workspace(spark, "bidirectional")
+    graph = LocalGraph.of(edges, DRIVER_EDGES)
+    if graph:
+        sides = graph.search([source]), graph.search([target], forward=False)
+        for turn in range(max_depth):
+            side, other = sides[turn % 2], sides[1 - turn % 2]
+            if not side.last or side.size >= most:
+                continue
+            side.step()
+            if (other.dist[side.frontier] >= 0).any():
+                whole = graph.search([source])
+                while whole.dist[graph.at[target]] < 0:
+                    whole.step()
+                return path_row(spark, graph.ids[whole.path(graph.at[target])].tolist())
+        return path_row(spark, None)
     ahead, behind = Search(edges, _one(spark, edges, source), space), Search(edges, _one(spark, edges, target), space, forward=False)
     for turn in range(max_depth):
         side, other = (ahead, behind) if turn % 2 == 0 else (behind, ahead)
@@ -191,6 +234,7 @@ def neighborhood(edges: DataFrame, node, depth: int = 1, limit: int = 500) -> tu
     depth, limit = min(max(depth, 1), 4), max(1, min(limit, 2000))
     spark = edges.sparkSession
     space = Workspace(spark, "near")
+    edges = space.stored(edges, "edges")
     pairs = edges.select("src", "dst")
     frontier = space.write(_one(spark, edges, node).withColumn("dist", F.lit(0)), "ring0")
     rings, touched, total, truncated = [frontier], [], 1, False

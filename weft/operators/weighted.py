@@ -7,9 +7,12 @@ edges and keeps the least new label of each end; rounds stop when none falls.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators import traverse
+from weft.operators.local import LocalGraph, ids_of
 from weft.operators.traverse import _one, distances, exists, path_row
 from weft.session import Workspace
 
@@ -34,8 +37,16 @@ def costs(edges: DataFrame, starts: DataFrame, max_cost: float = MAX_COST, forwa
 
     ``bounds`` (id, h) drops labels with cost + h above ``max_cost``.
     """
-    check_weights(edges)
     space = Workspace(edges.sparkSession, "relax")
+    edges = space.stored(edges, "edges")
+    check_weights(edges)
+    graph = LocalGraph.of(edges, traverse.DRIVER_EDGES)
+    ids = ids_of(starts, traverse.DRIVER_EDGES) if graph else None
+    if ids is not None:
+        low = {graph.at[r["id"]]: r["h"] for r in bounds.toLocalIterator() if r["id"] in graph.at} if bounds is not None else None
+        best = graph.costs(ids, max_cost, forward, low)
+        at = np.array(list(best), np.int64)
+        return graph.frame(edges.sparkSession, at, edges.schema["src"].dataType.simpleString(), cost=np.array([c for c, _ in best.values()], np.float64), hops=np.array([h for _, h in best.values()], np.int32))
     e = _weights(edges, forward)
     kind = e.schema["a"].dataType
     zero = starts.select(F.col(starts.columns[0]).cast(kind).alias("id")).distinct().select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"))
@@ -78,6 +89,7 @@ def dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST) -> Da
 
 def _search(edges: DataFrame, source, target, max_cost: float, bounds: DataFrame | None) -> DataFrame:
     spark = edges.sparkSession
+    edges = Workspace(spark, "weighted").stored(edges, "edges")
     if not exists(edges, source) or not exists(edges, target):
         return path_row(spark, None).withColumn("cost", F.lit(None).cast("double"))
     if source == target:
@@ -96,6 +108,7 @@ def bidirectional_dijkstra(edges: DataFrame, source, target, max_cost: float = M
     paths up to twice as long are found.
     """
     spark = edges.sparkSession
+    edges = Workspace(spark, "weighted").stored(edges, "edges")
     none = spark.createDataFrame([(False, None, None)], "found boolean, cost double, meeting string")
     if not exists(edges, source) or not exists(edges, target):
         return none
@@ -121,6 +134,7 @@ def landmarks(edges: DataFrame, count: int = LANDMARKS, start=None) -> DataFrame
     """
     spark = edges.sparkSession
     space = Workspace(spark, "landmarks")
+    edges = space.stored(edges, "edges")
     kind = edges.schema["src"].dataType.simpleString()
     if start is None:
         start = edges.agg(F.min(F.least("src", "dst"))).first()[0]

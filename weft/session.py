@@ -57,6 +57,10 @@ class Workspace:
         out._weft_path = path
         return out
 
+    def stored(self, df: DataFrame, tag: str = "stored") -> DataFrame:
+        """``df`` itself if it is a table of a workspace, else written: loops then read it instead of computing it each time."""
+        return df if getattr(df, "_weft_path", None) else self.write(df, tag)
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = getattr(df, "_weft_path", None)
