@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import held_out, labelled_sample, map_rows
 from weft.llm.nbsvm import platt
+from weft.llm.textsets import shingle_sets
 
 #: At most this many labelled rows are used to fit the model.
 MAX_TRAIN_ROWS = 20_000
@@ -182,11 +184,13 @@ def terms_of(sample: DataFrame, z_least: float = 3.0, prior: float = 500.0, max_
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int = 3, rest: int = 1, max_rows: int = MAX_TRAIN_ROWS, drift: float = 0.25) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod ``modulus`` is not ``rest``.
 
-    Equal texts of the sample count once.  The driver gets at most ``MAX_TERMS``
+    Copies and near copies in the sample, those whose two smallest shingle hashes
+    agree, count once, so the words of one much-copied document are no evidence.  The driver gets at most ``MAX_TERMS``
     tokens and two numbers for each sampled row.
     """
     sample = labelled_sample(docs, labels, column, modulus, rest, max_rows)
-    sample = sample.groupBy("text").agg(F.max("label").alias("label")).persist()
+    sample = map_rows(sample.select("text", "label"), _near, "near bigint, text string, label int")
+    sample = sample.groupBy("near").agg(F.max(F.struct("label", "text")).alias("x")).select("x.text", "x.label").persist()
     try:
         rows, nt, nc = terms_of(sample)
         rate = min(0.99, max(0.01, nt / (nt + nc))) if nt + nc else 0.5
@@ -209,6 +213,12 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int
         sample.unpersist()
 
 
+def _near(batches):
+    for b in batches:
+        keys = [s[:2].tobytes() for s in shingle_sets(b["text"], 3)]
+        yield {"near": [crc32(k) | crc32(k, 1) << 31 for k in keys], "text": b["text"], "label": b["label"]}
+
+
 def _best(sample, model):
     def run(batches):
         for b in batches:
