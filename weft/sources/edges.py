@@ -16,7 +16,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EDGE).parquet(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str = "LINE_VIS_EDG", **options: str) -> DataFrame:
+def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """Edge table of a database; give partitionColumn, lowerBound, upperBound and numPartitions to read it in parallel."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*EDGE.names)
 
