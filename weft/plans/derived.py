@@ -30,14 +30,19 @@ def full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_edges(full_table(spark, sf_dir))
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): parts that follow each other in every sixteenth order, once."""
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 16 == 0)
+def parts(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    """(src, dst): parts that follow each other in an order, once; ``line`` are the order lines, all of them by default."""
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     pairs = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
     return pairs.where("dst is not null and dst != src").distinct()
 
 
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part graph of every sixteenth order only, whose closure SQL can hold."""
+    return parts(spark, sf_dir, table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 16 == 0))
+
+
 SPARSE = (
     "g AS (SELECT DISTINCT a AS src, b AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS b"
     " FROM lineitem WHERE l_orderkey % 16 = 0) WHERE b IS NOT NULL AND b <> a)"
@@ -117,9 +122,9 @@ def _literal(v, kind: T.DataType) -> str:
 HEA = "hea AS (" + " UNION ALL ".join("SELECT " + ", ".join(f"{_literal(v, f.dataType)} AS {f.name}" for v, f in zip(r, HEADER)) for r in HEADERS) + ")"
 
 
-def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of the sparse graph that lead to larger ids."""
-    return sparse(spark, sf_dir).where("src < dst")
+def dag(spark: SparkSession, sf_dir: str, graph=sparse) -> DataFrame:
+    """The edges of a part graph that lead to larger ids."""
+    return graph(spark, sf_dir).where("src < dst")
 
 
 DAG = SPARSE.replace("g AS", "s AS", 1) + ", g AS (SELECT * FROM s WHERE src < dst)"

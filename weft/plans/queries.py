@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,26 +122,26 @@ def _some(g):
 
 
 @query("edges_from", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE src IN ({_SOME})")
-def edges_from(spark, sf):
-    g = D.sparse(spark, sf)
+def edges_from(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return lookup.edges_from(g, _some(g))
 
 
 @query("edges_into", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE dst IN ({_SOME})")
-def edges_into(spark, sf):
-    g = D.sparse(spark, sf)
+def edges_into(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return lookup.edges_into(g, _some(g)).select("src", "dst")
 
 
 @query("edges_touching", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE src IN ({_SOME}) OR dst IN ({_SOME})")
-def edges_touching(spark, sf):
-    g = D.sparse(spark, sf)
+def edges_touching(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return lookup.edges_touching(g, _some(g))
 
 
 @query("row_difference", f"WITH {D.SPARSE}, a AS (SELECT src, dst FROM g WHERE src % 3 = 0), b AS (SELECT src, dst FROM g WHERE src % 3 = 0 AND dst % 5 <> 0 OR src % 31 = 1) SELECT *, 'left' AS side FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT *, 'right' FROM (FROM b EXCEPT ALL FROM a)")
-def row_difference(spark, sf):
-    g = D.sparse(spark, sf)
+def row_difference(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return lookup.row_difference(g.where("src % 3 = 0"), g.where("src % 3 = 0 and dst % 5 != 0 or src % 31 = 1"))
 
 
@@ -162,8 +164,8 @@ def max_degree(spark, sf):
 
 
 @query("isolated_nodes", f"WITH {D.SPARSE}, {NODES} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT id FROM n)")
-def isolated_nodes(spark, sf):
-    found = lookup.degrees(D.sparse(spark, sf), D.table(spark, sf, "part").select(F.col("p_partkey").alias("id")))
+def isolated_nodes(spark, sf, graph=D.sparse):
+    found = lookup.degrees(graph(spark, sf), D.table(spark, sf, "part").select(F.col("p_partkey").alias("id")))
     return found.where("degree = 0").select("id")
 
 
@@ -178,8 +180,8 @@ def graph_statistics(spark, sf):
 
 
 @query("looks_layerable", f"WITH {D.SPARSE}, {NODES} SELECT (SELECT count(*) FROM g) < 1.5 * count(*) AS layerable FROM n")
-def looks_layerable(spark, sf):
-    return lookup.looks_layerable(D.sparse(spark, sf))
+def looks_layerable(spark, sf, graph=D.sparse):
+    return lookup.looks_layerable(graph(spark, sf))
 
 
 # The wide table.
@@ -300,20 +302,20 @@ def _bfs(a: str, b: str, start: str, depth: int) -> str:
 
 
 @query("bfs_distances", _bfs("src", "dst", "min(src)", 40))
-def bfs_distances(spark, sf):
-    g = D.sparse(spark, sf)
+def bfs_distances(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return traverse.distances(g, one(spark, ends(g)[0], "bigint"), max_depth=40)
 
 
 @query("bfs_backward", _bfs("dst", "src", "max(dst)", 6))
-def bfs_backward(spark, sf):
-    g = D.sparse(spark, sf)
+def bfs_backward(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return traverse.distances(g, one(spark, ends(g)[1], "bigint"), forward=False, max_depth=6)
 
 
 @query("bfs_multi_source", f"WITH RECURSIVE {D.SPARSE}, d(id, k) AS (SELECT DISTINCT src, 0 FROM g WHERE src % 50 = 7 UNION SELECT dst, k + 1 FROM d JOIN g ON src = id WHERE k < 5) SELECT id, CAST(min(k) AS INTEGER) AS dist FROM d GROUP BY id")
-def bfs_multi_source(spark, sf):
-    g = D.sparse(spark, sf)
+def bfs_multi_source(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return traverse.distances(g, g.where("src % 50 = 7").select("src"), max_depth=5)
 
 
@@ -329,20 +331,20 @@ def _shown(path: DataFrame) -> DataFrame:
 
 
 @query("shortest_path_one_sided", _path(D.SPARSE, DEPTH))
-def shortest_path_one_sided(spark, sf):
-    g = D.sparse(spark, sf)
+def shortest_path_one_sided(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return _shown(traverse.shortest_path(g, *ends(g), max_depth=DEPTH))
 
 
 @query("shortest_path_bidirectional", _path(D.SPARSE, DEPTH))
-def shortest_path_bidirectional(spark, sf):
-    g = D.sparse(spark, sf)
+def shortest_path_bidirectional(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return _shown(traverse.bidirectional_path(g, *ends(g), max_depth=DEPTH))
 
 
 @query("shortest_path_unbounded", _path(D.SPARSE, 60))
-def shortest_path_unbounded(spark, sf):
-    g = D.sparse(spark, sf)
+def shortest_path_unbounded(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return _shown(traverse.shortest_path(g, *ends(g), max_depth=None, most=0))
 
 
@@ -375,14 +377,14 @@ RINGS = "u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), r
 
 
 @query("neighborhood_nodes", f"WITH RECURSIVE {D.SPARSE}, {RINGS.format(k=3)} SELECT id, dist FROM ring")
-def neighborhood_nodes(spark, sf):
-    g = D.sparse(spark, sf)
+def neighborhood_nodes(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return traverse.neighborhood(g, ends(g)[0], 3, 2000)[0]
 
 
 @query("neighborhood_edges", f"WITH RECURSIVE {D.SPARSE}, {RINGS.format(k=3)} SELECT src, dst FROM g JOIN ring a ON a.id = src JOIN ring b ON b.id = dst WHERE a.dist < 3 OR b.dist < 3")
-def neighborhood_edges(spark, sf):
-    g = D.sparse(spark, sf)
+def neighborhood_edges(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return traverse.neighborhood(g, ends(g)[0], 3, 2000)[1]
 
 
@@ -390,38 +392,38 @@ WEIGHTED = D.SPARSE.replace("g AS", "s AS", 1) + ", g AS (SELECT src, dst, CAST(
 COSTS = f"c(id, cost) AS (SELECT min(src), CAST(0 AS DOUBLE) FROM g UNION SELECT dst, cost + weight FROM c JOIN g ON src = id WHERE cost + weight <= {COST}), best AS (SELECT id, min(cost) AS cost FROM c GROUP BY id)"
 
 
-def _weighted(spark, sf):
-    return D.sparse(spark, sf).withColumn("weight", ((F.col("src") + F.col("dst")) % 4 + 1).cast("double"))
+def _weighted(spark, sf, graph):
+    return graph(spark, sf).withColumn("weight", ((F.col("src") + F.col("dst")) % 4 + 1).cast("double"))
 
 
 @query("dijkstra_costs", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT id, cost FROM best")
-def dijkstra_costs(spark, sf):
-    g = _weighted(spark, sf)
+def dijkstra_costs(spark, sf, graph=D.sparse):
+    g = _weighted(spark, sf, graph)
     return weighted.costs(g, one(spark, ends(g)[0], "bigint"), COST).select("id", "cost")
 
 
 FAR = "(SELECT max(id) FROM best)"
 
 
-def _far(spark, sf):
-    g = _weighted(spark, sf)
+def _far(spark, sf, graph):
+    g = _weighted(spark, sf, graph)
     s = ends(g)[0]
     return g, s, weighted.costs(g, one(spark, s, "bigint"), COST).agg(F.max("id")).first()[0]
 
 
 @query("dijkstra_weighted", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT true AS found, cost FROM best WHERE id = {FAR}")
-def dijkstra_weighted(spark, sf):
-    return weighted.dijkstra(*_far(spark, sf), COST).select("found", "cost")
+def dijkstra_weighted(spark, sf, graph=D.sparse):
+    return weighted.dijkstra(*_far(spark, sf, graph), COST).select("found", "cost")
 
 
 @query("dijkstra_bidirectional", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT true AS found, cost FROM best WHERE id = {FAR}")
-def dijkstra_bidirectional(spark, sf):
-    return weighted.bidirectional_dijkstra(*_far(spark, sf), COST).select("found", "cost")
+def dijkstra_bidirectional(spark, sf, graph=D.sparse):
+    return weighted.bidirectional_dijkstra(*_far(spark, sf, graph), COST).select("found", "cost")
 
 
 @query("astar_alt", _path(D.SPARSE, DEPTH))
-def astar_alt(spark, sf):
-    g = D.sparse(spark, sf)
+def astar_alt(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     s, t = ends(g)
     return _shown(weighted.a_star(g, s, t, weighted.landmarks(g, 2), DEPTH))
 
@@ -430,8 +432,8 @@ def astar_alt(spark, sf):
 l AS (SELECT id FROM m WHERE k > 0 ORDER BY k DESC, id LIMIT 1), f(id, k) AS (SELECT id, 0 FROM l UNION SELECT dst, k + 1 FROM f JOIN g ON src = id WHERE k < 60), t(id, k) AS (SELECT id, 0 FROM l UNION SELECT src, k + 1 FROM t JOIN g ON dst = id WHERE k < 60),
 f1 AS (SELECT id, min(k) AS k FROM f GROUP BY id), t1 AS (SELECT id, min(k) AS k FROM t GROUP BY id)
 SELECT (SELECT id FROM l) AS landmark, coalesce(f1.id, t1.id) AS node, CAST(f1.k AS INTEGER) AS dist_from, CAST(t1.k AS INTEGER) AS dist_to FROM f1 FULL JOIN t1 ON f1.id = t1.id""")
-def landmark_distances(spark, sf):
-    return weighted.landmarks(D.sparse(spark, sf), 1)
+def landmark_distances(spark, sf, graph=D.sparse):
+    return weighted.landmarks(graph(spark, sf), 1)
 
 
 # Components.
@@ -451,34 +453,34 @@ def _thin(spark, sf):
 
 
 @query("weak_components", f"WITH RECURSIVE {D.SPARSE}, {LINKS} SELECT id, component FROM comp")
-def weak_components(spark, sf):
-    return condense.weak_components(D.sparse(spark, sf))
+def weak_components(spark, sf, graph=D.sparse):
+    return condense.weak_components(graph(spark, sf))
 
 
 @query("component_sizes", f"WITH RECURSIVE {D.SPARSE}, {LINKS} SELECT component, count(*) AS size FROM comp GROUP BY 1")
-def component_sizes(spark, sf):
-    return condense.component_sizes(condense.weak_components(D.sparse(spark, sf)))
+def component_sizes(spark, sf, graph=D.sparse):
+    return condense.component_sizes(condense.weak_components(graph(spark, sf)))
 
 
 @query("component_summary", f"WITH RECURSIVE {D.SPARSE}, {LINKS}, s AS (SELECT count(*) AS size FROM comp GROUP BY component) SELECT count(*) AS components, max(size) AS largest FROM s")
-def component_summary(spark, sf):
-    return condense.component_summary(condense.weak_components(D.sparse(spark, sf)))
+def component_summary(spark, sf, graph=D.sparse):
+    return condense.component_summary(condense.weak_components(graph(spark, sf)))
 
 
 @query("component_verdict", f"WITH RECURSIVE {D.SPARSE}, {LINKS} SELECT CASE WHEN (SELECT component FROM comp WHERE id = (SELECT min(src) FROM g)) = (SELECT component FROM comp WHERE id = (SELECT max(dst) FROM g)) THEN 'SameComponent' ELSE 'DifferentComponents' END AS verdict")
-def component_verdict(spark, sf):
-    g = D.sparse(spark, sf)
+def component_verdict(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return spark.createDataFrame([(condense.compare(condense.weak_components(g), *ends(g)),)], "verdict string")
 
 
 @query("components_contraction", f"WITH RECURSIVE {D.SPARSE}, {LINKS} SELECT id, component FROM comp")
-def components_contraction(spark, sf):
-    return components(D.sparse(spark, sf), finish=100)
+def components_contraction(spark, sf, graph=D.sparse):
+    return components(graph(spark, sf), finish=100)
 
 
 @query("scc_members", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT id, scc FROM sc")
-def scc_members(spark, sf):
-    return condense.strong_components(D.sparse(spark, sf))
+def scc_members(spark, sf, graph=D.sparse):
+    return condense.strong_components(graph(spark, sf))
 
 
 @query("scc_distributed", f"WITH RECURSIVE {THIN}, {NODES}, {REACH} SELECT id, scc FROM sc")
@@ -487,44 +489,44 @@ def scc_distributed(spark, sf):
 
 
 @query("scc_sizes", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT scc, count(*) AS size FROM sc GROUP BY 1")
-def scc_sizes(spark, sf):
-    return condense.component_sizes(condense.strong_components(D.sparse(spark, sf)), "scc")
+def scc_sizes(spark, sf, graph=D.sparse):
+    return condense.component_sizes(condense.strong_components(graph(spark, sf)), "scc")
 
 
 @query("scc_condensed_edges", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT DISTINCT a.scc AS from_scc, b.scc AS to_scc FROM g JOIN sc a ON a.id = src JOIN sc b ON b.id = dst WHERE a.scc <> b.scc")
-def scc_condensed_edges(spark, sf):
-    g = D.sparse(spark, sf)
+def scc_condensed_edges(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return condense.condensed_edges(g, condense.strong_components(g))
 
 
 @query("scc_reachability", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT CASE WHEN count(*) > 0 THEN 'Reachable' ELSE 'Unreachable' END AS verdict FROM reach WHERE a = (SELECT min(src) FROM g) AND b = (SELECT max(dst) FROM g)")
-def scc_reachability(spark, sf):
-    g = D.sparse(spark, sf)
+def scc_reachability(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     scc = condense.strong_components(g)
     return spark.createDataFrame([(condense.reachable(scc, condense.condensed_edges(g, scc), *ends(g)),)], "verdict string")
 
 
 @query("has_cycle", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT count(*) > 0 AS cyclic FROM reach WHERE a = b")
-def has_cycle(spark, sf):
-    return spark.createDataFrame([(condense.has_cycle(D.sparse(spark, sf)),)], "cyclic boolean")
+def has_cycle(spark, sf, graph=D.sparse):
+    return spark.createDataFrame([(condense.has_cycle(graph(spark, sf)),)], "cyclic boolean")
 
 
 LAYERS = f"{NODES}, y(id, k) AS (SELECT id, 0 FROM n UNION SELECT dst, k + 1 FROM y JOIN g ON src = id), layer AS (SELECT id, CAST(max(k) AS INTEGER) AS layer FROM y GROUP BY id)"
 
 
 @query("topo_layers", f"WITH RECURSIVE {D.DAG}, {LAYERS} SELECT id, layer FROM layer")
-def topo_layers(spark, sf):
-    return condense.topological_layers(D.dag(spark, sf))
+def topo_layers(spark, sf, graph=D.sparse):
+    return condense.topological_layers(D.dag(spark, sf, graph))
 
 
 @query("layout_positions", f"WITH RECURSIVE {D.DAG}, {LAYERS} SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id) - 1 - (count(*) OVER (PARTITION BY layer) - 1) / 2.0 AS x, CAST(-layer AS DOUBLE) AS y FROM layer".replace("row_number()", "CAST(row_number()", 1).replace("/ 2.0 AS x", "/ 2.0 AS DOUBLE) AS x"))
-def layout_positions(spark, sf):
-    return layout.layered_positions(condense.topological_layers(D.dag(spark, sf)))
+def layout_positions(spark, sf, graph=D.sparse):
+    return layout.layered_positions(condense.topological_layers(D.dag(spark, sf, graph)))
 
 
 @query("undirected_layers", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {RINGS.format(k=40)} SELECT n.id, coalesce(ring.dist, 0) AS layer FROM n LEFT JOIN ring ON ring.id = n.id")
-def undirected_layers(spark, sf):
-    g = D.sparse(spark, sf)
+def undirected_layers(spark, sf, graph=D.sparse):
+    g = graph(spark, sf)
     return layout.undirected_layers(g, ends(g)[0], nodes_of(g))
 
 
@@ -613,8 +615,8 @@ def generated_edges(spark, sf):
 
 
 @query("text_graph_edges", f"WITH {D.SPARSE} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM g")
-def text_graph_edges(spark, sf):
-    lines = D.sparse(spark, sf).select(F.concat_ws(" ", "src", "dst").alias("line"), F.pmod("src", F.lit(16)).alias("file"))
+def text_graph_edges(spark, sf, graph=D.sparse):
+    lines = graph(spark, sf).select(F.concat_ws(" ", "src", "dst").alias("line"), F.pmod("src", F.lit(16)).alias("file"))
     texts = lines.groupBy(F.col("file").cast("string").alias("file")).agg(F.concat(F.lit("# edges\nARETES\n"), F.array_join(F.collect_list("line"), "\n")).alias("text"))
     return text.parse(texts)[1].select("src", "dst")
 
@@ -624,3 +626,11 @@ def islands_scc(spark, sf):
     from weft.model import to_edges
 
     return condense.strong_components(to_edges(sources.islands(spark)))
+
+
+#: The queries of the part graph once more, over every order, and their SQL; the neighbourhoods have none, as the
+#: reference's bound of 2000 nodes is not in it.
+for _name, _fn in list(QUERIES.items()):
+    if "graph" in inspect.signature(_fn).parameters:
+        _sql = None if _name.startswith("neighborhood") else SQL[_name].replace(" WHERE l_orderkey % 16 = 0", "")
+        query(f"{_name}_whole", _sql)(partial(_fn, graph=D.parts))
