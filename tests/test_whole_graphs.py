@@ -72,6 +72,7 @@ def test_components(spark, small):
     scc = {x: min([x, *(y for y in there[x] if x in there[y])]) for x in there}
     assert len(set(scc.values())) < len(scc)
     assert found(spark, small, "scc_members") == sorted(scc.items())
+    assert found(spark, small, "scc_distributed") == sorted(scc.items())
     assert found(spark, small, "scc_condensed_edges") == sorted({(scc[a], scc[b]) for a, b in edges} - {(x, x) for x in scc.values()})
     assert found(spark, small, "has_cycle") == [(any(x in t for x, t in there.items()),)]
 
