@@ -44,25 +44,28 @@ END = 0
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """(function from text to ids, ends of sentences by id) of a byte-level vocabulary.
 
     ``path`` names a tokenizers file.  If ranks lie beside it that hold the same
     vocabulary, piece by piece, they give the same ids in a quarter of the time;
-    else the file itself is used.  Strings of special tokens in a text are ordinary text.
+    else the file itself is used.  Strings of added tokens in a text are ordinary text,
+    or with ``added`` those tokens, as the tokenizer has them by default; texts that
+    hold such a string then go through the file.
     """
     import os
 
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = not added
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     size = tok.get_vocab_size()
     # An id ends a sentence if its bytes hold a line end or begin with a mark that ends one.
     ends = np.zeros(size, bool)
     for piece, i in tok.get_vocab(with_added_tokens=False).items():
         ends[i] = "Ċ" in piece or piece[:1] in ".!?"
+    whole = lambda text: tok.encode(text, add_special_tokens=False).ids
     if os.path.exists(ranks_path):
         import public_tokenizers
         import tiktoken
@@ -73,8 +76,11 @@ def encoder(path: str):
         vocab = tok.get_vocab(with_added_tokens=False)
         if all(vocab.get("".join(map(shown.__getitem__, piece))) == i for piece, i in ranks.items()):
             enc = tiktoken.Encoding(ranks_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return enc.encode_ordinary, ends
-    return (lambda text: tok.encode(text, add_special_tokens=False).ids), ends
+            marks = [t.content for t in tok.get_added_tokens_decoder().values()] if added else []
+            if not marks:
+                return enc.encode_ordinary, ends
+            return (lambda text: whole(text) if any(m in text for m in marks) else enc.encode_ordinary(text)), ends
+    return whole, ends
 
 
 def byte_letters() -> list[str]:
@@ -190,13 +196,13 @@ class Packer:
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, added: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``added`` as in ``encoder``."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, ends = encoder(tokenizer or default_path())
+        encode, ends = encoder(tokenizer or default_path(), added)
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"]):

@@ -23,7 +23,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,8 @@ OP6_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBL
 l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.93), {_COMPONENTS}
 SELECT id AS vec_id, (SELECT count(*) FROM e WHERE a = id) AS n_links, component_id, component_id = id AS kept FROM c"""
 
-OP8_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+OP8_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 n AS (SELECT id, CAST(len(s) AS BIGINT) AS size FROM g), u AS (SELECT id, unnest(s) AS s FROM g), i AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM u p JOIN u q ON p.s = q.s AND p.id < q.id GROUP BY 1, 2),
 l AS (SELECT a, b FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 85 * (x.size + y.size - k)), {_COMPONENTS}
