@@ -45,11 +45,11 @@ def test_stages(spark, tmp_path):
     seen = Counter()
     for t in after["text"]:
         raw = t.encode()
-        seen.update({raw[p : p + 400] for p in range(len(raw) - 399)})
+        seen.update({raw[p : p + 200] for p in range(len(raw) - 199)})
     old = Counter()
     for t in before["text"]:
         raw = t.encode()
-        old.update({raw[p : p + 400] for p in range(len(raw) - 399)})
+        old.update({raw[p : p + 200] for p in range(len(raw) - 199)})
     # Strings that several documents held are left in one of them; every string of the old texts that was unique and whole is untouched.
     assert not [s for s, n in seen.items() if n > 1 and s in old]
 

@@ -27,17 +27,25 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: tuple(s[i:]))
 
 
-def brute_repeats(rows, length):
-    raw = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(x[p : p + length] for _, x in raw for p in range(len(x) - length + 1))
+def covered_bytes(raw, length):
+    """For each text whether a byte is covered by a string of ``length`` that starts elsewhere too."""
+    seen = Counter(hash(x[p : p + length]) for x in raw for p in range(len(x) - length + 1))
     out = []
-    for i, x in raw:
+    for x in raw:
         on = np.zeros(len(x), bool)
         for p in range(len(x) - length + 1):
-            if seen[x[p : p + length]] > 1:
+            if seen[hash(x[p : p + length])] > 1:
                 on[p : p + length] = True
+        out.append(on)
+    return out
+
+
+def brute_repeats(rows, length, passage=None):
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    out = []
+    for (i, x), on, short in zip(raw, covered_bytes([x for _, x in raw], length), covered_bytes([x for _, x in raw], passage or length)):
         edges = np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))
-        out.append((i, len(x), int(on.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(np.frombuffer(x, np.uint8)[~on])).hexdigest()))
+        out.append((i, len(x), int(on.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(np.frombuffer(x, np.uint8)[~on])).hexdigest(), int(short.sum())))
     return out
 
 
@@ -45,16 +53,48 @@ def key(r):
     return [(v is None, str(v)) for v in r]
 
 
-@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 300])
-def test_repeated_strings(spark, docs_of, monkeypatch, block):
+@pytest.mark.parametrize("block,piece,short", [(suffix_dedup.BLOCK, suffix_dedup.PIECE, None), (300, 64, None), (suffix_dedup.BLOCK, 64, 25), (300, suffix_dedup.PIECE, 25)])
+def test_repeated_strings(spark, docs_of, monkeypatch, block, piece, short):
     rng = random.Random(2)
     passage = words(rng, 12)
     rows = [(i, words(rng, 20) + passage[rng.randint(0, 9) :] + words(rng, rng.randint(0, 20), "éàüxyz")) for i in range(40)]
     rows += [(50, ""), (51, None), (52, "short"), (53, "ab " * 60), (54, rows[3][1]), (3, rows[3][1]), (None, rows[5][1]), (55, "é" * 50)]
     made = suffix_dedup.repeated_windows
+    rows += [(60 + i, rows[i][1][: 60 + i]) for i in range(5)]
     monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda *a, **k: made(*a, **k, block=block))
-    got = suffix_dedup.removed_bytes(docs_of(rows, extra=True), length=40).collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute_repeats(rows, 40), key=key)
+    monkeypatch.setattr(suffix_dedup, "_keyed", pieces(suffix_dedup._keyed, piece))
+    got = suffix_dedup.removed_bytes(docs_of(rows, extra=True), length=40, passage=short).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_repeats(rows, 40, short), key=key)
+
+
+def pieces(made, piece):
+    """``made`` with pieces of another size, set in the worker."""
+
+    def of(*args):
+        inner = made(*args)
+
+        def run(batches):
+            from weft.llm import suffix_dedup
+
+            suffix_dedup.PIECE = piece
+            yield from inner(batches)
+
+        return run
+
+    return of
+
+
+def test_repeated_strings_of_nothing(spark, docs_of):
+    got = suffix_dedup.removed_bytes(docs_of([]), passage=200)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"] and got.count() == 0
+
+
+def test_suffix_deduplicate_with_clashing_names(spark):
+    passage = words(random.Random(8), 40)
+    docs = spark.createDataFrame([(i, f"{i} {passage} {i}", "d", i, 1.5, "x", 7) for i in range(3)] + [(9, None, "n", 0, 0.5, None, 8)], "doc_id bigint, text string, d string, t bigint, p double, _d string, _p int")
+    out = {r["doc_id"]: r for r in suffix_dedup.deduplicate(docs, length=60).collect()}
+    assert out[0]["text"] == f"0 {passage} 0" and passage not in out[2]["text"] and out[9]["text"] is None
+    assert all(tuple(r)[2:] == ("d", r["doc_id"], 1.5, "x", 7) for i, r in out.items() if i < 9) and tuple(out[9])[2:] == ("n", 0, 0.5, None, 8)
 
 
 @pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 300])

@@ -46,6 +46,18 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
     return df.mapInArrow(run, schema)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that none of ``columns`` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while f"_{n}".lower() in taken:
+            n = f"_{n}"
+        taken.add(f"_{n}".lower())
+        out.append(f"_{n}")
+    return out
+
+
 def _arrow_schema(struct: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

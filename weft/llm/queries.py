@@ -11,7 +11,7 @@ from weft.llm.common import table
 
 
 def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed_bytes(table(spark, sf_dir, "documents"))
+    return suffix_dedup.removed_bytes(table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
