@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written and read by the next.
 
 Quality classification, near-duplicate removal on five-word shingles at a
-similarity of 0.8, removal of repeated 400-byte strings, mixing of sources and
+similarity of 0.8, removal of repeated passages of 200 bytes, mixing of sources and
 packing into sequences.  Columns stay those of ``documents`` up to the last stage,
 which returns one row for each packed piece.
 """
@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that an earlier place holds."""
-    return suffix_dedup.deduplicate(docs)
+    """Texts without the passages of ``PASSAGE`` bytes that an earlier place holds."""
+    return suffix_dedup.deduplicate(docs, length=suffix_dedup.PASSAGE)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
