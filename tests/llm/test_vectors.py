@@ -54,15 +54,48 @@ def brute_links(rows, cosine):
     return sorted((rows[i][0], links[i], least[find(i)], least[find(i)] == rows[i][0]) for i in range(n))
 
 
-@pytest.mark.parametrize("block,part", [(1024, 128), (16, 8)])
-def test_grid_join(spark, monkeypatch, block, part):
+@pytest.mark.parametrize("block,part,tile,lengths", [(1024, 128, 8, 16), (16, 8, 2, 16), (4, 8, 3, 0)])
+def test_grid_join(spark, monkeypatch, block, part, tile, lengths):
+    # Blocks, tiles and stretches are cut by the driver's plan, parts by the tasks.
+    placed, blocked = embedding_dedup._placed, embedding_dedup._blocked
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "STRETCH", 2 * tile)
+    monkeypatch.setattr(embedding_dedup, "INTERVAL", 3)
+    monkeypatch.setattr(embedding_dedup, "_placed", lambda axes, eps: placed(axes if lengths else {}, eps))
+    monkeypatch.setattr(embedding_dedup, "_blocked", in_worker(lambda axes: blocked(axes if lengths else {}), BLOCK=block, PART=part))
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-    monkeypatch.setattr(embedding_dedup, "PART", part)
     rows = near_table()
     got = embedding_dedup.near_duplicates(table(spark, rows)).collect()
     assert sorted(map(tuple, got)) == brute_links(rows, 0.93)
 
 
+def in_worker(made, **values):
+    """``made`` whose function runs under other constants of the module."""
+
+    def of(*args):
+        inner = made(*args)
+
+        def run(batches):
+            from weft.llm import embedding_dedup
+
+            for c, v in values.items():
+                setattr(embedding_dedup, c, v)
+            yield from inner(batches)
+
+        return run
+
+    return of
+
+
+def test_join_tasks_copy_few_blocks(spark):
+    """Vectors are copied for each tile, not for each pair of blocks."""
+    n = 64
+    blocks = spark.createDataFrame([(2, 1, 0, k, b"", b"", b"", b"", b"") for k in range(n)], "dim int, grp bigint, part int, k int, lo binary, hi binary, cls binary, copies binary, x binary")
+    pairs = blocks.select("dim", "grp", "part", "k").crossJoin(blocks.selectExpr("part as part2", "k as k2")).where("k <= k2")
+    copies = embedding_dedup._tasks(pairs, blocks).count()
+    assert pairs.count() == n * (n + 1) // 2 and copies < pairs.count() / 3
+
+
 def test_grid_join_of_nothing(spark):
     assert embedding_dedup.near_duplicates(table(spark, [])).count() == 0
     got = embedding_dedup.near_duplicates(table(spark, [(4, None, 1), (5, [1.0], None)])).collect()
@@ -74,10 +107,16 @@ def test_boxes_never_exclude_links():
     x = rng.normal(size=(300, 8))
     axes = np.linalg.qr(rng.normal(size=(8, 8)))[0]
     ids, ones = np.arange(300), np.ones(300, np.int64)
-    count, _ = embedding_dedup.join_blocks((ids, ones, x), None, axes, 0.8)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = ((u @ u.T) >= 0.8).sum(axis=1) - 1
-    assert [count.get(i, 0) for i in range(300)] == want.tolist()
+    for cut in (0, 130):
+        links = embedding_dedup.Links({8: axes}, 0.8)
+        one, two = links.parts(ids[:cut], ones[:cut], x[:cut]), links.parts(ids[cut:], ones[cut:], x[cut:])
+        links.join(two, None)
+        if cut:
+            links.join(one, None)
+            links.join(one, two)
+        assert [links.count.get(i, 0) for i in range(300)] == want.tolist()
 
 
 def brute_nearest(rows, every, k):

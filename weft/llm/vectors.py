@@ -38,21 +38,20 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, dims = [], []
         for i, good in enumerate(ok.tolist()):
             if good and groups[i] is not None:
-                h = hashlib.blake2b(plain[lo[i] : hi[i]].tobytes(), digest_size=8, key=repr(groups[i]).encode()[:64])
-                cls.append(int.from_bytes(h.digest(), "little", signed=True))
+                cls.append(hashlib.blake2b(plain[lo[i] : hi[i]].tobytes(), digest_size=16, key=repr(groups[i]).encode()[:64]).digest())
                 dims.append(int(lengths[i]))
             else:
                 cls.append(None)
                 dims.append(None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.int64()), pa.array(dims, pa.int32()), b.column(1), b.column(2)], names=["vec_id", "cls", "dim", "grp", "embedding"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.binary()), pa.array(dims, pa.int32()), b.column(1), b.column(2)], names=["vec_id", "cls", "dim", "grp", "embedding"])
 
 
 def classed(df: DataFrame, group) -> DataFrame:
-    """(vec_id, cls, dim, grp, embedding): ``cls`` is the same for identical vectors of a group, and null for vectors that take no part.
+    """(vec_id, cls, dim, grp, embedding): ``cls``, a digest of 16 bytes, is the same for identical vectors of a group, and null for vectors that take no part.
 
     Those are null, empty and zero vectors, vectors with null or non-finite
     components, and vectors whose group is null.
     """
     ship(df.sparkSession)
     rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), group.cast("bigint").alias("grp"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(_classes, "vec_id bigint, cls bigint, dim int, grp bigint, embedding array<double>")
+    return rows.mapInArrow(_classes, "vec_id bigint, cls binary, dim int, grp bigint, embedding array<double>")
