@@ -27,26 +27,53 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster that
+    would be another folder for each machine, so it is an error.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-ckpt-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    What operators return reads some of them when it is computed, so this is for
+    the end of a job, or between jobs whose results are written.  A folder that an
+    application leaves behind bears its id and may be deleted by anybody.
+    """
+    _delete(spark, _own(spark))
+
+
 class Workspace:
-    """Intermediate Parquet tables of one operator call, in the shared folder.
+    """Intermediate Parquet tables of one operator call, in the shared folder, below the application's id.
 
-    ``write`` cuts lineage; ``drop`` deletes a table that no later plan reads.
+    ``write`` cuts lineage; ``drop`` deletes a table that no later plan reads, and
+    ``clean`` what is left once results are written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
@@ -65,6 +92,4 @@ class Workspace:
         for df in frames:
             path = getattr(df, "_weft_path", None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
