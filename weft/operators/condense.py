@@ -17,7 +17,7 @@ from weft.session import Workspace, ship
 #: Graphs of at most so many edges are condensed on the driver: about 16 bytes for each end.
 DRIVER_EDGES = 500_000
 #: Of larger ones, what is left of at most so many edges is finished in one task.
-FINISH = 200_000
+FINISH = 500_000
 ROUNDS = 100_000
 
 

@@ -74,11 +74,11 @@ class Search:
         return spark.read.schema(self.frontier.schema).parquet(*(x._weft_path for x in self.levels)).select("id", "dist")
 
 
-def distances(edges: DataFrame, starts: DataFrame, forward: bool = True, max_depth: int | None = None) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, forward: bool = True, max_depth: int | None = None, driver_edges: int | None = None) -> DataFrame:
     """(id, dist): hops from the nearest of ``starts`` along (or against) edges (src, dst); nodes out of reach are left out."""
     space = Workspace(edges.sparkSession, "bfs")
     edges = space.stored(edges, "edges")
-    graph = LocalGraph.of(edges, DRIVER_EDGES)
+    graph = LocalGraph.of(edges, DRIVER_EDGES if driver_edges is None else driver_edges)
     ids = ids_of(starts, DRIVER_EDGES) if graph else None
     if ids is not None:
         local = graph.search(ids, forward)
@@ -118,7 +118,7 @@ def _back(levels: list[DataFrame], node) -> list:
     return out[::-1]
 
 
-def shortest_path(edges: DataFrame, source, target, max_depth: int | None = DEFAULT_DEPTH, most: int = VISITED_ONE_SIDE) -> DataFrame:
+def shortest_path(edges: DataFrame, source, target, max_depth: int | None = DEFAULT_DEPTH, most: int = VISITED_ONE_SIDE, driver_edges: int | None = None) -> DataFrame:
     """(path, found): breadth first from ``source`` alone, ``max_depth`` hops at most.
 
     The search stops once ``most`` nodes are visited, counted after each level. A
@@ -132,7 +132,7 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int | None = DEFA
         return path_row(spark, None)
     if source == target:
         return path_row(spark, [source])
-    graph = LocalGraph.of(edges, DRIVER_EDGES)
+    graph = LocalGraph.of(edges, DRIVER_EDGES if driver_edges is None else driver_edges)
     if graph:
         local, goal = graph.search([source]), graph.at[target]
         while local.last and local.size < (most or float("inf")) and (max_depth is None or local.depth < max_depth):
@@ -148,7 +148,7 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int | None = DEFA
     return path_row(spark, None)
 
 
-def bidirectional_path(edges: DataFrame, source, target, max_depth: int = DEFAULT_DEPTH, most: int = VISITED_ONE_SIDE) -> DataFrame:
+def bidirectional_path(edges: DataFrame, source, target, max_depth: int = DEFAULT_DEPTH, most: int = VISITED_ONE_SIDE, driver_edges: int | None = None) -> DataFrame:
     """(path, found): both ends take turns; ``max_depth`` counts the steps of both.
 
     The step of a side that is exhausted or has visited ``most`` nodes is lost. The
@@ -161,7 +161,7 @@ def bidirectional_path(edges: DataFrame, source, target, max_depth: int = DEFAUL
         return path_row(spark, None)
     if source == target:
         return path_row(spark, [source])
-    graph = LocalGraph.of(edges, DRIVER_EDGES)
+    graph = LocalGraph.of(edges, DRIVER_EDGES if driver_edges is None else driver_edges)
     if graph:
         sides = graph.search([source]), graph.search([target], forward=False)
         for turn in range(max_depth):

@@ -32,7 +32,7 @@ def check_weights(edges: DataFrame) -> None:
         raise ValueError("weights must not be negative")
 
 
-def costs(edges: DataFrame, starts: DataFrame, max_cost: float = MAX_COST, forward: bool = True, rounds: int = 10_000, bounds: DataFrame | None = None) -> DataFrame:
+def costs(edges: DataFrame, starts: DataFrame, max_cost: float = MAX_COST, forward: bool = True, rounds: int = 10_000, bounds: DataFrame | None = None, driver_edges: int | None = None) -> DataFrame:
     """(id, cost, hops) of nodes within ``max_cost`` of the nearest of ``starts``.
 
     ``bounds`` (id, h) drops labels with cost + h above ``max_cost``.
@@ -40,7 +40,7 @@ def costs(edges: DataFrame, starts: DataFrame, max_cost: float = MAX_COST, forwa
     space = Workspace(edges.sparkSession, "relax")
     edges = space.stored(edges, "edges")
     check_weights(edges)
-    graph = LocalGraph.of(edges, traverse.DRIVER_EDGES)
+    graph = LocalGraph.of(edges, traverse.DRIVER_EDGES if driver_edges is None else driver_edges)
     ids = ids_of(starts, traverse.DRIVER_EDGES) if graph else None
     if ids is not None:
         low = {graph.at[r["id"]]: r["h"] for r in bounds.toLocalIterator() if r["id"] in graph.at} if bounds is not None else None
@@ -82,26 +82,26 @@ def _cost_path(edges: DataFrame, labels: DataFrame, target) -> list:
     return out[::-1]
 
 
-def dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST) -> DataFrame:
+def dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST, driver_edges: int | None = None) -> DataFrame:
     """(path, found, cost): cheapest path of at most ``max_cost``; of equal ones the one of fewest hops and smallest parents."""
-    return _search(edges, source, target, max_cost, None)
+    return _search(edges, source, target, max_cost, None, driver_edges)
 
 
-def _search(edges: DataFrame, source, target, max_cost: float, bounds: DataFrame | None) -> DataFrame:
+def _search(edges: DataFrame, source, target, max_cost: float, bounds: DataFrame | None, driver_edges: int | None = None) -> DataFrame:
     spark = edges.sparkSession
     edges = Workspace(spark, "weighted").stored(edges, "edges")
     if not exists(edges, source) or not exists(edges, target):
         return path_row(spark, None).withColumn("cost", F.lit(None).cast("double"))
     if source == target:
         return path_row(spark, [source]).withColumn("cost", F.lit(0.0))
-    labels = costs(edges, _one(spark, edges, source), max_cost, bounds=bounds)
+    labels = costs(edges, _one(spark, edges, source), max_cost, bounds=bounds, driver_edges=driver_edges)
     found = labels.where(F.col("id") == F.lit(target)).first()
     if not found:
         return path_row(spark, None).withColumn("cost", F.lit(None).cast("double"))
     return path_row(spark, _cost_path(edges, labels, target)).withColumn("cost", F.lit(float(found["cost"])))
 
 
-def bidirectional_dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST, per_side: bool = False) -> DataFrame:
+def bidirectional_dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST, per_side: bool = False, driver_edges: int | None = None) -> DataFrame:
     """(found, cost, meeting): least cost over both sides' labels.
 
     ``max_cost`` bounds the path; with ``per_side`` it bounds each side alone, so
@@ -113,8 +113,8 @@ def bidirectional_dijkstra(edges: DataFrame, source, target, max_cost: float = M
     if not exists(edges, source) or not exists(edges, target):
         return none
     each = max_cost if per_side else max_cost / 2 + _largest(edges)
-    ahead = costs(edges, _one(spark, edges, source), min(each, max_cost))
-    behind = costs(edges, _one(spark, edges, target), min(each, max_cost), forward=False)
+    ahead = costs(edges, _one(spark, edges, source), min(each, max_cost), driver_edges=driver_edges)
+    behind = costs(edges, _one(spark, edges, target), min(each, max_cost), forward=False, driver_edges=driver_edges)
     met = ahead.join(behind.select("id", F.col("cost").alias("back")), "id").select((F.col("cost") + F.col("back")).alias("cost"), "id").orderBy("cost", "id").first()
     if not met or (met["cost"] > max_cost and not per_side):
         return none
@@ -125,7 +125,7 @@ def _largest(edges: DataFrame) -> float:
     return float(_weights(edges).agg(F.max("w")).first()[0] or 1.0)
 
 
-def landmarks(edges: DataFrame, count: int = LANDMARKS, start=None) -> DataFrame:
+def landmarks(edges: DataFrame, count: int = LANDMARKS, start=None, driver_edges: int | None = None) -> DataFrame:
     """(landmark, node, dist_from, dist_to): hops from and to landmarks, null where out of reach.
 
     The first is the node farthest from ``start`` (the smallest id if not given);
@@ -140,14 +140,14 @@ def landmarks(edges: DataFrame, count: int = LANDMARKS, start=None) -> DataFrame
         start = edges.agg(F.min(F.least("src", "dst"))).first()[0]
     out = []
     if start is not None:
-        near = distances(edges, _one(spark, edges, start))
+        near = distances(edges, _one(spark, edges, start), driver_edges=driver_edges)
         while len(out) < count:
             top = near.where("dist > 0").orderBy(F.desc("dist"), "id").first()
             if not top and out:
                 break
             mark = top["id"] if top else start
             one = _one(spark, edges, mark)
-            there, back = distances(edges, one), distances(edges, one, forward=False)
+            there, back = distances(edges, one, driver_edges=driver_edges), distances(edges, one, forward=False, driver_edges=driver_edges)
             both = there.select("id", F.col("dist").alias("dist_from")).join(back.select("id", F.col("dist").alias("dist_to")), "id", "full")
             out.append(space.write(both.select(F.lit(mark).cast(kind).alias("landmark"), F.col("id").alias("node"), "dist_from", "dist_to"), "landmark"))
             away = there if len(out) == 1 else near.unionByName(there).groupBy("id").agg(F.min("dist").alias("dist"))
@@ -168,13 +168,13 @@ def heuristic(marks: DataFrame, target) -> DataFrame:
     return both.groupBy(F.col("node").alias("id")).agg(F.max(low).alias("h"))
 
 
-def a_star(edges: DataFrame, source, target, marks: DataFrame | None = None, max_cost: float = MAX_COST) -> DataFrame:
+def a_star(edges: DataFrame, source, target, marks: DataFrame | None = None, max_cost: float = MAX_COST, driver_edges: int | None = None) -> DataFrame:
     """(path, found, cost): as ``dijkstra``, labels whose cost plus landmark bound exceed ``max_cost`` being dropped.
 
     Bounds count hops, so they are used only where every weight is 1 or more.
     """
     if marks is None or "weight" in edges.columns and not edges.where("weight < 1").limit(1).isEmpty():
-        return dijkstra(edges, source, target, max_cost)
+        return dijkstra(edges, source, target, max_cost, driver_edges)
     space = Workspace(edges.sparkSession, "astar")
     h = space.write(heuristic(marks, target), "bounds")
-    return _search(edges, source, target, max_cost, h)
+    return _search(edges, source, target, max_cost, h, driver_edges)

@@ -30,25 +30,51 @@ def full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_edges(full_table(spark, sf_dir))
 
 
-def parts(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
-    """(src, dst): parts that follow each other in an order, once; ``line`` are the order lines, all of them by default."""
-    line = table(spark, sf_dir, "lineitem") if line is None else line
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): parts that follow each other in an order, each time."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    pairs = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
-    return pairs.where("dst is not null and dst != src").distinct()
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return rows.where("dst is not null and dst != src")
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part graph of every sixteenth order only, whose closure SQL can hold."""
-    return parts(spark, sf_dir, table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 16 == 0))
+PAIRS = (
+    "pairs AS (SELECT a AS src, b AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS b"
+    " FROM lineitem) WHERE b IS NOT NULL AND b <> a)"
+)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part graph: (src, dst) of parts that follow each other in an order, once."""
+    return pairs(spark, sf_dir).distinct()
+
+
+PARTS = PAIRS + ", g AS (SELECT DISTINCT src, dst FROM pairs)"
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cust, k, a, b, p, q): the orders of each customer by date, the next one, and the priorities of both."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cust"), F.row_number().over(w).alias("k"), F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"),
+        F.col("o_orderpriority").alias("p"), F.lead("o_orderpriority").over(w).alias("q"),
+    )
 
 
-SPARSE = (
-    "g AS (SELECT DISTINCT a AS src, b AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS b"
-    " FROM lineitem WHERE l_orderkey % 16 = 0) WHERE b IS NOT NULL AND b <> a)"
+SEQUENCES = (
+    "h AS (SELECT o_custkey AS cust, row_number() OVER w AS k, o_orderkey AS a, lead(o_orderkey) OVER w AS b, o_orderpriority AS p, lead(o_orderpriority) OVER w AS q"
+    " FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 )
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order graph: from each order to the customer's next, and back where both have one priority; a weak component for each customer, strong ones of any length."""
+    h = sequences(spark, sf_dir).where("b is not null")
+    return h.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(h.where("p = q").select(F.col("b").alias("src"), F.col("a").alias("dst")))
+
+
+ORDERS = SEQUENCES + ", g AS (SELECT a AS src, b AS dst FROM h WHERE b IS NOT NULL UNION SELECT b, a FROM h WHERE b IS NOT NULL AND p = q)"
+
+
 def event_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, step, id, via): events of a user as visits, in order of time; odd events came through a predecessor."""
     e = table(spark, sf_dir, "events")
@@ -122,12 +148,20 @@ def _literal(v, kind: T.DataType) -> str:
 HEA = "hea AS (" + " UNION ALL ".join("SELECT " + ", ".join(f"{_literal(v, f.dataType)} AS {f.name}" for v, f in zip(r, HEADER)) for r in HEADERS) + ")"
 
 
-def dag(spark: SparkSession, sf_dir: str, graph=sparse) -> DataFrame:
-    """The edges of a part graph that lead to larger ids."""
-    return graph(spark, sf_dir).where("src < dst")
+def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the part graph that lead to larger ids."""
+    return parts(spark, sf_dir).where("src < dst")
+
+
+DAG = PAIRS + ", g AS (SELECT DISTINCT src, dst FROM pairs WHERE src < dst)"
+
+
+def order_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each order to the customer's next: chains."""
+    return sequences(spark, sf_dir).where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-DAG = SPARSE.replace("g AS", "s AS", 1) + ", g AS (SELECT * FROM s WHERE src < dst)"
+ORDER_DAG = SEQUENCES + ", g AS (SELECT a AS src, b AS dst FROM h WHERE b IS NOT NULL)"
 
 
 def places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import inspect
-import re
+import json
+import zlib
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.model import duplicate_keys, nodes_of, wide_to_edges
+from weft.model import duplicate_keys, nodes_of, to_edges, wide_to_edges
 from weft.operators import condense, history, layout, lookup, procs, traverse, weighted
 from weft.operators.components import components
 from weft.plans import derived as D
-from weft.sources import catalog, edges as sources, tabular, text
+from weft.session import Workspace
+from weft.sources import catalog, edges as sources, sinks, tabular, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,35 +115,43 @@ def neighbour_lists(spark, sf):
     return lookup.neighbour_lists(D.event(spark, sf)).select("id", F.array_join("predecessors", ",").alias("predecessors"), F.array_join("successors", ",").alias("successors"))
 
 
-_SOME = "SELECT src FROM g WHERE src % 40 = 3"
+#: The parts that lookups and searches of several nodes start from.
+_SOME = "SELECT p_partkey FROM part WHERE p_brand = 'Brand#11'"
 
 
-def _some(g):
-    return g.where("src % 40 = 3").select(F.col("src").alias("id"))
+def _some(spark, sf):
+    return D.table(spark, sf, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("id"))
 
 
-@query("edges_from", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE src IN ({_SOME})")
-def edges_from(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
-    return lookup.edges_from(g, _some(g))
+@query("edges_from", f"WITH {D.PARTS} SELECT src, dst FROM g WHERE src IN ({_SOME})")
+def edges_from(spark, sf):
+    g = D.parts(spark, sf)
+    return lookup.edges_from(g, _some(spark, sf))
 
 
-@query("edges_into", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE dst IN ({_SOME})")
-def edges_into(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
-    return lookup.edges_into(g, _some(g)).select("src", "dst")
+@query("edges_into", f"WITH {D.PARTS} SELECT src, dst FROM g WHERE dst IN ({_SOME})")
+def edges_into(spark, sf):
+    g = D.parts(spark, sf)
+    return lookup.edges_into(g, _some(spark, sf)).select("src", "dst")
 
 
-@query("edges_touching", f"WITH {D.SPARSE} SELECT src, dst FROM g WHERE src IN ({_SOME}) OR dst IN ({_SOME})")
-def edges_touching(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
-    return lookup.edges_touching(g, _some(g))
+@query("edges_touching", f"WITH {D.PARTS} SELECT src, dst FROM g WHERE src IN ({_SOME}) OR dst IN ({_SOME})")
+def edges_touching(spark, sf):
+    g = D.parts(spark, sf)
+    return lookup.edges_touching(g, _some(spark, sf))
 
 
-@query("row_difference", f"WITH {D.SPARSE}, a AS (SELECT src, dst FROM g WHERE src % 3 = 0), b AS (SELECT src, dst FROM g WHERE src % 3 = 0 AND dst % 5 <> 0 OR src % 31 = 1) SELECT *, 'left' AS side FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT *, 'right' FROM (FROM b EXCEPT ALL FROM a)")
-def row_difference(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
-    return lookup.row_difference(g.where("src % 3 = 0"), g.where("src % 3 = 0 and dst % 5 != 0 or src % 31 = 1"))
+@query("row_difference", f"WITH {D.PARTS}, r AS (SELECT dst AS src, src AS dst FROM g) SELECT *, 'left' AS side FROM (FROM g EXCEPT ALL FROM r) UNION ALL SELECT *, 'right' FROM (FROM r EXCEPT ALL FROM g)")
+def row_difference(spark, sf):
+    """What the part graph and its reverse do not share."""
+    g = D.parts(spark, sf)
+    return lookup.row_difference(g, g.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@query("node_exists", f"WITH {D.PARTS} SELECT (SELECT min(src) FROM g) AS id, true AS found UNION ALL SELECT -1, false")
+def node_exists(spark, sf):
+    g = D.parts(spark, sf)
+    return spark.createDataFrame([(x, traverse.exists(g, x)) for x in (ends(g)[0], -1)], "id bigint, found boolean")
 
 
 @query("global_stats", f"WITH {D.FULL}, {NODES}, c AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM g)) AS edges) SELECT nodes, edges, round_even(edges / (CAST(nodes AS DOUBLE) * (nodes - 1)), 6) AS density, round_even(2.0 * edges / CAST(nodes AS DOUBLE), 2) AS average_degree FROM c")
@@ -164,9 +172,11 @@ def max_degree(spark, sf):
     return lookup.max_degree(D.full(spark, sf))
 
 
-@query("isolated_nodes", f"WITH {D.SPARSE}, {NODES} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT id FROM n)")
-def isolated_nodes(spark, sf, graph=D.sparse):
-    found = lookup.degrees(graph(spark, sf), D.table(spark, sf, "part").select(F.col("p_partkey").alias("id")))
+@query("isolated_nodes", f"WITH {D.SEQUENCES}, e AS (SELECT a, b FROM h WHERE p = q), n AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT id FROM n)")
+def isolated_nodes(spark, sf):
+    """Orders whose neighbours among the customer's orders have other priorities."""
+    same = D.sequences(spark, sf).where("p = q").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = lookup.degrees(same, D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
     return found.where("degree = 0").select("id")
 
 
@@ -180,9 +190,9 @@ def graph_statistics(spark, sf):
     return lookup.compute_stats(D.event(spark, sf))
 
 
-@query("looks_layerable", f"WITH {D.SPARSE}, {NODES} SELECT (SELECT count(*) FROM g) < 1.5 * count(*) AS layerable FROM n")
-def looks_layerable(spark, sf, graph=D.sparse):
-    return lookup.looks_layerable(graph(spark, sf))
+@query("looks_layerable", f"WITH {D.PARTS}, {NODES} SELECT (SELECT count(*) FROM g) < 1.5 * count(*) AS layerable FROM n")
+def looks_layerable(spark, sf):
+    return lookup.looks_layerable(D.parts(spark, sf))
 
 
 # The wide table.
@@ -207,9 +217,9 @@ def nodes_list_cached(spark, sf):
     return procs.nodes_list(wide, " ", "", max_rows=10, cached=procs.stats(wide))
 
 
-@query("nodes_list_filtered", _nodes_list("lower(DTA_2) LIKE '%steel%' AND lower(DTA_4) LIKE '%an%'", "lower(DTA_2) LIKE '%steel%' AND lower(DTA_4) LIKE '%an%'", 100))
+@query("nodes_list_filtered", _nodes_list("lower(DTA_2) LIKE '%eco%' AND lower(DTA_4) LIKE '%1%'", "lower(DTA_2) LIKE '%eco%' AND lower(DTA_4) LIKE '%1%'", 100))
 def nodes_list_filtered(spark, sf):
-    return procs.nodes_list(D.wide(spark, sf), table="Steel", env="AN")
+    return procs.nodes_list(D.wide(spark, sf), table="Eco", env="1")
 
 
 PATTERN = "regexp_matches(DTA_1, '(?i)^.*d.b.*#[2-4][^13].*$')"
@@ -299,25 +309,31 @@ def wide_edges(spark, sf):
 
 
 def _bfs(a: str, b: str, start: str, depth: int) -> str:
-    return f"WITH RECURSIVE {D.SPARSE}, d(id, k) AS (SELECT {start}, 0 FROM g UNION SELECT {b}, k + 1 FROM d JOIN g ON {a} = id WHERE k < {depth}) SELECT id, CAST(min(k) AS INTEGER) AS dist FROM d GROUP BY id"
+    return f"WITH RECURSIVE {D.PARTS}, d(id, k) AS (SELECT {start}, 0 FROM g UNION SELECT {b}, k + 1 FROM d JOIN g ON {a} = id WHERE k < {depth}) SELECT id, CAST(min(k) AS INTEGER) AS dist FROM d GROUP BY id"
 
 
 @query("bfs_distances", _bfs("src", "dst", "min(src)", 40))
-def bfs_distances(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+def bfs_distances(spark, sf):
+    g = D.parts(spark, sf)
     return traverse.distances(g, one(spark, ends(g)[0], "bigint"), max_depth=40)
 
 
 @query("bfs_backward", _bfs("dst", "src", "max(dst)", 6))
-def bfs_backward(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+def bfs_backward(spark, sf):
+    g = D.parts(spark, sf)
     return traverse.distances(g, one(spark, ends(g)[1], "bigint"), forward=False, max_depth=6)
 
 
-@query("bfs_multi_source", f"WITH RECURSIVE {D.SPARSE}, d(id, k) AS (SELECT DISTINCT src, 0 FROM g WHERE src % 50 = 7 UNION SELECT dst, k + 1 FROM d JOIN g ON src = id WHERE k < 5) SELECT id, CAST(min(k) AS INTEGER) AS dist FROM d GROUP BY id")
-def bfs_multi_source(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
-    return traverse.distances(g, g.where("src % 50 = 7").select("src"), max_depth=5)
+@query("bfs_multi_source", f"WITH RECURSIVE {D.PARTS}, d(id, k) AS (SELECT DISTINCT p_partkey, 0 FROM part WHERE p_brand = 'Brand#11' UNION SELECT dst, k + 1 FROM d JOIN g ON src = id WHERE k < 5) SELECT id, CAST(min(k) AS INTEGER) AS dist FROM d GROUP BY id")
+def bfs_multi_source(spark, sf):
+    g = D.parts(spark, sf)
+    return traverse.distances(g, _some(spark, sf), max_depth=5)
+
+
+@query("bfs_distributed", _bfs("src", "dst", "min(src)", 40))
+def bfs_distributed(spark, sf):
+    g = D.parts(spark, sf)
+    return traverse.distances(g, one(spark, ends(g)[0], "bigint"), max_depth=40, driver_edges=0)
 
 
 def _path(base: str, depth: int, s: str = "min(src)", t: str = "max(dst)") -> str:
@@ -331,21 +347,27 @@ def _shown(path: DataFrame) -> DataFrame:
     return path.select(F.array_join("path", ">").alias("path"), "found")
 
 
-@query("shortest_path_one_sided", _path(D.SPARSE, DEPTH))
-def shortest_path_one_sided(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+@query("shortest_path_one_sided", _path(D.PARTS, DEPTH))
+def shortest_path_one_sided(spark, sf):
+    g = D.parts(spark, sf)
     return _shown(traverse.shortest_path(g, *ends(g), max_depth=DEPTH))
 
 
-@query("shortest_path_bidirectional", _path(D.SPARSE, DEPTH))
-def shortest_path_bidirectional(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+@query("shortest_path_bidirectional", _path(D.PARTS, DEPTH))
+def shortest_path_bidirectional(spark, sf):
+    g = D.parts(spark, sf)
     return _shown(traverse.bidirectional_path(g, *ends(g), max_depth=DEPTH))
 
 
-@query("shortest_path_unbounded", _path(D.SPARSE, 60))
-def shortest_path_unbounded(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+@query("shortest_path_distributed", _path(D.PARTS, DEPTH))
+def shortest_path_distributed(spark, sf):
+    g = D.parts(spark, sf)
+    return _shown(traverse.bidirectional_path(g, *ends(g), max_depth=DEPTH, driver_edges=0))
+
+
+@query("shortest_path_unbounded", _path(D.PARTS, 60))
+def shortest_path_unbounded(spark, sf):
+    g = D.parts(spark, sf)
     return _shown(traverse.shortest_path(g, *ends(g), max_depth=None, most=0))
 
 
@@ -377,157 +399,176 @@ def path_subgraph(spark, sf):
 RINGS = "u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), r(id, k) AS (SELECT min(src), 0 FROM g UNION SELECT b, k + 1 FROM r JOIN u ON a = id WHERE k < {k}), ring AS (SELECT id, CAST(min(k) AS INTEGER) AS dist FROM r GROUP BY id)"
 
 
-@query("neighborhood_nodes", f"WITH RECURSIVE {D.SPARSE}, {RINGS.format(k=3)} SELECT id, dist FROM ring")
-def neighborhood_nodes(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+#: The order graph is thin enough for three rings to stay below the operator's bound of 2000 nodes.
+@query("neighborhood_nodes", f"WITH RECURSIVE {D.ORDERS}, {RINGS.format(k=3)} SELECT id, dist FROM ring")
+def neighborhood_nodes(spark, sf):
+    g = D.orders(spark, sf)
     return traverse.neighborhood(g, ends(g)[0], 3, 2000)[0]
 
 
-@query("neighborhood_edges", f"WITH RECURSIVE {D.SPARSE}, {RINGS.format(k=3)} SELECT src, dst FROM g JOIN ring a ON a.id = src JOIN ring b ON b.id = dst WHERE a.dist < 3 OR b.dist < 3")
-def neighborhood_edges(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+@query("neighborhood_edges", f"WITH RECURSIVE {D.ORDERS}, {RINGS.format(k=3)} SELECT src, dst FROM g JOIN ring a ON a.id = src JOIN ring b ON b.id = dst WHERE a.dist < 3 OR b.dist < 3")
+def neighborhood_edges(spark, sf):
+    g = D.orders(spark, sf)
     return traverse.neighborhood(g, ends(g)[0], 3, 2000)[1]
 
 
-WEIGHTED = D.SPARSE.replace("g AS", "s AS", 1) + ", g AS (SELECT src, dst, CAST((src + dst) % 4 + 1 AS DOUBLE) AS weight FROM s)"
+WEIGHTED = D.PARTS.replace(" g AS", " s AS", 1) + ", g AS (SELECT src, dst, CAST((src + dst) % 4 + 1 AS DOUBLE) AS weight FROM s)"
 COSTS = f"c(id, cost) AS (SELECT min(src), CAST(0 AS DOUBLE) FROM g UNION SELECT dst, cost + weight FROM c JOIN g ON src = id WHERE cost + weight <= {COST}), best AS (SELECT id, min(cost) AS cost FROM c GROUP BY id)"
 
 
-def _weighted(spark, sf, graph):
-    return graph(spark, sf).withColumn("weight", ((F.col("src") + F.col("dst")) % 4 + 1).cast("double"))
+def _weighted(spark, sf):
+    return D.parts(spark, sf).withColumn("weight", ((F.col("src") + F.col("dst")) % 4 + 1).cast("double"))
 
 
 @query("dijkstra_costs", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT id, cost FROM best")
-def dijkstra_costs(spark, sf, graph=D.sparse):
-    g = _weighted(spark, sf, graph)
+def dijkstra_costs(spark, sf):
+    g = _weighted(spark, sf)
     return weighted.costs(g, one(spark, ends(g)[0], "bigint"), COST).select("id", "cost")
 
 
+@query("dijkstra_distributed", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT id, cost FROM best")
+def dijkstra_distributed(spark, sf):
+    g = _weighted(spark, sf)
+    return weighted.costs(g, one(spark, ends(g)[0], "bigint"), COST, driver_edges=0).select("id", "cost")
+
+
 FAR = "(SELECT max(id) FROM best)"
 
 
-def _far(spark, sf, graph):
-    g = _weighted(spark, sf, graph)
+def _far(spark, sf):
+    g = _weighted(spark, sf)
     s = ends(g)[0]
     return g, s, weighted.costs(g, one(spark, s, "bigint"), COST).agg(F.max("id")).first()[0]
 
 
 @query("dijkstra_weighted", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT true AS found, cost FROM best WHERE id = {FAR}")
-def dijkstra_weighted(spark, sf, graph=D.sparse):
-    return weighted.dijkstra(*_far(spark, sf, graph), COST).select("found", "cost")
+def dijkstra_weighted(spark, sf):
+    return weighted.dijkstra(*_far(spark, sf), COST).select("found", "cost")
 
 
 @query("dijkstra_bidirectional", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT true AS found, cost FROM best WHERE id = {FAR}")
-def dijkstra_bidirectional(spark, sf, graph=D.sparse):
-    return weighted.bidirectional_dijkstra(*_far(spark, sf, graph), COST).select("found", "cost")
+def dijkstra_bidirectional(spark, sf):
+    return weighted.bidirectional_dijkstra(*_far(spark, sf), COST).select("found", "cost")
 
 
-@query("astar_alt", _path(D.SPARSE, DEPTH))
-def astar_alt(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+@query("astar_alt", _path(D.PARTS, DEPTH))
+def astar_alt(spark, sf):
+    g = D.parts(spark, sf)
     s, t = ends(g)
     return _shown(weighted.a_star(g, s, t, weighted.landmarks(g, 2), DEPTH))
 
 
-@query("landmark_distances", f"""WITH RECURSIVE {D.SPARSE}, {NODES}, d(id, k) AS (SELECT min(id), 0 FROM n UNION SELECT dst, k + 1 FROM d JOIN g ON src = id WHERE k < 60), m AS (SELECT id, min(k) AS k FROM d GROUP BY id),
+@query("astar_distributed", _path(D.PARTS, DEPTH))
+def astar_distributed(spark, sf):
+    g = D.parts(spark, sf)
+    s, t = ends(g)
+    return _shown(weighted.a_star(g, s, t, weighted.landmarks(g, 2, driver_edges=0), DEPTH, driver_edges=0))
+
+
+@query("landmark_distances", f"""WITH RECURSIVE {D.PARTS}, {NODES}, d(id, k) AS (SELECT min(id), 0 FROM n UNION SELECT dst, k + 1 FROM d JOIN g ON src = id WHERE k < 60), m AS (SELECT id, min(k) AS k FROM d GROUP BY id),
 l AS (SELECT id FROM m WHERE k > 0 ORDER BY k DESC, id LIMIT 1), f(id, k) AS (SELECT id, 0 FROM l UNION SELECT dst, k + 1 FROM f JOIN g ON src = id WHERE k < 60), t(id, k) AS (SELECT id, 0 FROM l UNION SELECT src, k + 1 FROM t JOIN g ON dst = id WHERE k < 60),
 f1 AS (SELECT id, min(k) AS k FROM f GROUP BY id), t1 AS (SELECT id, min(k) AS k FROM t GROUP BY id)
 SELECT (SELECT id FROM l) AS landmark, coalesce(f1.id, t1.id) AS node, CAST(f1.k AS INTEGER) AS dist_from, CAST(t1.k AS INTEGER) AS dist_to FROM f1 FULL JOIN t1 ON f1.id = t1.id""")
-def landmark_distances(spark, sf, graph=D.sparse):
-    return weighted.landmarks(graph(spark, sf), 1)
+def landmark_distances(spark, sf):
+    return weighted.landmarks(D.parts(spark, sf), 1)
 
 
 # Components.
 
 LINKS = "u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), link(a, b) AS (SELECT a, b FROM u UNION SELECT l.a, u.b FROM link l JOIN u ON l.b = u.a), comp AS (SELECT a AS id, min(b) AS component FROM link GROUP BY a)"
 REACH = "reach(a, b) AS (SELECT src, dst FROM g UNION SELECT r.a, g.dst FROM reach r JOIN g ON r.b = g.src), sc AS (SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS scc FROM n LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id)"
-#: A thinner graph, whose closure a database can hold at any size of the tables.
-THIN = D.SPARSE.replace("% 16 = 0", "% 64 = 0")
 
 
-def _thin(spark, sf):
-    from pyspark.sql.window import Window
+@query("weak_components", f"WITH RECURSIVE {D.ORDERS}, {LINKS} SELECT id, component FROM comp")
+def weak_components(spark, sf):
+    return condense.weak_components(D.orders(spark, sf))
 
-    line = D.table(spark, sf, "lineitem").where(F.col("l_orderkey") % 64 == 0)
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and dst != src").distinct()
 
+@query("component_sizes", f"WITH RECURSIVE {D.ORDERS}, {LINKS} SELECT component, count(*) AS size FROM comp GROUP BY 1")
+def component_sizes(spark, sf):
+    return condense.component_sizes(condense.weak_components(D.orders(spark, sf)))
 
-@query("weak_components", f"WITH RECURSIVE {D.SPARSE}, {LINKS} SELECT id, component FROM comp")
-def weak_components(spark, sf, graph=D.sparse):
-    return condense.weak_components(graph(spark, sf))
 
+@query("component_summary", f"WITH RECURSIVE {D.ORDERS}, {LINKS}, s AS (SELECT count(*) AS size FROM comp GROUP BY component) SELECT count(*) AS components, max(size) AS largest FROM s")
+def component_summary(spark, sf):
+    return condense.component_summary(condense.weak_components(D.orders(spark, sf)))
 
-@query("component_sizes", f"WITH RECURSIVE {D.SPARSE}, {LINKS} SELECT component, count(*) AS size FROM comp GROUP BY 1")
-def component_sizes(spark, sf, graph=D.sparse):
-    return condense.component_sizes(condense.weak_components(graph(spark, sf)))
 
+@query("component_verdict", f"WITH RECURSIVE {D.ORDERS}, {LINKS} SELECT CASE WHEN (SELECT component FROM comp WHERE id = (SELECT min(src) FROM g)) = (SELECT component FROM comp WHERE id = (SELECT max(dst) FROM g)) THEN 'SameComponent' ELSE 'DifferentComponents' END AS verdict")
+def component_verdict(spark, sf):
+    g = D.orders(spark, sf)
+    return spark.createDataFrame([(condense.compare(condense.weak_components(g), *ends(g)),)], "verdict string")
 
-@query("component_summary", f"WITH RECURSIVE {D.SPARSE}, {LINKS}, s AS (SELECT count(*) AS size FROM comp GROUP BY component) SELECT count(*) AS components, max(size) AS largest FROM s")
-def component_summary(spark, sf, graph=D.sparse):
-    return condense.component_summary(condense.weak_components(graph(spark, sf)))
 
+@query("components_contraction", f"WITH RECURSIVE {D.ORDERS}, {LINKS} SELECT id, component FROM comp")
+def components_contraction(spark, sf):
+    return components(D.orders(spark, sf), finish=100)
 
-@query("component_verdict", f"WITH RECURSIVE {D.SPARSE}, {LINKS} SELECT CASE WHEN (SELECT component FROM comp WHERE id = (SELECT min(src) FROM g)) = (SELECT component FROM comp WHERE id = (SELECT max(dst) FROM g)) THEN 'SameComponent' ELSE 'DifferentComponents' END AS verdict")
-def component_verdict(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
-    return spark.createDataFrame([(condense.compare(condense.weak_components(g), *ends(g)),)], "verdict string")
 
+@query("scc_members", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT id, scc FROM sc")
+def scc_members(spark, sf):
+    return condense.strong_components(D.orders(spark, sf))
 
-@query("components_contraction", f"WITH RECURSIVE {D.SPARSE}, {LINKS} SELECT id, component FROM comp")
-def components_contraction(spark, sf, graph=D.sparse):
-    return components(graph(spark, sf), finish=100)
 
+@query("scc_distributed", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT id, scc FROM sc")
+def scc_distributed(spark, sf):
+    return condense.strong_components(D.orders(spark, sf), driver_edges=0, finish=0)
 
-@query("scc_members", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT id, scc FROM sc")
-def scc_members(spark, sf, graph=D.sparse):
-    return condense.strong_components(graph(spark, sf))
 
+@query("part_components", f"WITH RECURSIVE {D.PARTS}, {LINKS} SELECT id, component FROM comp")
+def part_components(spark, sf):
+    return condense.weak_components(D.parts(spark, sf))
 
-@query("scc_distributed", f"WITH RECURSIVE {THIN}, {NODES}, {REACH} SELECT id, scc FROM sc")
-def scc_distributed(spark, sf, graph=_thin):
-    return condense.strong_components(graph(spark, sf), driver_edges=0)
 
+@query("part_scc", f"WITH RECURSIVE {D.PARTS}, {NODES}, {REACH} SELECT id, scc FROM sc")
+def part_scc(spark, sf):
+    return condense.strong_components(D.parts(spark, sf))
 
-@query("scc_sizes", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT scc, count(*) AS size FROM sc GROUP BY 1")
-def scc_sizes(spark, sf, graph=D.sparse):
-    return condense.component_sizes(condense.strong_components(graph(spark, sf)), "scc")
 
+@query("scc_sizes", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT scc, count(*) AS size FROM sc GROUP BY 1")
+def scc_sizes(spark, sf):
+    return condense.component_sizes(condense.strong_components(D.orders(spark, sf)), "scc")
 
-@query("scc_condensed_edges", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT DISTINCT a.scc AS from_scc, b.scc AS to_scc FROM g JOIN sc a ON a.id = src JOIN sc b ON b.id = dst WHERE a.scc <> b.scc")
-def scc_condensed_edges(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+
+@query("scc_condensed_edges", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT DISTINCT a.scc AS from_scc, b.scc AS to_scc FROM g JOIN sc a ON a.id = src JOIN sc b ON b.id = dst WHERE a.scc <> b.scc")
+def scc_condensed_edges(spark, sf):
+    g = D.orders(spark, sf)
     return condense.condensed_edges(g, condense.strong_components(g))
 
 
-@query("scc_reachability", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT CASE WHEN count(*) > 0 THEN 'Reachable' ELSE 'Unreachable' END AS verdict FROM reach WHERE a = (SELECT min(src) FROM g) AND b = (SELECT max(dst) FROM g)")
-def scc_reachability(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+@query("scc_reachability", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT CASE WHEN count(*) > 0 THEN 'Reachable' ELSE 'Unreachable' END AS verdict FROM reach WHERE a = (SELECT min(src) FROM g) AND b = (SELECT max(dst) FROM g)")
+def scc_reachability(spark, sf):
+    g = D.orders(spark, sf)
     scc = condense.strong_components(g)
     return spark.createDataFrame([(condense.reachable(scc, condense.condensed_edges(g, scc), *ends(g)),)], "verdict string")
 
 
-@query("has_cycle", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {REACH} SELECT count(*) > 0 AS cyclic FROM reach WHERE a = b")
-def has_cycle(spark, sf, graph=D.sparse):
-    return spark.createDataFrame([(condense.has_cycle(graph(spark, sf)),)], "cyclic boolean")
+@query("has_cycle", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT count(*) > 0 AS cyclic FROM reach WHERE a = b")
+def has_cycle(spark, sf):
+    return spark.createDataFrame([(condense.has_cycle(D.orders(spark, sf)),)], "cyclic boolean")
 
 
 LAYERS = f"{NODES}, y(id, k) AS (SELECT id, 0 FROM n UNION SELECT dst, k + 1 FROM y JOIN g ON src = id), layer AS (SELECT id, CAST(max(k) AS INTEGER) AS layer FROM y GROUP BY id)"
 
 
 @query("topo_layers", f"WITH RECURSIVE {D.DAG}, {LAYERS} SELECT id, layer FROM layer")
-def topo_layers(spark, sf, graph=D.sparse):
-    return condense.topological_layers(D.dag(spark, sf, graph))
+def topo_layers(spark, sf):
+    return condense.topological_layers(D.dag(spark, sf))
+
+
+@query("topo_layers_distributed", f"WITH RECURSIVE {D.ORDER_DAG}, {LAYERS} SELECT id, layer FROM layer")
+def topo_layers_distributed(spark, sf):
+    return condense.topological_layers(D.order_dag(spark, sf), finish=0)
 
 
 @query("layout_positions", f"WITH RECURSIVE {D.DAG}, {LAYERS} SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id) - 1 - (count(*) OVER (PARTITION BY layer) - 1) / 2.0 AS x, CAST(-layer AS DOUBLE) AS y FROM layer".replace("row_number()", "CAST(row_number()", 1).replace("/ 2.0 AS x", "/ 2.0 AS DOUBLE) AS x"))
-def layout_positions(spark, sf, graph=D.sparse):
-    return layout.layered_positions(condense.topological_layers(D.dag(spark, sf, graph)))
+def layout_positions(spark, sf):
+    return layout.layered_positions(condense.topological_layers(D.dag(spark, sf)))
 
 
-@query("undirected_layers", f"WITH RECURSIVE {D.SPARSE}, {NODES}, {RINGS.format(k=40)} SELECT n.id, coalesce(ring.dist, 0) AS layer FROM n LEFT JOIN ring ON ring.id = n.id")
-def undirected_layers(spark, sf, graph=D.sparse):
-    g = graph(spark, sf)
+@query("undirected_layers", f"WITH RECURSIVE {D.PARTS}, {NODES}, {RINGS.format(k=40)} SELECT n.id, coalesce(ring.dist, 0) AS layer FROM n LEFT JOIN ring ON ring.id = n.id")
+def undirected_layers(spark, sf):
+    g = D.parts(spark, sf)
     return layout.undirected_layers(g, ends(g)[0], nodes_of(g))
 
 
@@ -540,11 +581,13 @@ def circular_layout(spark, sf):
     return found.select("id", "component", (F.round("x", 4) + 0).alias("x"), (F.round("y", 4) + 0).alias("y"))
 
 
-@query("back_edges")
+@query("back_edges", f"WITH {D.SEQUENCES} SELECT cust, b AS src, a AS dst FROM h WHERE b IS NOT NULL AND p = q")
 def back_edges(spark, sf):
-    g = D.event(spark, sf).withColumn("pos", F.concat_ws(">", "src", "dst"))
-    nodes = nodes_of(g).withColumn("pos", F.col("id"))
-    return layout.back_edges(nodes, g)
+    """A graph for each customer, searched from the first order on: the edges back are those against the dates."""
+    h = D.sequences(spark, sf)
+    edges = h.where("b is not null").select("cust", F.col("a").alias("src"), F.col("b").alias("dst"), (2 * F.col("k")).alias("pos"))
+    back = h.where("b is not null and p = q").select("cust", F.col("b").alias("src"), F.col("a").alias("dst"), (2 * F.col("k") + 1).alias("pos"))
+    return layout.back_edges(h.select("cust", F.col("a").alias("id"), F.col("k").alias("pos")), edges.unionByName(back), "cust")
 
 
 # Sources.
@@ -600,38 +643,78 @@ def history_recorded(spark, sf):
 @query("generated_wide", """SELECT 'LNA_' || (id % 5) AS LNA_UID, 'LIN_' || id AS LIN_UID, CASE id % 3 WHEN 0 THEN 'FIADODSWRK' WHEN 1 THEN 'fld_' || (id % 500) ELSE 'COL_' || (id % 500) END AS DTA_1, 'ZJ' AS DTA_2,
 upper(substring(md5(CAST(id AS VARCHAR)), 1, 8)) || '_SCHEMA' AS DTA_3, 'ENV' || (id % 4) AS DTA_4, CASE id % 2 WHEN 0 THEN 'O' ELSE 'I' END AS EDG_DIR, 'EDG_' || (id % 500) AS EDG_1,
 CASE WHEN id % 2 <> 0 THEN 'TAB_' || (id % 97) END AS EDG_2, CASE WHEN id % 3 <> 0 THEN 'SCH_' || (id % 97) END AS EDG_3, CASE WHEN id % 4 <> 0 THEN 'ENV_' || (id % 97) END AS EDG_4,
-CASE WHEN id % 5 <> 0 THEN '{"n":' || id || '}' END AS TXN_DTA, '<t>' || id || '</t>' AS PRX_TXN_DTA FROM range(200001, 210001) r(id)""")
+CASE WHEN id % 5 <> 0 THEN '{"n":' || id || '}' END AS TXN_DTA, '<t>' || id || '</t>' AS PRX_TXN_DTA FROM range(200001, 2000001) r(id)""")
 def generated_wide(spark, sf):
-    return sources.generate_wide(spark, 200_001, 210_000)
+    return sources.generate_wide(spark)
+
 
+_FLAGS = ", ".join(f"('LNA_{x}', {zlib.crc32(f'LNA_{x}'.encode())})" for x in "ANR")
 
-@query("generated_headers")
+
+@query("generated_headers", f"""WITH c(uid, h) AS (VALUES {_FLAGS}) SELECT uid AS LNA_UID, 'APP_' || uid AS RON_APP, 'PCK_' || uid AS PCK_PGM_NME, 'PGM_' || uid AS EXE_PGM_NME, 'v' || (h % 9) AS VRS_EXE_PGM,
+CASE h % 2 WHEN 0 THEN 'PROD' ELSE 'TEST' END AS APP_ENV, TIMESTAMP '2024-01-01' - to_days(CAST(h % 30 AS INTEGER)) AS DLY_PGM_TSP, TIMESTAMP '2024-01-01' - to_hours(h % 24) AS LNA_TSP,
+CASE h % 3 WHEN 0 THEN 'COBOL' ELSE 'SQL' END AS PGM_TEC, '1.0' AS VRS_LNA_TOO, CAST(h % 2 AS INTEGER) AS TUS_IND FROM c WHERE uid IN (SELECT 'LNA_' || l_returnflag FROM lineitem)""")
 def generated_headers(spark, sf):
     return sources.generate_headers(D.wide(spark, sf))
 
 
-@query("generated_edges")
+@query("generated_edges", "SELECT CAST(5000 AS BIGINT) AS nodes, CAST(2 AS BIGINT) AS least, CAST(6 AS BIGINT) AS most, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS repeated")
 def generated_edges(spark, sf):
-    return sources.generate(spark, 5000)
+    """The shape of the generated graph: degrees of 2 to 6, no loops, no repeated pairs."""
+    g = to_edges(sources.generate(spark, 5000))
+    by = g.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("d"), F.sum((F.col("src") == F.col("dst")).cast("bigint")).alias("loops"))
+    return by.agg(F.count(F.lit(1)).alias("nodes"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("loops").alias("loops"), F.sum(F.col("n") - F.col("d")).alias("repeated"))
 
 
-@query("text_graph_edges", f"WITH {D.SPARSE} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM g")
-def text_graph_edges(spark, sf, graph=D.sparse):
-    lines = graph(spark, sf).select(F.concat_ws(" ", "src", "dst").alias("line"), F.pmod("src", F.lit(16)).alias("file"))
-    texts = lines.groupBy(F.col("file").cast("string").alias("file")).agg(F.concat(F.lit("# edges\nARETES\n"), F.array_join(F.collect_list("line"), "\n")).alias("text"))
-    return text.parse(texts)[1].select("src", "dst")
+def _texts(edges):
+    """One text for each source node."""
+    lines = edges.select(F.concat_ws(" ", "src", "dst").alias("line"), F.col("src").cast("string").alias("file"))
+    return lines.groupBy("file").agg(F.concat(F.lit("# edges\nARETES\n"), F.array_join(F.collect_list("line"), "\n")).alias("text"))
 
 
-@query("islands_scc", "SELECT * FROM (VALUES ('X1', 'X1'), ('X2', 'X1'), ('X3', 'X1'), ('X4', 'X4'), ('X5', 'X5'), ('Y1', 'Y1'), ('Y2', 'Y2'), ('Y3', 'Y3')) v(id, scc)")
-def islands_scc(spark, sf):
-    from weft.model import to_edges
+@query("text_graph_edges", f"WITH {D.PARTS} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM g")
+def text_graph_edges(spark, sf):
+    return text.parse(_texts(D.pairs(spark, sf)))[1].select("src", "dst")
 
-    return condense.strong_components(to_edges(sources.islands(spark)))
+
+@query("text_graph_parallel", f"WITH {D.PAIRS} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, count(*) AS n FROM pairs GROUP BY 1, 2")
+def text_graph_parallel(spark, sf):
+    """The lenient reader keeps parallel edges."""
+    return text.parse(_texts(D.pairs(spark, sf)), dedupe=False)[1].groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("history_loaded", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS step, n_name AS id, CAST(NULL AS VARCHAR) AS via FROM nation")
+def history_loaded(spark, sf):
+    names = D.table(spark, sf, "nation").orderBy("n_nationkey").select("n_name").collect()
+    return history.load(spark, json.dumps([r[0] for r in names]))
+
+
+@query("components_sink", f"WITH RECURSIVE {D.ORDERS}, {LINKS} SELECT id AS NodeId, component AS ComponentId FROM comp")
+def components_sink(spark, sf):
+    """Weak components written, replaced and read back."""
+    path = f"{Workspace(spark, 'sink').root}/components"
+    found = condense.weak_components(D.orders(spark, sf))
+    for _ in range(2):
+        sinks.replace_components(found, path)
+    return spark.read.parquet(path)
 
 
-#: The queries of the part graph once more, over every order, and their SQL; the neighbourhoods have none, as the
-#: reference's bound of 2000 nodes is not in it.
-for _name, _fn in list(QUERIES.items()):
-    if "graph" in inspect.signature(_fn).parameters:
-        _sql = None if _name.startswith("neighborhood") else re.sub(r" WHERE l_orderkey % (16|64) = 0", "", SQL[_name])
-        query(f"{_name}_whole", _sql)(partial(_fn, graph=D.parts))
+@query("condensation_sink", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT DISTINCT a.scc AS FromScc, b.scc AS ToScc FROM g JOIN sc a ON a.id = src JOIN sc b ON b.id = dst WHERE a.scc <> b.scc")
+def condensation_sink(spark, sf):
+    root = Workspace(spark, "sink").root
+    g = D.orders(spark, sf)
+    scc = condense.strong_components(g)
+    sinks.replace_condensation(scc, condense.condensed_edges(g, scc), f"{root}/nodes", f"{root}/edges")
+    return spark.read.parquet(f"{root}/edges")
+
+
+@query("stats_sink", f"WITH {D.WIDE} SELECT 1 AS Id, CAST((SELECT count(*) FROM (SELECT DISTINCT {KEY4} FROM wide)) AS INTEGER) AS DistinctDTACount, count(*) AS RowCountTotal FROM wide")
+def stats_sink(spark, sf):
+    path = f"{Workspace(spark, 'sink').root}/stats"
+    sinks.upsert_stats(procs.stats(D.wide(spark, sf)), path)
+    return sinks.read_stats(spark, path).drop("RefreshedAt")
+
+
+@query("islands_scc", "SELECT * FROM (VALUES ('X1', 'X1'), ('X2', 'X1'), ('X3', 'X1'), ('X4', 'X4'), ('X5', 'X5'), ('Y1', 'Y1'), ('Y2', 'Y2'), ('Y3', 'Y3')) v(id, scc)")
+def islands_scc(spark, sf):
+    return condense.strong_components(to_edges(sources.islands(spark)))
