@@ -11,11 +11,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
+#: Spark's default is 10,000 rows.
+BATCH_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once for each Spark context."""
+    """Make this package importable in the Python workers, once for each Spark context.
+
+    Arrow batches of a session that has not set their size get at most ``BATCH`` rows, so batches of long texts stay small.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(BATCH))
     if getattr(sc, "_weft_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="weft-ship-"), "weft.zip")
