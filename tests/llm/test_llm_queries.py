@@ -39,3 +39,25 @@ def test_chunks_query(spark, sf):
     size = out.set_index("doc_id")["n_bytes"]
     # A later copy of a text goes whole.
     assert len(exact) and all(removed[i] == size[i] for i in exact["doc_id"])
+
+
+def test_chunks_query_equals_brute_force(spark, sf):
+    """Chunks cut and copied chunks found again, from the texts alone."""
+    from weft.llm import chunk_dedup as C
+
+    rows = sorted((r["doc_id"], (r["text"] or "").encode()) for r in table(spark, sf, "documents").select("doc_id", "text").collect())
+    seen, want = set(), {}
+    for i, x in rows:
+        runs, at = [], 0
+        for e in C.cuts(x).tolist():
+            if x[at:e] in seen:
+                if runs and runs[-1][1] == at:
+                    runs[-1][1] = e
+                else:
+                    runs.append([at, e])
+            seen.add(x[at:e])
+            at = e
+        runs = [r for r in runs if r[1] - r[0] >= C.SHORTEST]
+        want[i] = (len(x), sum(b - a for a, b in runs), len(runs))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in queries.op7_repeated_chunks(spark, sf).collect()}
+    assert got == want

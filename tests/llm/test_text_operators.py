@@ -426,7 +426,8 @@ def test_near_duplicates_repeated_and_null_ids(spark, docs_of):
     out = superminhash.near_duplicates(docs_of([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (9, "a b c d")])).collect()
     assert sorted(map(tuple, out), key=key) == sorted([(4, 2, 4, True), (4, 2, 4, True), (None, 2, None, None), (9, 2, 4, False)], key=key)
     kept = superminhash.deduplicate(docs_of([(4, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f")]))
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 4), (True, None)]
+    # Rows without id are documents of their groups too, after those with one.
+    assert [r["doc_id"] for r in kept.collect()] == [4]
 
 
 def test_superminhash_estimates_similarity():
@@ -460,3 +461,79 @@ def test_superminhash_equals_definition():
                 perm[j], perm[k] = perm[k], perm[j]
                 want[perm[j]] = min(want[perm[j]], j << 32 | z & 0xFFFFFFFF)
         assert superminhash.signatures([x], m)[0].tolist() == want
+
+
+def test_chained_documents_are_not_compared(spark, docs_of):
+    """Documents of a long chain share buckets with the next ones, but no two of them are candidates unless they may link."""
+    rng = random.Random(41)
+    stream = words(rng, 6200).split()
+    rows = [(i, " ".join(stream[i * 60 : i * 60 + 160])) for i in range(100)] + [(200, " ".join(stream[:158])), (201, " ".join(stream[60:220]))]
+    docs = docs_of(rows)
+    seen = []
+    made = superminhash.candidates
+    try:
+        superminhash.candidates = lambda *a: seen.append(made(*a)) or seen[-1]
+        got = superminhash.near_duplicates(docs).collect()
+    finally:
+        superminhash.candidates = made
+    assert {(r["doc_id"], r["component_id"]) for r in got if not r["kept"]} == {(200, 0), (201, 1)}
+    # A third of the 99 neighbouring pairs share a bucket.
+    assert seen and all(c.count() <= 4 for c in seen)
+
+
+@pytest.mark.parametrize("members", [superminhash.MEMBERS, 8])
+def test_buckets_of_many_components(spark, docs_of, monkeypatch, members):
+    """Groups whose copies differ from each other by about the threshold, in buckets cut into blocks and size classes."""
+    monkeypatch.setattr(superminhash, "MEMBERS", members)
+    rng = random.Random(43)
+    rows = []
+    for g in range(3):
+        base = words(rng, 150).split()
+        for i in range(30):
+            w = list(base)
+            for _ in range(rng.randint(1, 9)):
+                w[rng.randrange(len(w))] = words(rng, 1)
+            rows.append((100 * g + i, " ".join(w[: rng.choice([130, 140, 150])])))
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    assert 3 < len(set(root.values())) < len(rows)
+    for start in ("stars", "none"):
+        if start == "none":  # every link is left to the buckets
+            monkeypatch.setattr(superminhash, "_confirm", lambda pairs, *a: pairs.limit(0))
+        got = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(docs_of(rows)).collect()}
+        assert got == root
+
+
+def test_near_duplicate_rows_with_repeated_and_null_ids(spark):
+    rng = random.Random(44)
+    a, b, c = words(rng, 80), words(rng, 80), words(rng, 80)
+    rows = [(5, a, "x", 1), (5, b, "y", 2), (3, b, "z", 3), (None, a, "w", 4), (None, c, "v", 5), (None, c, "u", 6), (7, c + " tail", "t", 7), (9, None, "s", 8), (9, None, "s", 9), (8, "", "r", 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row string, _group int")
+    out = superminhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["_group"] for r in out.collect()) == [1, 3, 7, 8, 9, 10]
+    assert superminhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_knapsack_memory_and_optimum():
+    import tracemalloc
+
+    rng = random.Random(12)
+    for _ in range(60):
+        lengths = rng.sample(range(1, 40), rng.randint(1, 6))
+        counts = [rng.randint(0, 5) for _ in lengths]
+        budget = rng.randint(0, 150)
+        got, total = mixing.knapsack(lengths, counts, budget)
+        sums = {0}
+        for x, n in zip(lengths, counts):
+            sums = {s + k * x for s in sums for k in range(n + 1) if s + k * x <= budget}
+        assert total == max(sums) == sum(a * b for a, b in zip(got, lengths)) and all(0 <= a <= n for a, n in zip(got, counts))
+    tracemalloc.start()
+    mixing.knapsack(list(range(20_000, 0, -1)), [3] * 20_000, mixing.FIT_WORDS)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system: Python workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Run ``fn`` over column lists of each Arrow batch: dict of lists in, dict of lists out."""
     ship(df.sparkSession)
@@ -42,10 +52,33 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
         for out in fn(columns):
             arrays = [pa.array(out[n], type=arrow.field(n).type, from_pandas=False) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def groups(batches: Iterator[dict], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict]]:
+    """(key, columns) of each run of rows with equal ``keys``, across batches; rows must be sorted by them."""
+    held_key, held = None, {}
+    for b in batches:
+        rows = list(zip(*(b[k] for k in keys)))
+        at = 0
+        while at < len(rows):
+            key, end = rows[at], at + 1
+            while end < len(rows) and rows[end] == key:
+                end += 1
+            part = {c: v[at:end] for c, v in b.items()}
+            if key == held_key:
+                held = {c: held[c] + v for c, v in part.items()}
+            else:
+                if held:
+                    yield held_key, held
+                held_key, held = key, part
+            at = end
+    if held:
+        yield held_key, held
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Names like ``names`` that none of ``columns`` has, in any case of letters."""
     taken = {c.lower() for c in columns}

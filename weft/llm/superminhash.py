@@ -11,9 +11,11 @@ Signatures are cut into bands.  Documents with equal shingle sets form a class,
 whose smallest id stands for it.  Of the members of each band bucket, the one
 that shares the most bucket-mates is the head, and every document is first
 compared with the best head of its buckets.  Where a bucket still holds
-several components, their members are compared block against block, so no pair
-of a bucket is left out unless a component already joins it.  Links are confirmed
-on full sets; components come from their union.
+several components, its members are compared with each other, block against block:
+set sizes and signatures first, then the full sets of those that may have a link to
+another component.  Documents that share no bucket are never compared, and a pair
+that shares several meets in the first.  Links are confirmed on full sets;
+components come from their union.
 
 Null and empty texts, and texts without words, have empty sets: they link with
 nothing and are their own component.  Rows that repeat an id share its smallest
@@ -22,18 +24,25 @@ component.  Rows without id form no links, and their component is null.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import U64, Workspace, map_rows, mix64, ship
+from weft.llm.common import U64, Workspace, groups, map_rows, mix64, ship, unused
 from weft.llm.textsets import shingle_sets
 from weft.operators.components import components, find
 
 BANDS, ROWS = 25, 5
 #: Shingles of the documents that are compared at once, about.
 BLOCK = 1 << 20
+#: Members of a bucket whose signatures are compared at once, about.
+MEMBERS = 1024
+#: Standard deviations by which a link's equal slots may stay below their mean: one in 1e9 stays lower.
+DEVIATIONS = 6.0
+#: A member of a bucket of documents, and the pair of blocks in which it is compared.
+PAIR = ("key", "s1", "i", "s2", "j")
 #: Ids of 8 bytes that are broadcast at most.
 BROADCAST_IDS = 2_000_000
 
@@ -87,9 +96,11 @@ def _signed(k: int):
             for i in range(0, len(sets), 256):
                 part = sets[i : i + 256]
                 sig = signatures(part)
+                # 16 bits of each slot: slots that differ agree once in 65,536, which only adds to what is compared.
+                brief = (mix64(sig) >> U64(48)).astype(np.uint16)
                 yield {
                     "doc_id": b["doc_id"][i : i + 256], "n_shingles": [len(s) for s in part], "digest": [digest(s) if len(s) else None for s in part],
-                    "bands": list(bands_of(sig)),
+                    "bands": list(bands_of(sig)), "sig": [x.tobytes() for x in brief],
                 }
 
     return run
@@ -180,45 +191,115 @@ def cross_links(sets: list[np.ndarray], comps: list[int], side: list[int], num:
     return out
 
 
-def _cross(num: int, den: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        ids = part["doc_id"].tolist()
-        sets = [np.frombuffer(x, U64) for x in part["items"]]
-        found = cross_links(sets, part["c"].tolist(), part["side"].tolist(), num, den)
-        return pd.DataFrame([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found], columns=["a", "b"]).astype("int64")
+def _cross(num: int, den: int, block: tuple[str, ...]):
+    def run(batches):
+        for _, g in groups(batches, block):
+            ids = g["doc_id"]
+            found = cross_links([np.frombuffer(x, U64) for x in g["items"]], g["c"], g["side"], num, den)
+            yield {"a": [min(ids[i], ids[j]) for i, j in found], "b": [max(ids[i], ids[j]) for i, j in found]}
+
+    return run
+
+
+def least_equal(num: int, den: int, slots: int = BANDS * ROWS) -> int:
+    """Equal slots that sets at the threshold have at least; the variance is at most that of independent slots."""
+    t = num / den
+    return max(0, math.floor(slots * t - DEVIATIONS * math.sqrt(slots * t * (1 - t)) - 1))
+
+
+def partners(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, bands: np.ndarray, side: np.ndarray, key: int, one: bool, num: int, den: int) -> np.ndarray:
+    """Which members of a pair of blocks may have a link to another component that no earlier bucket holds."""
+    least = least_equal(num, den, sig.shape[1])
+    hit = np.zeros(len(n), bool)
+    left = np.flatnonzero(side == 0)
+    right = left if one else np.flatnonzero(side == 1)
+    for i in left.tolist():
+        r = right[right > i] if one else right
+        lo, hi = np.minimum(n[r], n[i]), np.maximum(n[r], n[i])
+        r = r[(comp[r] != comp[i]) & (den * lo >= num * hi)]
+        r = r[(sig[r] == sig[i]).sum(axis=1) >= least]
+        if len(r):
+            first = bands[i][(bands[r] == bands[i]).argmax(axis=1)]
+            r = r[first == key]
+            hit[r] = True
+            hit[i] |= len(r) > 0
+    return hit
+
+
+def _partners(num: int, den: int):
+    def run(batches):
+        for at, g in groups(batches, PAIR):
+            n = len(g["n"])
+            hit = partners(
+                np.array(g["n"], np.int64), np.array(g["c"], np.int64), np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(n, -1), np.array(g["bands"], np.int64).reshape(n, -1),
+                np.array(g["side"]), at[0], at[1] == at[3] and at[2] == at[4], num, den,
+            )
+            k = np.flatnonzero(hit).tolist()
+            yield {"key": [at[0]] * len(k), "doc_id": [g["doc_id"][x] for x in k], "c": [g["c"][x] for x in k]}
 
     return run
 
 
-def _rest(mixed: DataFrame, docs: DataFrame, space: Workspace, k: int, num: int, den: int) -> DataFrame:
+def candidates(mixed: DataFrame, signed: DataFrame, space: Workspace, num: int, den: int) -> DataFrame:
+    """(key, doc_id, c): members of buckets that may have a link to another component there.
+
+    A bucket of more than ``MEMBERS`` is cut by set size into classes, of which only
+    the same and the next can link, and each class into blocks; pairs of blocks are
+    compared in different tasks.
+    """
+    rows = mixed.select("key", "doc_id", "c").join(signed.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "sig", "bands"), "doc_id")
+    large = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MEMBERS).select("key")
+    large = space.write(large, "large")
+    cols = [*PAIR, "side", "doc_id", "c", "n", "sig", "bands"]
+    zero = {c: F.lit(0) for c in ("s1", "i", "s2", "j", "side")}
+    small = rows.join(large, "key", "left_anti").withColumns(zero).select(cols)
+    big = rows.join(large, "key").withColumn("s", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int"))
+    sizes = big.groupBy("key", "s").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("nb"))
+    # Classes of a bucket are as many as the logarithm of its largest set allows.
+    sizes = space.write(sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("s", "nb"))).alias("nbs")), "classes")
+    at = lambda d: F.coalesce(F.try_element_at("nbs", F.col("s") + d), F.lit(0))
+    big = big.join(sizes, "key").withColumns({"nb": at(F.lit(0)), "up": at(F.lit(1)), "down": at(F.lit(-1))}).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    pair = lambda s1, i, s2, j, side: F.struct(s1.alias("s1"), i.alias("i"), s2.alias("s2"), j.alias("j"), side.alias("side"))
+    s, b = F.col("s"), F.col("b")
+    to = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array())
+    met = F.concat(
+        to("nb", lambda x: pair(s, F.least(b, x), s, F.greatest(b, x), F.when(b <= x, 0).otherwise(1))),
+        to("up", lambda x: pair(s, b, s + 1, x, F.lit(0))), to("down", lambda x: pair(s - 1, x, s, b, F.lit(1))),
+    )
+    big = big.withColumn("x", F.explode(met)).select("key", "x.*", "doc_id", "c", "n", "sig", "bands").select(cols)
+    both = small.unionByName(big).repartition(*PAIR).sortWithinPartitions(*PAIR)
+    return space.write(map_rows(both, _partners(num, den), "key bigint, doc_id bigint, c bigint").distinct(), "candidates")
+
+
+def _rest(mixed: DataFrame, signed: DataFrame, docs: DataFrame, space: Workspace, k: int, num: int, den: int) -> DataFrame:
     """Links that join components which share a bucket.
 
-    Documents connected through such buckets form a cluster.  Its components are
-    dealt to blocks of about ``BLOCK`` shingles, a large component to blocks of its
-    own, and all pairs of blocks are compared on full sets, except those inside
-    one component.  A pair of blocks yields at most one link for each document.
+    The candidates of a bucket are dealt to blocks of about ``BLOCK`` shingles, a
+    large component to blocks of its own, and all pairs of blocks are compared on
+    full sets, except those inside one component.  A pair of blocks yields at most
+    one link for each document.
     """
-    head = mixed.groupBy("key").agg(F.min("doc_id").alias("h"))
-    cluster = components(mixed.join(head, "key").select("doc_id", "h"))
-    member = mixed.select("doc_id", "c").distinct().join(cluster.withColumnsRenamed({"id": "doc_id", "component": "cluster"}), "doc_id")
-    member = space.write(member, "clusters")
-    rows = space.write(map_rows(_only(docs, member.select("doc_id")), _sets(k), "doc_id bigint, items binary").join(member, "doc_id"), "cluster-sets")
-    sizes = rows.groupBy("cluster", "c").agg(F.sum(F.length("items") / 8).alias("s"))
-    small = sizes.where(F.col("s") <= BLOCK).groupBy("cluster").agg(F.sum("s").alias("small"))
-    dealt = rows.join(sizes, ["cluster", "c"]).join(small, "cluster", "left")
+    member = candidates(mixed, signed, space, num, den)
+    rows = space.write(map_rows(_only(docs, member.select("doc_id").distinct()), _sets(k), "doc_id bigint, items binary"), "bucket-sets")
+    size = F.length("items") / 8
+    rows = member.join(rows.withColumn("size", size), "doc_id")
+    sizes = space.write(rows.groupBy("key", "c").agg(F.sum("size").alias("s")), "sizes-in-buckets")
+    small = sizes.where(F.col("s") <= BLOCK).groupBy("key").agg(F.sum("s").alias("small"))
+    dealt = rows.join(sizes, ["key", "c"]).join(small, "key", "left")
     own = F.col("s") > BLOCK
     dealt = space.write(dealt.select(
-        "cluster", "c", "doc_id", "items", own.alias("own"), F.when(own, F.col("c")).otherwise(0).alias("p"),
+        "key", "c", "doc_id", "items", own.alias("own"), F.when(own, F.col("c")).otherwise(0).alias("p"),
         F.when(own, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("s") / BLOCK))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.coalesce("small", F.lit(1)) / BLOCK))).alias("i"),
     ), "dealt")
-    dealt = dealt.withColumn("x", F.struct("own", "p", "i")).select("cluster", "c", "doc_id", "items", "x")
-    blocks = dealt.select("cluster", "x").distinct()
-    pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "cluster").where("x <= y and not (x.own and y.own and x.p = y.p)")
-    one = dealt.join(pairs, ["cluster", "x"]).withColumn("side", F.lit(0))
-    two = dealt.withColumnRenamed("x", "y").join(pairs.where("x != y"), ["cluster", "y"]).withColumn("side", F.lit(1))
-    cols = ["cluster", "x", "y", "side", "doc_id", "c", "items"]
-    both = one.select(cols).unionByName(two.select(cols))
-    return space.write(both.groupBy("cluster", "x", "y").applyInPandas(_cross(num, den), "a bigint, b bigint"), "cross")
+    dealt = dealt.withColumn("x", F.struct("own", "p", "i")).select("key", "c", "doc_id", "items", "x")
+    blocks = dealt.select("key", "x").distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "key").where("x <= y and not (x.own and y.own and x.p = y.p)")
+    one = dealt.join(pairs, ["key", "x"]).withColumn("side", F.lit(0))
+    two = dealt.withColumnRenamed("x", "y").join(pairs.where("x != y"), ["key", "y"]).withColumn("side", F.lit(1))
+    cols = ["key", "side", "doc_id", "c", "items", *(F.col(f"{v}.{f}").alias(v + f) for v in "xy" for f in ("own", "p", "i"))]
+    block = ("key", "xown", "xp", "xi", "yown", "yp", "yi")
+    both = one.select(cols).unionByName(two.select(cols)).repartition(*block).sortWithinPartitions(*block)
+    return space.write(map_rows(both, _cross(num, den, block), "a bigint, b bigint"), "cross")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
@@ -226,7 +307,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     ship(docs.sparkSession)
     space = Workspace(docs.sparkSession, "superminhash")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = space.write(map_rows(docs, _signed(k), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "signed")
+    signed = space.write(map_rows(docs, _signed(k), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary"), "signed")
     some = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     # Classes of equal sets; the smallest id stands for each.
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -249,7 +330,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     links = _confirm(pairs, docs, space, k, num, den)
     mixed = space.write(_mixed(_labelled(members, space.write(components(links), "stars"))), "mixed")
     if not mixed.isEmpty():
-        links = links.unionByName(_rest(mixed, docs, space, k, num, den))
+        links = links.unionByName(_rest(mixed, signed, docs, space, k, num, den))
     comps = space.write(components(member.unionByName(links)), "components")
     out = signed.select("doc_id", "n_shingles").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
@@ -257,7 +338,23 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that stand for their group: the smallest doc_id; rows without id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), k, num, den)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["doc_id"], "left_anti")
+    """One row of each group of ``docs``, all columns as they are: that of the smallest doc_id, rows without id last.
+
+    Rows are told apart by their place, so rows that repeat an id or have none are
+    documents like others; of rows that tie, any one stays.  Rows without words are
+    groups of their own.
+    """
+    space = Workspace(docs.sparkSession, "one-of-each")
+    row, group = unused(docs.columns, "row", "group")
+    # Numbers given while writing stay with the rows.
+    numbered = space.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), k, num, den)
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").cast("bigint").alias("id"))
+    # Only groups of several rows are joined with their ids.
+    several = found.where(~F.col("kept")).select("component_id").distinct()
+    many = space.write(found.join(several, "component_id", "left_semi").select("doc_id", F.col("component_id").alias(group)), "groups")
+    named = many.join(ids, "doc_id")
+    best = named.groupBy(group).agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("x")).select(F.col("x.doc_id").alias("doc_id"))
+    gone = space.write(many.select("doc_id").join(best, "doc_id", "left_anti").withColumnRenamed("doc_id", row), "gone")
+    small = gone.count() <= BROADCAST_IDS
+    return numbered.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*docs.columns)
