@@ -3,9 +3,9 @@
 Two windows of ``length`` bytes can only be equal if the smallest hash among
 their ``k``-byte grams is equal too.  Each text therefore falls into runs of
 consecutive windows that share their smallest gram, and runs meet by that key:
-a key that occurs once in the corpus settles its windows without any text.  Of
-the others, equal runs become one with a weight, and the remaining texts are
-grouped by key into blocks of bounded size.
+a key that occurs once in the corpus settles its windows without any text, and so
+does a key whose runs are all equal.  Of the others, equal runs become one with a
+weight, and the remaining texts are grouped by key into blocks of bounded size.
 
 A block's suffix array is built with the difference-cover algorithm (Karkkainen,
 Sanders and Burkhardt 2006): the suffixes at positions 1 and 2 modulo 3 are
@@ -17,9 +17,6 @@ are repeats; all bytes of them are compared.
 A key with more text than fits a block is keyed anew by finer grams, up to whole
 windows, so a passage that a third of all texts hold is spread out as well.
 
-Two lengths can be searched at once: runs are keyed by the shorter one and carry
-enough bytes that neighbours can be compared over the longer one as well.
-
 Null text counts as empty.  Texts shorter than ``length`` have no windows and
 stay whole.  Rows with equal id and text are separate documents, so each repeats
 the other.  An empty table gives an empty result.
@@ -33,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import U64, Workspace, byte_codes, map_rows, mix64, ship, sliced, unused
+from weft.llm.common import U64, Workspace, byte_codes, map_rows, mix64, ship, sliced, trim, unused
 from weft.llm.textsets import powers, prefix, slices
 
 LENGTH = 400
@@ -49,8 +46,6 @@ PIECE = 1 << 20
 BROADCAST_IDS = 2_000_000
 CODES = byte_codes(0x2545F491)
 NULL_ID = -(1 << 63)
-#: Columns of repeated windows: all, those that occur first, those of the longer strings.
-SPANS = ("spans", "firsts", "long")
 
 
 def smallest(x: np.ndarray, w: int) -> np.ndarray:
@@ -63,12 +58,9 @@ def smallest(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def runs(texts: list[bytes], length: int, k: int, windows: list[int], more: int = 0) -> tuple[np.ndarray, ...]:
-    """(text index, first window, windows, key, hash of the run's bytes) of every run of windows with one smallest gram.
-
-    Of each text the first ``windows`` count; the hash covers ``more`` bytes after the run, as far as there are any.
-    """
-    sizes, windows = np.array([len(t) for t in texts], np.int64), np.array(windows, np.int64)
+def runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(text index, first window, windows, key, hash of the run's bytes) of every run of windows with one smallest gram."""
+    sizes = np.array([len(t) for t in texts], np.int64)
     a = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(a) < length:
@@ -78,8 +70,8 @@ def runs(texts: list[bytes], length: int, k: int, windows: list[int], more: int
     gram = mix64((s[k:] - s[:-k]) * up[: len(s) - k])
     low = smallest(gram, length - k + 1)
     off = np.concatenate([[0], np.cumsum(sizes)])
-    has = windows > 0
-    first, last = off[:-1][has], (off[:-1] + windows)[has]  # windows of a text: first to last - 1
+    has = sizes >= length
+    first, last = off[:-1][has], off[1:][has] - length + 1  # windows of a text: first to last - 1
     edge = np.zeros(len(low) + 1, bool)
     # A run ends where the smallest value changes or its first place is passed, so equal windows of one text are in different runs.
     edge[1:-1] = (low[1:] != low[:-1]) | (gram[: len(low) - 1] == low[:-1])
@@ -88,11 +80,11 @@ def runs(texts: list[bytes], length: int, k: int, windows: list[int], more: int
     at = np.flatnonzero(edge)
     doc = np.searchsorted(off, at, "right") - 1
     doc = np.minimum(doc, len(sizes) - 1)
-    inside = at < off[doc] + windows[doc]
+    inside = at < off[doc + 1] - length + 1
     end = np.append(at[1:], len(low))
     at, end, doc = at[inside], end[inside], doc[inside]
-    stop = np.minimum(end + length - 1 + more, off[doc + 1])
-    h = mix64((s[stop] - s[at]) * up[at] + (stop - at << 32 | end - at).astype(U64))
+    stop = end + length - 1
+    h = mix64((s[stop] - s[at]) * up[at] + (stop - at).astype(U64))
     return doc, at - off[doc], end - at, low[at].view(np.int64), h.view(np.int64)
 
 
@@ -159,28 +151,24 @@ def _spans(flag: np.ndarray, starts: np.ndarray) -> dict[int, bytes]:
     return {int(g[0]): p.tobytes() for g, p in zip(np.split(seg, cut), np.split(pairs, cut)) if len(g)}
 
 
-def repeats(texts: list[bytes], windows: list[int], weights: list[int], where: list[tuple], length: int, longer: int) -> list[tuple[bytes, bytes, bytes] | None]:
-    """For each distinct text (repeated windows, those of them that occur first, repeated windows of ``longer`` bytes) as pairs of int32; None where nothing repeats.
+def repeats(texts: list[bytes], weights: list[int], where: list[tuple], length: int) -> list[tuple[bytes, bytes] | None]:
+    """For each distinct text (repeated windows, those of them that occur first) as pairs of int32; None where nothing repeats.
 
-    Windows start in the first ``windows`` bytes of a text; ``where`` is the place
-    (document key, position) that stands for it. Longer windows are looked for only
-    if ``longer`` exceeds ``length``.
+    ``where`` is the place (document key, position) that stands for each text.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     buf = b"\0".join(texts) + b"\0"
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     s = np.frombuffer(buf, np.uint8).astype(np.int64) + 2
     s[starts + sizes] = 1
-    valid, whole = np.zeros(len(s), bool), np.zeros(len(s), bool)
-    for b, n, k in zip(starts.tolist(), sizes.tolist(), windows):
-        valid[b : b + k] = True
-        whole[b : b + min(k, max(0, n - longer + 1))] = True
+    valid = np.zeros(len(s), bool)
+    for b, n in zip(starts.tolist(), sizes.tolist()):
+        valid[b : b + n - length + 1] = True
     sa = suffix_array(s)
     v = sa[valid[sa]]
     group = np.concatenate([[0], np.cumsum(~equal_neighbours(buf, v, length))])
-    weight = np.array(weights, np.float64)
     seg = np.searchsorted(starts, v, "right") - 1
-    total = np.bincount(group, weight[seg])
+    total = np.bincount(group, np.array(weights, np.float64)[seg])
     twice = total[group] >= 2
     docs = {d: i for i, d in enumerate(sorted({w[0] for w in where}))}
     base = np.array([docs[d] << 40 | p for d, p in where], np.int64)
@@ -189,47 +177,39 @@ def repeats(texts: list[bytes], windows: list[int], weights: list[int], where: l
     flag, first = np.zeros(len(s), bool), np.zeros(len(s), bool)
     flag[v[twice]] = True
     first[v[twice & (place == least[group])]] = True
-    found, firsts, long = _spans(flag, starts), _spans(first, starts), {}
-    if longer > length:
-        # Only what repeats at the shorter length can repeat at the longer one.
-        v = v[twice & whole[v]]
-        if len(v):
-            group = np.concatenate([[0], np.cumsum(~equal_neighbours(buf, v, longer))])
-            total = np.bincount(group, weight[np.searchsorted(starts, v, "right") - 1])
-            flag[:] = False
-            flag[v[total[group] >= 2]] = True
-            long = _spans(flag, starts)
-    return [(found[i], firsts.get(i, b""), long.get(i, b"")) if i in found else None for i in range(len(texts))]
-
-
-def _keyed(length: int, longer: int):
+    found, firsts = _spans(flag, starts), _spans(first, starts)
+    return [(found[i], firsts.get(i, b"")) if i in found else None for i in range(len(texts))]
+
+
+def _keyed(length: int):
     k = max(1, int(length * GRAMS[0]))
 
     def run(batches):
         for b in batches:
-            raw, ids, windows = [], [], []
+            raw, ids = [], []
             for d, t, text in zip(b["d"], b["t"], b["text"]):
                 x = text.encode("utf-8", "replace")
-                for at in range(0, max(0, len(x) - length + 1), PIECE):
-                    raw.append(x[at : at + PIECE + longer - 1])
-                    ids.append((d, t, at))
-                    windows.append(min(PIECE, len(x) - length + 1 - at))
+                for at in range(0, max(1, len(x) - length + 1), PIECE):
+                    part = x[at : at + PIECE + length - 1]
+                    if len(part) >= length:
+                        raw.append(part)
+                        ids.append((d, t, at))
             for i, j in slices(raw):
-                doc, start, n, key, sub = runs(raw[i:j], length, k, windows[i:j], longer - length)
+                doc, start, n, key, sub = runs(raw[i:j], length, k)
                 who = [ids[i + x] for x in doc.tolist()]
                 yield {"key": key, "sub": sub, "d": [w[0] for w in who], "t": [w[1] for w in who], "start": [w[2] + x for w, x in zip(who, start.tolist())], "n": n}
 
     return run
 
 
-def _cut_out(longer: int):
+def _cut_out(length: int):
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("key", "sub", "w", "d", "t", "start", "n", "body")}
+            out = {c: [] for c in ("key", "sub", "w", "d", "t", "start", "body", "heavy")}
             for text, d, t, segs in zip(b["text"], b["d"], b["t"], b["segs"]):
                 x = text.encode("utf-8", "replace")
                 for g in segs:
-                    for c, v in (("key", g["key"]), ("sub", g["sub"]), ("w", g["w"]), ("d", d), ("t", t), ("start", g["start"]), ("n", g["n"]), ("body", x[g["start"] : g["start"] + g["n"] + longer - 1])):
+                    for c, v in (("key", g["key"]), ("sub", g["sub"]), ("w", g["w"]), ("d", d), ("t", t), ("start", g["start"]), ("heavy", g["heavy"]), ("body", x[g["start"] : g["start"] + g["n"] + length - 1])):
                         out[c].append(v)
                 if sum(map(len, out["body"])) > 4 << 20:
                     yield out
@@ -239,46 +219,45 @@ def _cut_out(longer: int):
     return run
 
 
-def _finer(length: int, longer: int, k: int):
+def _finer(length: int, k: int):
     """Runs of a finer gram inside each text, under keys that hold the old key as well."""
 
     def run(batches):
         for b in batches:
             for i, j in slices(b["body"]):
-                doc, rel, n, key, sub = runs(b["body"][i:j], length, k, b["n"][i:j], longer - length)
+                doc, rel, n, key, sub = runs(b["body"][i:j], length, k)
                 who = (doc + i).tolist()
                 old = np.array([b["key"][x] for x in who], np.int64).view(U64)
                 out = {c: [b[c][x] for x in who] for c in ("w", "d", "t")}
                 yield out | {
                     "key": mix64(old ^ mix64(key.view(U64) + U64(k))).view(np.int64), "sub": sub, "start": [b["start"][x] + r for x, r in zip(who, rel.tolist())],
-                    "n": n, "body": [b["body"][x][r : r + m + longer - 1] for x, r, m in zip(who, rel.tolist(), n.tolist())],
+                    "body": [b["body"][x][r : r + m + length - 1] for x, r, m in zip(who, rel.tolist(), n.tolist())],
                     "up_key": [b["key"][x] for x in who], "up_sub": [b["sub"][x] for x in who], "rel": rel,
                 }
 
     return run
 
 
-def _blocks(length: int, longer: int):
+def _blocks(length: int):
     """Rows sorted by key; whole keys go to a block until it is full."""
 
     def solve(rows: dict) -> dict:
-        r = list(rows.values())
-        got = repeats([x[0] for x in r], [x[5] for x in r], [x[1] for x in r], [((x[2], x[3]), x[4]) for x in r], length, longer)
+        got = repeats([r[0] for r in rows.values()], [r[1] for r in rows.values()], [((r[2], r[3]), r[4]) for r in rows.values()], length)
         keep = [(k, g) for k, g in zip(rows, got) if g]
-        out = {"key": [k[0] for k, _ in keep], "sub": [k[1] for k, _ in keep]} | {c: [g[i] for _, g in keep] for i, c in enumerate(SPANS)}
+        out = {"key": [k[0] for k, _ in keep], "sub": [k[1] for k, _ in keep], "spans": [g[0] for _, g in keep], "firsts": [g[1] for _, g in keep]}
         return out | {c: [rows[k][i] for k, _ in keep] for c, i in (("d", 2), ("t", 3), ("start", 4))}
 
     def run(batches):
         rows: dict = {}
         size, last = 0, None
         for b in batches:
-            for key, sub, w, d, t, start, body, n in zip(*(b[c] for c in ("key", "sub", "w", "d", "t", "start", "body", "n"))):
+            for key, sub, w, d, t, start, body in zip(*(b[c] for c in ("key", "sub", "w", "d", "t", "start", "body"))):
                 if key != last and size >= BLOCK // 2:
                     yield solve(rows)
                     rows, size = {}, 0
                 last = key
                 if (key, sub) not in rows:
-                    rows[key, sub] = (body, w, d, t, start, n)
+                    rows[key, sub] = (body, w, d, t, start)
                     size += len(body)
         if rows:
             yield solve(rows)
@@ -293,9 +272,11 @@ def _raised(batches):
         return (np.frombuffer(raw, np.int32) + np.int32(by)).tobytes()
 
     for b in batches:
-        out = {c: [shift(x, r) for x, r in zip(b[c], b["rel"])] for c in SPANS}
-        out["firsts"] = [x if h else b"" for x, h in zip(out["firsts"], b["here"])]
-        yield out | {"key": b["up_key"], "sub": b["up_sub"], "d": b["d"], "t": b["t"], "start": [x - r for x, r in zip(b["start"], b["rel"])]}
+        same = zip(b["firsts"], b["rel"], b["here"])
+        yield {
+            "key": b["up_key"], "sub": b["up_sub"], "spans": [shift(x, r) for x, r in zip(b["spans"], b["rel"])], "firsts": [shift(x, r) if h else b"" for x, r, h in same],
+            "d": b["d"], "t": b["t"], "start": [x - r for x, r in zip(b["start"], b["rel"])],
+        }
 
 
 def _places(first: bool):
@@ -306,18 +287,25 @@ def _places(first: bool):
 
     def run(batches):
         for b in batches:
-            out, long = [], []
-            for spans, firsts, more, start, own in zip(b["spans"], b["firsts"], b["long"], b["start"], b["own"]):
+            out = []
+            for spans, firsts, start, own in zip(b["spans"], b["firsts"], b["start"], b["own"]):
                 p = pairs(spans)
                 if first and own and firsts:
                     p = minus(p, pairs(firsts))
                 out.append((p.astype(np.int64) + start).tobytes())
-                long.append((pairs(more).astype(np.int64) + start).tobytes())
-            yield {"d": b["d"], "t": b["t"], "p": out, "q": long}
+            yield {"d": b["d"], "t": b["t"], "p": out}
 
     return run
 
 
+def _whole(batches):
+    """Runs that occur elsewhere as they are: all their windows."""
+    for b in batches:
+        at = np.array(b["start"], np.int64)
+        pairs = np.stack([at, at + np.array(b["n"], np.int64)], 1).tobytes()
+        yield {"d": b["d"], "t": b["t"], "p": [pairs[i : i + 16] for i in range(0, len(pairs), 16)]}
+
+
 def minus(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Intervals of p without those of q, both ascending and disjoint."""
     n = int(max(p.max(), q.max())) if len(p) and len(q) else 0
@@ -350,55 +338,64 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, keep_first: bool = False, block: int = BLOCK, longer: int = 0) -> DataFrame:
-    """(d, t, p, q): for each document with repeats its windows of ``length`` bytes that occur elsewhere too, pairs of int64 as binaries; ``q`` are those of ``longer`` bytes."""
+def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, keep_first: bool = False, block: int = BLOCK) -> DataFrame:
+    """(d, t, p): for each document (d, t, text) with repeats its windows that occur elsewhere too, pairs of int64 as binaries."""
     ship(docs.sparkSession)
-    docs, longer = _identified(docs), max(length, longer)
-    occ = space.write(map_rows(docs.where(F.octet_length("text") >= length), _keyed(length, longer), "key bigint, sub bigint, d bigint, t bigint, start bigint, n int"), "runs")
-    twice = occ.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    occ = space.write(map_rows(docs.where(F.octet_length("text") >= length), _keyed(length), "key bigint, sub bigint, d bigint, t bigint, start bigint, n int"), "runs")
+    # Bytes of all runs of a key, equal ones too, so a key that is not heavy fits a block.
+    size = F.sum(F.col("n") + (length - 1))
+    twice = occ.groupBy("key").agg(F.count(F.lit(1)).alias("c"), (F.min("sub") == F.max("sub")).alias("same"), (size > block // 2).alias("heavy")).where("c > 1").drop("c")
     # Written before it is joined, so Spark can split the join of a key that many texts hold.
     twice = space.write(twice, "twice")
-    cand = space.write(occ.join(twice, "key"), "shared")
+    shared = space.write(occ.join(twice, "key"), "shared")
     space.drop(occ, twice)
     first = F.min(F.struct("d", "t", "start")).alias("f")
-    dist = space.write(cand.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("w"), first, F.max("n").alias("n")), "distinct")
-    segs = dist.groupBy(F.col("f.d").alias("d"), F.col("f.t").alias("t")).agg(F.collect_list(F.struct("key", "sub", F.col("f.start").alias("start"), "n", "w")).alias("segs"))
+    cand, same = shared.where("not same").drop("same"), shared.where("same")
+    if keep_first:
+        least = space.write(same.groupBy("key").agg(first), "least")
+        same = same.join(least, "key").where(F.struct("d", "t", "start") != F.col("f"))
+    same = map_rows(same.select("d", "t", "start", "n"), _whole, "d bigint, t bigint, p binary")
+    dist = space.write(cand.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("w"), first, F.max("n").alias("n"), F.first("heavy").alias("heavy")), "distinct")
+    segs = dist.groupBy(F.col("f.d").alias("d"), F.col("f.t").alias("t")).agg(F.collect_list(F.struct("key", "sub", F.col("f.start").alias("start"), "n", "w", "heavy")).alias("segs"))
     ids = space.write(dist.select("f.d", "f.t").distinct(), "ids")
-    body = "key bigint, sub bigint, w bigint, d bigint, t bigint, start bigint, n int, body binary"
-    rows = space.write(map_rows(_only(docs, ids).join(segs, ["d", "t"]).select("d", "t", "text", "segs"), _cut_out(longer), body), "bodies")
-    ready, maps = None, []
+    body = "key bigint, sub bigint, w bigint, d bigint, t bigint, start bigint, body binary"
+    rows = space.write(map_rows(_only(docs, ids).join(segs, ["d", "t"]).select("d", "t", "text", "segs"), _cut_out(length), body + ", heavy boolean"), "bodies")
+    ready, rows, maps = rows.where("not heavy").drop("heavy"), rows.where("heavy").drop("heavy"), []
     for share in GRAMS[1:]:
-        heavy = rows.groupBy("key").agg(F.sum(F.length("body")).alias("bytes")).where(F.col("bytes") > block // 2).select("key")
-        heavy = space.write(heavy, "heavy")
-        if heavy.isEmpty():
+        if maps:
+            heavy = rows.groupBy("key").agg(F.sum(F.length("body")).alias("bytes")).where(F.col("bytes") > block // 2).select("key")
+            heavy = space.write(heavy, "heavy")
+            ready = ready.unionByName(rows.join(heavy, "key", "left_anti"))
+            rows = rows.join(heavy, "key", "left_semi")
+        if rows.isEmpty():
             break
-        calm = rows.join(heavy, "key", "left_anti")
-        ready = calm if ready is None else ready.unionByName(calm)
         finer = space.write(
-            map_rows(rows.join(heavy, "key", "left_semi"), _finer(length, longer, max(1, int(length * share))), f"{body}, up_key bigint, up_sub bigint, rel int"), "finer"
+            map_rows(rows, _finer(length, max(1, int(length * share))), f"{body}, up_key bigint, up_sub bigint, rel int"), "finer"
         )
         maps.append(finer.select("key", "sub", "up_key", "up_sub", "rel", F.col("d").alias("md"), F.col("t").alias("mt"), F.col("start").alias("ms")))
-        one = finer.groupBy("key", "sub").agg(F.sum("w").alias("w"), F.min(F.struct("d", "t", "start", "n", "body")).alias("f")).select("key", "sub", "w", "f.*")
+        one = finer.groupBy("key", "sub").agg(F.sum("w").alias("w"), F.min(F.struct("d", "t", "start", "body")).alias("f")).select("key", "sub", "w", "f.*")
         several = finer.groupBy("key").agg(F.sum("w").alias("w")).where("w > 1").select("key")
         rows = space.write(one.join(several, "key", "left_semi"), "rows")
-    ready = rows if ready is None else ready.unionByName(rows)
+    else:
+        ready = ready.unionByName(rows)
     total = ready.agg(F.sum(F.length("body"))).first()[0] or 0
     parts = max(1, int(total // (256 * block)), min(64, int(total // block)))
-    result = "key bigint, sub bigint, spans binary, firsts binary, long binary, d bigint, t bigint, start bigint"
-    solved = space.write(map_rows(ready.repartition(parts, "key").sortWithinPartitions("key", "sub"), _blocks(length, longer), result), "solved")
-    space.drop(rows, dist)
+    result = "key bigint, sub bigint, spans binary, firsts binary, d bigint, t bigint, start bigint"
+    solved = space.write(map_rows(ready.repartition(parts, "key").sortWithinPartitions("key", "sub"), _blocks(length), result), "solved")
+    space.drop(dist)
     # What was found under finer keys goes back to the runs it came from, one row for each of them.
     found = solved
     joined = lambda c: F.aggregate(F.collect_list(c), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x)).alias(c)
     for m in reversed(maps):
-        here = (F.struct("d", "t", "start") == F.struct("md", "mt", "ms")).alias("here")
-        up = found.join(m, ["key", "sub"]).select("up_key", "up_sub", "rel", *SPANS, here, F.col("md").alias("d"), F.col("mt").alias("t"), F.col("ms").alias("start"))
-        up = map_rows(up, _raised, result).groupBy("key", "sub").agg(*map(joined, SPANS), *(F.first(c).alias(c) for c in ("d", "t", "start")))
+        up = found.join(m, ["key", "sub"]).select("up_key", "up_sub", "rel", "spans", "firsts", (F.struct("d", "t", "start") == F.struct("md", "mt", "ms")).alias("here"), F.col("md").alias("d"), F.col("mt").alias("t"), F.col("ms").alias("start"))
+        up = map_rows(up, _raised, result).groupBy("key", "sub").agg(joined("spans"), joined("firsts"), *(F.first(c).alias(c) for c in ("d", "t", "start")))
         found = space.write(solved.unionByName(up), "found")
     at = cand.join(found.withColumnsRenamed({"d": "fd", "t": "ft", "start": "fs"}), ["key", "sub"])
     own = F.struct("d", "t", "start") == F.struct("fd", "ft", "fs")
-    places = map_rows(at.select("d", "t", "start", *SPANS, own.alias("own")), _places(keep_first), "d bigint, t bigint, p binary, q binary")
-    return space.write(places.groupBy("d", "t").agg(F.collect_list("p").alias("p"), F.collect_list("q").alias("q")), "windows")
+    places = map_rows(at.select("d", "t", "start", "spans", "firsts", own.alias("own")), _places(keep_first), "d bigint, t bigint, p binary")
+    out = space.write(places.unionByName(same).groupBy("d", "t").agg(F.collect_list("p").alias("p")), "windows")
+    space.drop(shared, found, solved)
+    return out
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", on: tuple | list = ("d", "t")) -> DataFrame:
@@ -407,14 +404,14 @@ def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", on: tuple | l
     return docs.join(F.broadcast(ids) if small else ids, list(on), how)
 
 
-def _digest(length: int, longer: int):
+def _digest(length: int, passage: int):
     def run(batches):
         for b in batches:
             out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage")}
             for text, p, q in zip(b["text"], b["p"], b["q"]):
                 x = text.encode("utf-8", "replace")
-                short = covered(p or [], length)
-                spans = covered(q or [], longer) if longer > length else short
+                spans = covered(p or [], length)
+                short = covered(q or [], passage) if passage < length else spans
                 h, at = hashlib.sha256(), 0
                 for s, e in spans:
                     h.update(x[at:s])
@@ -444,10 +441,16 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     bytes, which is shorter, or of ``length`` if it is not given.
     """
     space = Workspace(docs.sparkSession, "suffix")
-    short = min(length, passage or length)
-    windows = repeated_windows(docs, space, short, keep_first, longer=length)
+    docs, passage = _identified(docs), min(length, passage or length)
+    if passage < length:
+        # A document without the shorter repeats has no longer ones.
+        short = repeated_windows(docs, space, passage, keep_first).withColumnRenamed("p", "q")
+        windows = short.join(repeated_windows(_only(docs, short.select("d", "t")), space, length, keep_first), ["d", "t"], "left")
+        windows = space.write(windows.select("d", "t", "p", "q"), "both")
+    else:
+        windows = repeated_windows(docs, space, length, keep_first).withColumn("q", F.lit(None).cast("array<binary>"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage bigint"
-    return map_rows(_joined(_identified(docs), windows).select("d", "text", "p", "q"), _digest(short, length), schema)
+    return map_rows(_joined(docs, windows).select("d", "text", "p", "q"), _digest(length, passage), schema)
 
 
 def cut_text(x: bytes, spans: list[tuple[int, int]]) -> str:
@@ -470,7 +473,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True)
     nothing stay null.
     """
     space = Workspace(docs.sparkSession, "suffix")
-    windows = repeated_windows(docs, space, length, keep_first)
+    windows = repeated_windows(_identified(docs), space, length, keep_first)
     d, t, p = unused(docs.columns, "d", "t", "p")
     tagged = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), t: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     windows = windows.select(F.col("d").alias(d), F.col("t").alias(t), F.col("p").alias(p))
@@ -489,6 +492,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True)
             if count >= 0:
                 cols[count] = pa.array([len(x) for x in texts], cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        trim()
 
     cut = there.select(*docs.columns, p).mapInArrow(run, docs.schema)
     return cut.unionByName(_only(tagged, windows.select(d, t), "left_anti", [d, t]).select(*docs.columns))
