@@ -4,7 +4,7 @@ A text's bytes run through a gear hash; a place where ``BITS`` bits of the hash
 are zero, and no such place lies in the ``LEAST`` bytes before it, ends a chunk.
 Both rules look at the preceding bytes only, so an insertion moves no cut beyond
 the chunks it touches.  A stretch without cuts is split every ``MOST`` bytes from
-its start.  Chunks with equal digests are copies of the first one in order of
+its start.  Chunks with equal digests of 16 bytes are copies of the first one in order of
 doc_id and position, and a run of consecutive copied chunks of ``shortest`` bytes
 or more is a repeated substring.
 
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Workspace, map_rows, mix64, ship, sliced
+from weft.llm.common import Workspace, map_rows, mix64, ship, sliced, unused
 from weft.llm.suffix_dedup import NULL_ID, cut_text
 
 #: Bits of the hash that are zero at a cut, and the highest of them: the hash of bit b depends on b + 1 bytes.
@@ -69,7 +69,7 @@ def cuts(raw: bytes) -> np.ndarray:
 
 def _chunked(batches):
     for b in batches:
-        out = {c: [] for c in ("d", "t", "start", "size", "digest")}
+        out = {c: [] for c in ("d", "t", "start", "size", "high", "low")}
         for d, t, text in zip(b["d"], b["t"], b["text"]):
             raw = text.encode("utf-8", "replace")
             ends = cuts(raw).tolist()
@@ -78,7 +78,9 @@ def _chunked(batches):
             out["t"] += [t] * len(ends)
             out["start"] += starts
             out["size"] += [e - s for s, e in zip(starts, ends)]
-            out["digest"] += [int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=8).digest(), "little", signed=True) for s, e in zip(starts, ends)]
+            digests = np.frombuffer(b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts, ends)), np.int64).reshape(-1, 2)
+            out["high"] += digests[:, 0].tolist()
+            out["low"] += digests[:, 1].tolist()
             if len(out["d"]) > 100_000:
                 yield out
                 out = {c: [] for c in out}
@@ -112,12 +114,12 @@ def _identified(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, space: Workspace, shortest: int = SHORTEST) -> DataFrame:
     """(d, t, spans) for each document with repeated substrings: byte ranges whose chunks an earlier place holds."""
     ship(docs.sparkSession)
-    occ = space.write(map_rows(_identified(docs), _chunked, "d bigint, t bigint, start int, size int, digest bigint"), "chunks")
+    occ = space.write(map_rows(_identified(docs), _chunked, "d bigint, t bigint, start int, size int, high bigint, low bigint"), "chunks")
     place = F.struct("d", "t", "start")
-    first = occ.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1").select("digest", "f")
+    first = occ.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1").select("high", "low", "f")
     # Written before it is joined, so Spark can split the join of a chunk that many texts hold.
     first = space.write(first, "first")
-    copies = occ.join(first, "digest").where(place != F.col("f")).select("d", "t", F.struct("start", "size").alias("c"))
+    copies = occ.join(first, ["high", "low"]).where(place != F.col("f")).select("d", "t", F.struct("start", "size").alias("c"))
     by_doc = copies.groupBy("d", "t").agg(F.collect_list("c").alias("chunks"))
     spans = map_rows(by_doc, _runs(shortest), "d bigint, t bigint, spans array<struct<begin: bigint, end: bigint>>").where(F.size("spans") > 0)
     out = space.write(spans, "spans")
@@ -141,18 +143,19 @@ def deduplicate(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     space = Workspace(docs.sparkSession, "chunks")
     spans = repeated_spans(docs, space, shortest)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_t": F.xxhash64(text)})
-    joined = tagged.join(spans.withColumnsRenamed({"d": "_d", "t": "_t", "spans": "_spans"}), ["_d", "_t"], "left")
+    d, t, found = unused(docs.columns, "d", "t", "spans")
+    tagged = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), t: F.xxhash64(text)})
+    joined = tagged.join(spans.withColumnsRenamed({"d": d, "t": t, "spans": found}), [d, t], "left")
     at = docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
         for b in sliced(batches):
-            spans = b.column(b.schema.get_field_index("_spans")).to_pylist()
+            spans = b.column(b.num_columns - 1).to_pylist()
             cols = [b.column(i) for i in range(len(b.schema.names) - 1)]
             texts = [x if not s else cut_text(x.encode("utf-8", "replace"), [(r["begin"], r["end"]) for r in s]) for x, s in zip(cols[at].to_pylist(), spans)]
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, found).mapInArrow(run, docs.schema)

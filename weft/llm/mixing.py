@@ -73,24 +73,33 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> tuple[list[int], int]:
     """Copies of each length, at most ``counts``, whose sum is as near below ``budget`` as can be; the sum.
 
-    Reachable sums are bits of an integer; counts are split into powers of two.
+    Reachable sums are bits of an integer; counts are split into powers of two. Of
+    every sum only the item that reached it first is kept, and items end once all
+    sums are reached.
     """
-    items, reach, before = [], 1, []
+    items, reach = [], 1
     mask = (1 << (budget + 1)) - 1
+    size_ = budget // 8 + 1
+    first = np.full(8 * size_, -1, np.int32)
     for i, (size, n) in enumerate(zip(lengths, counts)):
+        if reach == mask:
+            break
         n, k = min(n, budget // size if size else 0), 1
-        while n > 0:
+        while n > 0 and reach != mask:
             take = min(k, n)
-            items.append((i, take))
-            before.append(reach)
-            reach = (reach | reach << take * size) & mask
+            new = reach << take * size & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(size_, "little"), np.uint8)
+                first[np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(items)
+                items.append((i, take))
+                reach |= new
             n, k = n - take, k * 2
     at = best = reach.bit_length() - 1
     out = [0] * len(lengths)
-    for (i, take), old in zip(reversed(items), reversed(before)):
-        if not old >> at & 1:
-            out[i] += take
-            at -= take * lengths[i]
+    while at:
+        i, take = items[first[at]]
+        out[i] += take
+        at -= take * lengths[i]
     return out, best
 
 

@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -185,11 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int
     """Fit on labelled rows whose crc32(doc_id) mod ``modulus`` is not ``rest``.
 
     Copies and near copies in the sample, those whose two smallest shingle hashes
-    agree, count once, so the words of one much-copied document are no evidence.  The driver gets at most ``MAX_TERMS``
+    agree, count once, with the higher label of theirs, so the words of one much-copied document are no evidence.  The driver gets at most ``MAX_TERMS``
     tokens and two numbers for each sampled row.
     """
     sample = labelled_sample(docs, labels, column, modulus, rest, max_rows)
-    sample = map_rows(sample.select("text", "label"), _near, "near bigint, text string, label int")
+    sample = map_rows(sample.select("text", "label"), _near, "near binary, text string, label int")
     sample = sample.groupBy("near").agg(F.max(F.struct("label", "text")).alias("x")).select("x.text", "x.label").persist()
     try:
         rows, nt, nc = terms_of(sample)
@@ -215,8 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int
 
 def _near(batches):
     for b in batches:
-        keys = [s[:2].tobytes() for s in shingle_sets(b["text"], 3)]
-        yield {"near": [crc32(k) | crc32(k, 1) << 31 for k in keys], "text": b["text"], "label": b["label"]}
+        yield {"near": [s[:2].tobytes() for s in shingle_sets(b["text"], 3)], "text": b["text"], "label": b["label"]}
 
 
 def _best(sample, model):
