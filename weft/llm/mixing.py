@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm.common import Workspace
+from weft.llm.common import Workspace, unused
 from weft.session import ship
 
 #: Weights of the sources in order, repeating.
@@ -184,7 +184,7 @@ def mix(docs: DataFrame, seed: int = 17, size: Column | None = None, share: floa
         return part.assign(whole=copies // n, take=copies % n)[["source", "size", "n", "source_size", "target", "whole", "take"]]
 
     planned = space.write(
-        hist.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        hist.join(F.broadcast(goal) if len(rows) <= BROADCAST_ROWS else goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         .groupBy("source").applyInPandas(plan, "source string, size bigint, n bigint, source_size bigint, target double, whole bigint, take bigint"),
         "plan",
     )
@@ -214,16 +214,20 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, all columns as they are, each as often as the mix takes it.
 
     Decisions meet their rows by id, source and size; rows that share all three
-    divide their copies among them in the order of their texts' hashes.
+    divide their copies among them in the order of their texts' hashes. Null texts
+    have the size 0, null ids and sources are values like others, and no column
+    of ``docs`` is overwritten, whatever its name.
     """
     space = Workspace(docs.sparkSession, "mixed")
-    key = [F.col("doc_id").cast("bigint").alias("_id"), F.col("source").cast("string").alias("_src"), "_size"]
-    made = mix(docs.select("doc_id", "source", "text"), seed).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_c"), F.col("size").alias("_z"))
-    made = space.write(made.agg(F.count(F.lit(1)).alias("_m"), F.sum("copies").alias("_copies")), "copies")
-    on = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_src").eqNullSafe(F.col("_c")) & (F.col("_size") == F.col("_z"))
-    rows = docs.withColumn("_size", word_count(F.col("text"))).select(*docs.columns, *key).join(made.where("_copies > 0"), on)
-    alone = rows.where("_m = 1").withColumn("_k", F.col("_copies"))
-    turn = F.row_number().over(Window.partitionBy("_id", "_src", "_size").orderBy(F.xxhash64("text")))
-    several = rows.where("_m > 1").withColumn("_k", F.floor((F.col("_copies") + F.col("_m") - turn) / F.col("_m")))
-    both = alone.unionByName(several.withColumn("_k", F.col("_k").cast("bigint")))
-    return both.where("_k > 0").withColumn("_k", F.explode(F.expr("sequence(1, _k)"))).select(*docs.columns)
+    i, c, z, k = unused(docs.columns, "id", "source", "size", "turn")
+    _i, _c, _z, _m, _copies = unused([*docs.columns, i, c, z, k], "i", "c", "z", "rows", "copies")
+    made = mix(docs.select("doc_id", "source", "text"), seed).groupBy(F.col("doc_id").alias(_i), F.col("source").alias(_c), F.col("size").alias(_z))
+    made = space.write(made.agg(F.count(F.lit(1)).alias(_m), F.sum("copies").cast("bigint").alias(_copies)), "copies")
+    rows = docs.withColumns({i: F.col("doc_id").cast("bigint"), c: F.col("source").cast("string"), z: word_count(F.col("text"))})
+    on = F.col(i).eqNullSafe(F.col(_i)) & F.col(c).eqNullSafe(F.col(_c)) & (F.col(z) == F.col(_z))
+    rows = rows.join(made.where(F.col(_copies) > 0), on)
+    alone = rows.where(F.col(_m) == 1).withColumn(k, F.col(_copies))
+    turn = F.row_number().over(Window.partitionBy(i, c, z).orderBy(F.xxhash64("text")))
+    several = rows.where(F.col(_m) > 1).withColumn(k, F.floor((F.col(_copies) + F.col(_m) - turn) / F.col(_m)).cast("bigint"))
+    both = alone.unionByName(several).where(F.col(k) > 0)
+    return both.withColumn(k, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(k)))).select(*docs.columns)
