@@ -470,7 +470,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True)
     """``docs`` with repeated bytes cut from ``text`` and ``n_chars`` set anew; the first place of each repeated string keeps it.
 
     All other columns stay as they are, whatever their names. Null texts that lose
-    nothing stay null.
+    nothing stay null. Rows that repeat both id and text are one document given
+    several times, so they share its places and all lose or keep the same; equal
+    texts under different ids are different documents.
     """
     space = Workspace(docs.sparkSession, "suffix")
     windows = repeated_windows(_identified(docs), space, length, keep_first)
