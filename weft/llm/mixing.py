@@ -8,7 +8,7 @@ remains as exactly as it can.  The documents of each length are then selected in
 the order of a seeded hash.
 
 What one task sees is bounded by the number of distinct lengths, not of
-documents: counting is pre-aggregated, and a length's documents are ranked only
+documents, and the driver sees no list of sources: counting is pre-aggregated, and a length's documents are ranked only
 inside the one hash bucket in which its selection ends.
 
 Null text has size 0.  Rows with equal ids are separate documents; those with
@@ -19,6 +19,8 @@ empty mix; sources without words have target 0.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,7 +53,8 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     """(source, size, target) in code point order, null last.
 
     Targets over ``most`` times their source's size stop there; the excess goes
-    to the others by weight until no target is above.
+    to the others by weight until no target is above.  ``source_targets`` is the
+    same over a table.
     """
     rows = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
     w = [weights[i % len(weights)] for i in range(len(rows))]
@@ -70,6 +73,40 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
         left -= sum(out[i] for i in over)
 
 
+def source_targets(space: Workspace, sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, int]:
+    """``targets`` of a table (source, source_size) as (_s, source_size, target), and the number of its rows.
+
+    Sources are ranked inside range partitions, whose counts alone reach the
+    driver.  The words for each unit of weight rise from round to round as sources
+    stop at their most, which is Newton's method on a concave function; a round is
+    one aggregate, and the last is the one that stops no further source.
+    """
+    spark = sizes.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = space.write(sizes.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "sources")
+    held = sorted((r["_p"], r["count"]) for r in dealt.groupBy("_p").count().collect())
+    starts = spark.createDataFrame(list(zip([p for p, _ in held], accumulate((n for _, n in held), initial=0))), "_p int, _b bigint")
+    rank = F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    weight = F.element_at(F.array(*(F.lit(x) for x in weights)), (rank % len(weights) + 1).cast("int"))
+    rows = space.write(dealt.join(F.broadcast(starts), "_p").select(F.col("source").alias("_s"), "source_size", weight.alias("_w")), "weights")
+    top = F.col("source_size") * F.lit(float(most))
+    stops, stopped = F.lit(False), -1
+    while True:
+        x = rows.select("source_size", "_w", stops.alias("_stops")).agg(
+            F.sum("source_size").alias("size"), F.sum(F.when(F.col("_stops"), F.col("source_size"))).alias("size_stopped"),
+            F.sum(F.when(~F.col("_stops"), F.col("_w"))).alias("weight"), F.count_if("_stops").alias("n"),
+        ).first()
+        if x["n"] <= stopped:
+            break
+        stopped, open_weight = x["n"], x["weight"]
+        if not open_weight:  # no sources, or all at their most
+            stops, even = F.lit(True), top
+            break
+        even = F.lit(share * x["size"] - most * (x["size_stopped"] or 0)) * F.col("_w") / F.lit(float(open_weight))
+        stops = even > top
+    return rows.select("_s", "source_size", F.when(stops, top).otherwise(even).alias("target")), sum(n for _, n in held)
+
+
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> tuple[list[int], int]:
     """Copies of each length, at most ``counts``, whose sum is as near below ``budget`` as can be; the sum.
 
@@ -172,10 +209,8 @@ def mix(docs: DataFrame, seed: int = 17, size: Column | None = None, share: floa
         "*", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(SALTS)).cast("int").alias("_salt")
     )
     sized = space.write(sized, "sizes")
-    hist = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    # One row for each source comes to the driver.
-    rows = targets([(r["source"], r["total"]) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()], share=share, most=most)
-    goal = spark.createDataFrame([(s, int(n), t) for s, n, t in rows], "_s string, source_size bigint, target double")
+    hist = space.write(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    goal, n_sources = source_targets(space, hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share=share, most=most)
 
     def plan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("size")
@@ -184,7 +219,7 @@ def mix(docs: DataFrame, seed: int = 17, size: Column | None = None, share: floa
         return part.assign(whole=copies // n, take=copies % n)[["source", "size", "n", "source_size", "target", "whole", "take"]]
 
     planned = space.write(
-        hist.join(F.broadcast(goal) if len(rows) <= BROADCAST_ROWS else goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        hist.join(F.broadcast(goal) if n_sources <= BROADCAST_ROWS else goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         .groupBy("source").applyInPandas(plan, "source string, size bigint, n bigint, source_size bigint, target double, whole bigint, take bigint"),
         "plan",
     )
