@@ -41,11 +41,11 @@ def trim() -> None:
         pass
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """Run ``fn`` over column lists of each Arrow batch: dict of lists in, dict of lists out."""
     ship(df.sparkSession)
-    names = T._parse_datatype_string(schema).names
-    arrow = _arrow_schema(T._parse_datatype_string(schema))
+    struct = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    names, arrow = struct.names, _arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in sliced(batches))
@@ -54,7 +54,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
         trim()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, struct)
 
 
 def groups(batches: Iterator[dict], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import chunk_dedup, embedding_dedup, license_scan, mixing, nbsvm, packing, posting_ann, suffix_dedup, superminhash, toxicity
+from weft.llm import chunk_dedup, embedding_dedup, license_scan, mixing, nbsvm, packing, posting_ann, suffix_automaton, suffix_dedup, superminhash, toxicity
 from weft.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_automaton.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeated_strings": op1_repeated_strings,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_quality": op9_quality,
         "op10_nearest": op10_nearest,
+        "op11_decontamination": op11_decontamination,
     }
 
 
@@ -81,6 +86,20 @@ l AS (SELECT a, b FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k
 SELECT c.id AS doc_id, n.size AS n_shingles, component_id, component_id = c.id AS kept FROM c JOIN n ON n.id = c.id"""
 
 
+#: Maximal runs of digits, letters and non-ASCII characters, A-Z lower-cased.
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP11_SQL = f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), i AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+k AS (SELECT item_id, w, least(len(w), 10) AS k FROM i WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM k)),
+o AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM d JOIN (SELECT DISTINCT k FROM k) ON len(w) >= k)),
+h AS (SELECT doc_id, o.k, p, item_id FROM o JOIN v ON o.k = v.k AND o.s = v.s),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS place FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that joins and a closure can express; the others rest on models, hashes or dynamic programs."""
-    return {"op6_embedding_links": OP6_SQL, "op8_near_duplicates": OP8_SQL}
+    return {"op6_embedding_links": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op11_decontamination": OP11_SQL}
