@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import chunk_dedup, embedding_dedup, license_scan, mixing, nbsvm, packing, posting_ann, suffix_automaton, suffix_dedup, superminhash, toxicity
+from weft.llm import chunk_dedup, embedding_dedup, license_scan, mixing, name_join, nbsvm, packing, posting_ann, suffix_automaton, suffix_dedup, superminhash, toxicity
 from weft.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_automaton.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_join.join(table(spark, sf_dir, "clients"), table(spark, sf_dir, "vendors"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeated_strings": op1_repeated_strings,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_nearest": op10_nearest,
         "op11_decontamination": op11_decontamination,
+        "op12_name_join": op12_name_join,
     }
 
 
