@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import chunk_dedup, embedding_dedup, license_scan, mixing, name_join, nbsvm, packing, posting_ann, suffix_automaton, suffix_dedup, superminhash, toxicity
+from weft.llm import chunk_dedup, embedding_dedup, license_scan, mixing, name_join, nbsvm, packing, posting_ann, ranked_search, suffix_automaton, suffix_dedup, superminhash, toxicity
 from weft.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_join.join(table(spark, sf_dir, "clients"), table(spark, sf_dir, "vendors"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeated_strings": op1_repeated_strings,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_nearest": op10_nearest,
         "op11_decontamination": op11_decontamination,
         "op12_name_join": op12_name_join,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -105,6 +110,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
 
+OP13_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+t AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d), f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+a AS (SELECT count(*) AS total_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * total_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, a GROUP BY term, total_docs),
+s AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total_docs) // total)))) AS BIGINT) AS score FROM f JOIN i USING (term) JOIN v USING (term), a GROUP BY item_id, r, doc_id),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that joins and a closure can express; the others rest on models, hashes or dynamic programs."""
-    return {"op6_embedding_links": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op11_decontamination": OP11_SQL}
+    return {"op6_embedding_links": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op11_decontamination": OP11_SQL, "op13_ranked_search": OP13_SQL}
