@@ -24,7 +24,7 @@ distance of every accepted pair is computed again from both names.
 
 Only distinct names travel, with their aggregates, so rows that share a name cost one.
 Names null or empty take no part.  Nothing goes through one task, the driver or a
-broadcast.
+broadcast: joins are merge joins whatever their size.
 """
 
 from __future__ import annotations
@@ -197,7 +197,7 @@ def _routes(heads: DataFrame, queries: DataFrame, bound: int) -> DataFrame:
         F.array("same", F.substring("word", F.lit(1), F.greatest(F.col("h") - 1, F.lit(0)))), _without_one(F.col("same")), F.when(F.length("more") > F.col("h"), _without_one(F.col("more"))).otherwise(F.array().cast("array<string>")),
     )))
     b = cut.select("query", "back", "size", F.explode(left).alias("left"))
-    return a.join(b, ["back", "size", "left"]).select("back", "size", "head", "query").distinct()
+    return a.join(b.hint("merge"), ["back", "size", "left"]).select("back", "size", "head", "query").distinct()
 
 
 def _cell(names: list[str], rows: list[tuple], queries: Iterator[str], head: str, back: bool, wide: Universal, narrow: Universal) -> Iterator[tuple]:
@@ -236,14 +236,14 @@ def pairs(queries: DataFrame, names: DataFrame, bound: int = BOUND) -> DataFrame
     shard = ["back", "size", "head"]
     heads = both.groupBy(*shard).agg(F.count(F.lit(1)).alias("n_names"))
     routes = space.write(_routes(heads.select(*shard), queries, bound), "routes")
-    counts = space.write(routes.groupBy(*shard).agg(F.count(F.lit(1)).alias("n_queries")).join(heads, shard), "shards")
+    counts = space.write(routes.groupBy(*shard).agg(F.count(F.lit(1)).alias("n_queries")).join(heads.hint("merge"), shard), "shards")
     parts = lambda n: F.ceil(F.col(n) / CELL).cast("int")
     sized = counts.select(*shard, parts("n_names").alias("rows"), parts("n_queries").alias("columns"))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = both.join(sized, shard).select(*shard, own("word", "rows").alias("r"), each("columns").alias("c"), F.lit(False).alias("asks"), "word", "n", "first", "crc")
+    left = both.join(sized.hint("merge"), shard).select(*shard, own("word", "rows").alias("r"), each("columns").alias("c"), F.lit(False).alias("asks"), "word", "n", "first", "crc")
     none = F.lit(None).cast("bigint")
-    right = routes.join(sized, shard).select(*shard, each("rows").alias("r"), own("query", "columns").alias("c"), F.lit(True).alias("asks"), F.col("query").alias("word"), none.alias("n"), none.alias("first"), none.alias("crc"))
+    right = routes.join(sized.hint("merge"), shard).select(*shard, each("rows").alias("r"), own("query", "columns").alias("c"), F.lit(True).alias("asks"), F.col("query").alias("word"), none.alias("n"), none.alias("first"), none.alias("crc"))
     cell = [*shard, "r", "c"]
     dealt = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell, "asks", "word")
 
@@ -290,4 +290,4 @@ def join(clients: DataFrame, vendors: DataFrame, bound: int = BOUND) -> DataFram
     names = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("client_id").alias("first"), F.coalesce(F.sum(decimal_crc(F.col("client_id"))), F.lit(0)).alias("crc"))
     asked = vendors.where("vendor_id is not null and name is not null").select(F.col("vendor_id").cast("bigint").alias("vendor_id"), lowered(misspelt(F.col("name"), decimal_crc(F.col("vendor_id")))).alias("query")).where("query != ''")
     found = pairs(asked.select("query").distinct(), names, bound)
-    return asked.join(found, "query").groupBy("vendor_id", "distance").agg(F.sum("n").alias("n_clients"), F.min("first").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
+    return asked.join(found.hint("merge"), "query").groupBy("vendor_id", "distance").agg(F.sum("n").alias("n_clients"), F.min("first").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
