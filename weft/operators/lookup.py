@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.like import blank, contains_like
 from weft.model import nodes_of
+from weft.operators import stored
+from weft.session import Workspace
 
 #: Bounds of searches and pages.
 MAX_SEARCH, MAX_PAGE = 100, 500
@@ -39,6 +41,21 @@ def list_nodes(edges: DataFrame, page: int = 1, page_size: int = 50, text: str |
     return rows.join(labels, "id", "left").select("id", F.coalesce("transformations", F.array().cast(kind)).alias("transformations")).crossJoin(total)
 
 
+def stored_nodes(edges: DataFrame, root: str, rows: int = stored.ROWS) -> stored.RangeStore:
+    """The nodes (id, transformations), ids as text, stored by id with an index of the parts' rows."""
+    labels = transformations(edges).select(F.col("id").cast("string").alias("id"), "transformations")
+    all_ = nodes_of(edges).select(F.col("id").cast("string").alias("id")).join(labels, "id", "left")
+    kept = Workspace(edges.sparkSession, "nodes").write(all_.select("id", F.coalesce("transformations", F.array().cast("array<string>")).alias("transformations")), "nodes")
+    return stored.RangeStore.write(kept, root, ("id",), rows)
+
+
+def list_stored(store: stored.RangeStore, page: int = 1, page_size: int = 50, text: str | None = None) -> DataFrame:
+    """As ``list_nodes``, from ``stored_nodes``: any page costs the part or two that hold it, and with ``text`` a count of each part's matches."""
+    page, page_size = max(1, page), max(1, min(page_size, MAX_PAGE))
+    rows, total = store.page((page - 1) * page_size, page_size, None if blank(text) else contains_like(F.col("id"), text))
+    return rows.withColumn("total", F.lit(total).cast("bigint"))
+
+
 def node_detail(edges: DataFrame, node) -> DataFrame | None:
     """(role, id, transformation): successors and predecessors, equal pairs once, by id and label; None if the node does not exist."""
     out = edges.where(F.col("src") == F.lit(node)).select(F.lit("successor").alias("role"), F.col("dst").alias("id"), "transformation")

@@ -78,10 +78,15 @@ def successors_predecessors(wide: DataFrame, headers: DataFrame, lna_uid: str, l
             rows = rows.where(F.col(c) == v)
     known = rows.join(headers.select("LNA_UID").distinct(), "LNA_UID", "left_semi")
     total = known.agg(F.count(F.lit(1)).alias("TotalLignes"))
-    order = [F.asc_nulls_first(c) for c in (*DATA, "LNA_UID", "LIN_UID", "EDG_DIR")]
-    page = known.orderBy(*order).limit(max_rows)
+    order = (*DATA, "LNA_UID", "LIN_UID", "EDG_DIR")
+    page = known.orderBy(*(F.asc_nulls_first(c) for c in order)).limit(max_rows)
+    return headed_page(page, headers, total, wide.columns[:13], order)
+
+
+def headed_page(page: DataFrame, headers: DataFrame, total: DataFrame, columns, order) -> DataFrame:
+    """The rows of a page with their headers' columns, the current node and the one-row ``total``."""
     full = page.join(headers, "LNA_UID").withColumns({c: _default(c) for c in HEADER.names[1:]}).withColumn("CURRENT_NODE", current_node())
-    return full.crossJoin(F.broadcast(total)).select(*wide.columns[:13], *HEADER.names[1:], "CURRENT_NODE", "TotalLignes").orderBy(*order)
+    return full.crossJoin(F.broadcast(total)).select(*columns, *HEADER.names[1:], "CURRENT_NODE", "TotalLignes").orderBy(*(F.asc_nulls_first(c) for c in order))
 
 
 def _default(name: str) -> Column:

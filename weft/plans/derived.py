@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.model import HEADER, WIDE_COLUMNS, to_edges
+from weft.operators.stored import StoredWide
+from weft.session import exists, own_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +112,15 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*WIDE_COLUMNS)
 
 
+def stored_wide(spark: SparkSession, sf_dir: str) -> StoredWide:
+    """The wide table as a store, written once for each application and input."""
+    held = spark.sparkContext.__dict__.setdefault("_weft_stores", {})
+    store = held.get(sf_dir)
+    if not store or not exists(spark, f"{store.root}/totals/_SUCCESS"):
+        store = held[sf_dir] = StoredWide.write(wide(spark, sf_dir), own_folder(spark, "wide-store"))
+    return store
+
+
 WIDE = """w0 AS (
   SELECT l.*, p_brand, p_type, p_name, n_name,
          row_number() OVER (PARTITION BY l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus

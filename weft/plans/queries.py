@@ -9,11 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.like import contains_like
 from weft.model import duplicate_keys, nodes_of, to_edges, wide_to_edges
 from weft.operators import condense, history, layout, lookup, procs, traverse, weighted
 from weft.operators.components import components
 from weft.plans import derived as D
-from weft.session import Workspace
+from weft.operators.stored import StoredWide
+from weft.session import Workspace, own_folder
 from weft.sources import catalog, edges as sources, sinks, tabular, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +105,14 @@ def node_list_page(spark, sf):
     return lookup.list_nodes(D.full(spark, sf), 3, 25, "1").select("id", F.array_join("transformations", "|").alias("transformations"), "total")
 
 
+@query("node_list_deep_page", f"WITH {D.FULL}, {NODES}, {LABELS}, f AS (SELECT id FROM n WHERE id ILIKE '%1%'), p AS (SELECT id FROM f ORDER BY id LIMIT 7 OFFSET 7 * (SELECT count(*) // 9 FROM f)) SELECT p.id, coalesce(transformations, '') AS transformations, (SELECT count(*) FROM f) AS total FROM p LEFT JOIN t ON t.id = p.id")
+def node_list_deep_page(spark, sf):
+    """A page near the end, read from the one part that holds it."""
+    store = lookup.stored_nodes(D.full(spark, sf), own_folder(spark, "nodes"), 500)
+    total = store.page(0, 1, contains_like(F.col("id"), "1"))[1]
+    return lookup.list_stored(store, total // 9 + 1, 7, "1").select("id", F.array_join("transformations", "|").alias("transformations"), "total")
+
+
 @query("node_detail", f"WITH {D.FULL}, {NODES}, k AS (SELECT min(id) AS k FROM n) SELECT DISTINCT 'successor' AS role, dst AS id, transformation FROM g, k WHERE src = k UNION SELECT 'predecessor', src, transformation FROM g, k WHERE dst = k")
 def node_detail(spark, sf):
     g = D.full(spark, sf)
@@ -208,6 +218,11 @@ SELECT LNA_UID, LIN_UID, EDG_DIR, {KEY4}, (SELECT count(*) FROM (SELECT DISTINCT
 
 @query("nodes_list_default", _nodes_list("lower(DTA_1) LIKE 'f%'", "true", 100))
 def nodes_list_default(spark, sf):
+    return D.stored_wide(spark, sf).nodes_list()
+
+
+@query("nodes_list_scanned", _nodes_list("lower(DTA_1) LIKE 'f%'", "true", 100))
+def nodes_list_scanned(spark, sf):
     return procs.nodes_list(D.wide(spark, sf))
 
 
@@ -219,7 +234,7 @@ def nodes_list_cached(spark, sf):
 
 @query("nodes_list_filtered", _nodes_list("lower(DTA_2) LIKE '%eco%' AND lower(DTA_4) LIKE '%1%'", "lower(DTA_2) LIKE '%eco%' AND lower(DTA_4) LIKE '%1%'", 100))
 def nodes_list_filtered(spark, sf):
-    return procs.nodes_list(D.wide(spark, sf), table="Eco", env="1")
+    return D.stored_wide(spark, sf).nodes_list(table="Eco", env="1")
 
 
 PATTERN = "regexp_matches(DTA_1, '(?i)^.*d.b.*#[2-4][^13].*$')"
@@ -227,7 +242,7 @@ PATTERN = "regexp_matches(DTA_1, '(?i)^.*d.b.*#[2-4][^13].*$')"
 
 @query("nodes_list_pattern", _nodes_list(PATTERN, PATTERN, 50))
 def nodes_list_pattern(spark, sf):
-    return procs.nodes_list(D.wide(spark, sf), column="d_b%#[2-4][^13]", max_rows=50)
+    return D.stored_wide(spark, sf).nodes_list(column="d_b%#[2-4][^13]", max_rows=50)
 
 
 @query("nodes_list_prefix_key", _nodes_list("lower(DTA_1) LIKE 'f%'", "true", 100, "substring(DTA_1, 1, 150), substring(DTA_2, 1, 80), substring(DTA_3, 1, 500), substring(DTA_4, 1, 150)"))
@@ -250,9 +265,9 @@ SELECT {WIDE_LIST}, {HEADER_SQL}, {NODE_SQL}, (SELECT count(*) FROM w) AS TotalL
 
 
 def _succ(spark, sf, kind, use_edg=False, known=True, rows=100, direction="O"):
-    wide = D.wide(spark, sf)
-    start = wide.where((F.col("LNA_UID") == "LNA_A") & (F.col("EDG_DIR") == direction)).orderBy("LIN_UID").select("LIN_UID").first()
-    return procs.successors_predecessors(wide, D.headers(spark), "LNA_A", start[0] if known and start else "none", direction, kind, use_edg, rows)
+    store = D.stored_wide(spark, sf)
+    start = store.keys().where((F.col("LNA_UID") == "LNA_A") & (F.col("EDG_DIR") == direction)).agg(F.min("LIN_UID")).first() if known else None
+    return store.successors_predecessors(D.headers(spark), "LNA_A", start[0] if start else "none", direction, kind, use_edg, rows)
 
 
 @query("succ_pred_resolved", _succ_pred("O", "DTA"))
@@ -275,6 +290,51 @@ def succ_pred_unknown(spark, sf):
     return _succ(spark, sf, "O", known=False, rows=50)
 
 
+#: The key whose coordinates have the most rows.
+SHARED = f"SELECT w.* FROM wide w JOIN (SELECT {KEY4}, count(*) AS c FROM wide GROUP BY ALL) USING ({KEY4}) ORDER BY c DESC, LNA_UID, LIN_UID, EDG_DIR LIMIT 1"
+
+
+@query("succ_pred_shared", _succ_pred("O", "DTA", SHARED))
+def succ_pred_shared(spark, sf):
+    store = D.stored_wide(spark, sf)
+    rows = store.rows.read().select(*procs.DATA, F.struct("LNA_UID", "LIN_UID", "EDG_DIR").alias("key"))
+    top = rows.groupBy(*procs.DATA).agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("key")).orderBy(F.desc("c"), "key").select("key.*").first()
+    return store.successors_predecessors(D.headers(spark), *top, "O")
+
+
+@query("succ_pred_scanned", _succ_pred("O", "EDG"))
+def succ_pred_scanned(spark, sf):
+    wide = D.wide(spark, sf)
+    start = wide.where("LNA_UID = 'LNA_A' and EDG_DIR = 'O'").agg(F.min("LIN_UID")).first()
+    return procs.successors_predecessors(wide, D.headers(spark), "LNA_A", start[0] or "none", "O", "O", True)
+
+
+MERGED = f"""{D.WIDE}, moved AS (SELECT LNA_UID, LIN_UID, EDG_DIR, CASE WHEN m THEN 'moved_' || DTA_1 ELSE DTA_1 END AS DTA_1, DTA_2, DTA_3, CASE WHEN m THEN NULL ELSE DTA_4 END AS DTA_4
+FROM (SELECT *, LNA_UID = 'LNA_R' AND DTA_4 = 'NATION_7' AS m FROM wide)), merged AS (SELECT * FROM moved UNION ALL SELECT LNA_UID, LIN_UID || '_new', EDG_DIR, DTA_1, DTA_2, 'new', DTA_4 FROM wide WHERE EDG_DIR = 'O' AND DTA_4 = 'NATION_3')"""
+
+
+@query("wide_merged", f"""WITH {MERGED}, f AS (SELECT DISTINCT ON ({KEY4}) {KEY4}, LIN_UID FROM merged ORDER BY {KEY4}, LIN_UID, LNA_UID, EDG_DIR),
+c AS (SELECT DTA_1, DTA_4, count(*) AS coordinates, min(LIN_UID) AS first, max(LIN_UID) AS last FROM f GROUP BY 1, 2), r AS (SELECT DTA_1, DTA_4, count(*) AS n FROM merged GROUP BY 1, 2)
+SELECT c.DTA_1, c.DTA_4, n, coordinates, first, last FROM c JOIN r ON r.DTA_1 = c.DTA_1 AND r.DTA_4 IS NOT DISTINCT FROM c.DTA_4""")
+def wide_merged(spark, sf):
+    """Two change sets of the wide table: coordinates that move, then new rows; the second one twice, as after a failure."""
+    wide = D.wide(spark, sf)
+    store = StoredWide.write(wide, own_folder(spark, "merged"))
+    moved = wide.where("LNA_UID = 'LNA_R' and DTA_4 = 'NATION_7'")
+    store.merge(moved.withColumns({"DTA_1": F.concat(F.lit("moved_"), "DTA_1"), "DTA_4": F.lit(None).cast("string")}))
+    added = wide.where("EDG_DIR = 'O' and DTA_4 = 'NATION_3'").withColumns({"LIN_UID": F.concat("LIN_UID", F.lit("_new")), "DTA_3": F.lit("new")})
+    for _ in range(2):
+        store.merge(added)
+    firsts = store.coordinates.read().groupBy("DTA_1", "DTA_4").agg(F.count(F.lit(1)).alias("coordinates"), F.min("LIN_UID").alias("first"), F.max("LIN_UID").alias("last"))
+    rows = store.rows.read().groupBy(F.col("DTA_1").alias("a"), F.col("DTA_4").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return firsts.join(rows, F.col("DTA_1").eqNullSafe(F.col("a")) & F.col("DTA_4").eqNullSafe(F.col("b"))).select("DTA_1", "DTA_4", "n", "coordinates", "first", "last")
+
+
+@query("stored_stats", f"WITH {D.WIDE} SELECT 1 AS Id, CAST((SELECT count(*) FROM (SELECT DISTINCT {KEY4} FROM wide)) AS INTEGER) AS DistinctDTACount, count(*) AS RowCountTotal FROM wide")
+def stored_stats(spark, sf):
+    return D.stored_wide(spark, sf).stats().drop("RefreshedAt")
+
+
 @query("refresh_stats", f"WITH {D.WIDE} SELECT 1 AS Id, CAST((SELECT count(*) FROM (SELECT DISTINCT {KEY4} FROM wide)) AS INTEGER) AS DistinctDTACount, count(*) AS RowCountTotal FROM wide")
 def refresh_stats(spark, sf):
     return procs.stats(D.wide(spark, sf)).drop("RefreshedAt")

@@ -61,6 +61,16 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name of this application in the shared folder; ``clean`` deletes it."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application.
 
@@ -80,7 +90,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = own_folder(spark, name)
         self.n = 0
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
