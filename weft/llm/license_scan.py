@@ -77,7 +77,9 @@ class Matcher:
         import regex
 
         self.notices = [(label, text, len(text) // chars_per_edit) for label, text in notices]
-        self.patterns = [regex.compile(r"(?b)\b(?:%s){e<=%d}\b" % (regex.escape(text), k)) for _, text, k in self.notices]
+        pattern = lambda flag, text, k: regex.compile(r"%s\b(?:%s){e<=%d}\b" % (flag, regex.escape(text), k))
+        # One finds places from left to right, the other the best match of a place.
+        self.patterns = [(pattern("", text, k), pattern("(?b)", text, k)) for _, text, k in self.notices]
         seeds = defaultdict(list)
         for n, (_, text, k) in enumerate(self.notices):
             for at, piece in pieces(text, k):
@@ -87,8 +89,8 @@ class Matcher:
             self.auto.add_word(piece, (len(piece), where))
         self.auto.make_automaton()
 
-    def find(self, norm: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of every verified notice in a normalised text, by start; spans of one notice do not overlap."""
+    def find(self, norm: str) -> list[tuple[int, int, str, int, int]]:
+        """(start, end, label, edits, length of the notice) of every verified notice in a normalised text, by start; spans of one notice do not overlap."""
         windows = defaultdict(list)
         for end, (size, where) in self.auto.iter(norm):
             for n, at in where:
@@ -111,8 +113,12 @@ class Matcher:
             for a, b in merged:
                 # Whole words, as the pattern asks for their ends.
                 a, b = norm.rfind(" ", 0, a) + 1, norm.find(" ", min(b, len(norm)))
-                for m in self.patterns[n].finditer(norm, a, len(norm) if b < 0 else b):
-                    found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                b = len(norm) if b < 0 else b
+                some, best = self.patterns[n]
+                while m := some.search(norm, a, b):
+                    m = best.search(norm, m.start(), min(b, m.end() + k)) or m
+                    found.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(text)))
+                    a = max(m.end(), m.start() + 1)
         return sorted(found)
 
 
@@ -139,16 +145,16 @@ def scan_text(text: str) -> dict:
     words = words_of(text)
     norm = b" ".join(words).decode("utf-8", "replace")
     base = base_places(words)
-    found = [(norm.count(" ", 0, a), norm.count(" ", 0, max(a, b - 1)) + 1, label, e) for a, b, label, e in matcher().find(norm)]
+    found = [(norm.count(" ", 0, a), norm.count(" ", 0, max(a, b - 1)) + 1, label, e, n) for a, b, label, e, n in matcher().find(norm)]
     starts = [i for i, _ in base]
-    labels = {x for _, x in base} | {x for *_, x, _ in found}
-    # An exact base phrase is certain; a notice is as certain as its share of kept characters.
-    best = max((1 - e * CHARS_PER_EDIT / 100 for *_, e in found), default=0.0)
+    labels = {x for _, x in base} | {x for _, _, x, *_ in found}
+    # An exact base phrase is certain; a notice is as certain as its share of characters without edit.
+    best = max((1 - e / n for *_, e, n in found), default=0.0)
     return {
         "n_words": len(words), "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
         "base_labels": ",".join(sorted({x for _, x in base})), "labels": ",".join(sorted(labels)),
         "score": 1.0 if base else max(0.0, best),
-        "spans": [{"first": a, "end": b, "label": x, "edits": e} for a, b, x, e in found],
+        "spans": [{"first": a, "end": b, "label": x, "edits": e} for a, b, x, e, _ in found],
     }
 
 
