@@ -120,8 +120,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     """(doc_id, text, label): at most ``max_rows`` labelled rows that are not held out.
 
     The sample is the rows with the smallest hashes of doc_id, so it does not
-    depend on partitioning.  A doc_id labelled twice takes its smaller label; null
-    labels and ids are left out.  The join side is bounded by ``max_rows``.
+    depend on partitioning.  A doc_id labelled twice takes its smaller label, one
+    that several rows hold its smallest text, so ``max_rows`` bounds rows as well as
+    ids; null labels and ids are left out.  The join side is bounded by ``max_rows``.
     """
     known = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("label"))
@@ -129,4 +130,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
         .groupBy("doc_id").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -34,8 +34,6 @@ from weft.llm.textsets import shingle_sets
 
 #: At most this many labelled rows are used to fit the model.
 MAX_TRAIN_ROWS = 20_000
-#: The model keeps at most this many tokens, those of the highest z-scores.
-MAX_TERMS = 50_000
 
 _keep = bytearray(b" " * 256)
 for _c in range(256):
@@ -151,7 +149,7 @@ def _counts(n):
     return {"unit": [k[0] for k in n], "label": [k[1] for k in n], "docs": [v[0] for v in n.values()], "n": [v[1] for v in n.values()]}
 
 
-def terms_of(sample: DataFrame, z_least: float = 3.0, prior: float = 500.0, max_terms: int = MAX_TERMS) -> tuple[list, int, int]:
+def terms_of(sample: DataFrame, z_least: float = 3.0, prior: float = 500.0) -> tuple[list, int, int]:
     """[(unit, log-odds, occurrences in clean documents)] of units whose document log-odds have a z-score of ``z_least`` or more; documents of each class."""
     counts = map_rows(sample.select("text", "label"), _count, "unit binary, label int, docs bigint, n bigint")
     toxic = F.col("label") > 0
@@ -174,7 +172,7 @@ def terms_of(sample: DataFrame, z_least: float = 3.0, prior: float = 500.0, max_
     up, z = odds("n", prior)[0], odds("docs", 50.0)[1]
     rows = (
         by.where(F.col("unit").isNotNull() & (F.col("t_docs") >= 3)).select("unit", "c_n", up.alias("up"), z.alias("z"))
-        .where((F.col("z") >= z_least) & (F.col("up") > 0)).orderBy(F.desc("z"), "unit").limit(max_terms).collect()
+        .where((F.col("z") >= z_least) & (F.col("up") > 0)).orderBy(F.desc("z"), "unit").collect()
     )
     by.unpersist()
     return [(bytes(r["unit"]), r["up"], r["c_n"]) for r in rows], dt, dc
@@ -184,8 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int
     """Fit on labelled rows whose crc32(doc_id) mod ``modulus`` is not ``rest``.
 
     Copies and near copies in the sample, those whose two smallest shingle hashes
-    agree, count once, with the higher label of theirs, so the words of one much-copied document are no evidence.  The driver gets at most ``MAX_TERMS``
-    tokens and two numbers for each sampled row.
+    agree, count once, with the higher label of theirs, so the words of one much-copied document are no evidence.  So do all texts without
+    words.  The driver gets every significant token, which three toxic rows of the sample
+    must hold, and two numbers for each sampled row.
     """
     sample = labelled_sample(docs, labels, column, modulus, rest, max_rows)
     sample = map_rows(sample.select("text", "label"), _near, "near binary, text string, label int")
