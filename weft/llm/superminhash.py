@@ -309,8 +309,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = space.write(map_rows(docs, _signed(k), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary"), "signed")
     some = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    # Classes of equal sets; the smallest id stands for each.
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # Classes of equal sets; the smallest id stands for each. Written first, so Spark can split the join of a large class.
+    classes = space.write(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     member = some.select("digest", "doc_id").join(classes.where("n > 1"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     reps = some.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
