@@ -45,8 +45,8 @@ BOXED = 16
 BLOCK, INTERVAL, PART = 1024, 16, 128
 #: Blocks that a join task holds, and those that are streamed past them.
 TILE, STRETCH = 8, 16
-#: Block pairs of one of Spark's partitions, about.
-PAIRS = 16
+#: Block pairs of one of Spark's partitions, about, and most partitions, which then take more pairs one after another.
+PAIRS, MOST_TASKS = 16, 20_000
 #: Lengths of vectors with principal dimensions of their own, labels whose means one task holds, keys that a label's intervals are joined under.
 LENGTHS, LABELS, SALTS = 16, 10_000, 16
 SLACK = 1e-6
@@ -275,7 +275,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93) -> DataFrame:
     blocks = space.write(sequence.mapInPandas(_blocked(axes), "dim int, grp bigint, part int, k int, lo binary, hi binary, cls binary, copies binary, x binary"), "blocks")
     space.drop(placed)
     pairs = space.write(_block_pairs(blocks, eps), "pairs")
-    tasks = _tasks(pairs, blocks).repartition(max(1, -(-pairs.count() // PAIRS)), *TASK).sortWithinPartitions(*TASK, "side", "bk")
+    tasks = _tasks(pairs, blocks).repartition(min(MOST_TASKS, max(1, -(-pairs.count() // PAIRS))), *TASK).sortWithinPartitions(*TASK, "side", "bk")
     out = space.write(tasks.mapInArrow(_joined(axes, cosine), "a binary, b binary, n bigint"), "links")
     space.drop(blocks, pairs)
     links = out.where(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("cls"), "n")

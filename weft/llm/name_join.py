@@ -31,7 +31,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
