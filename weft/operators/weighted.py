@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import traverse
+from weft.operators import settling, traverse
 from weft.operators.local import LocalGraph, ids_of
+from weft.operators.settling import MAX_SETTLED
 from weft.operators.traverse import _one, distances, exists, path_row
 from weft.session import Workspace
 
@@ -69,60 +70,64 @@ def costs(edges: DataFrame, starts: DataFrame, max_cost: float = MAX_COST, forwa
     return best.select("id", "cost", "hops")
 
 
-def _cost_path(edges: DataFrame, labels: DataFrame, target) -> list:
-    """Backwards by labels: the smallest predecessor whose label and edge give the node's label."""
-    e = _weights(edges)
-    out = [target]
-    at = labels.where(F.col("id") == F.lit(target)).first()
-    while at["hops"] > 0:
-        step = e.where(F.col("b") == F.lit(out[-1])).join(labels, F.col("a") == F.col("id"))
-        row = step.where((F.col("hops") == at["hops"] - 1) & (F.abs(F.col("cost") + F.col("w") - at["cost"]) < 1e-9)).orderBy("id").select("id", "cost", "hops").first()
-        out.append(row["id"])
-        at = row
-    return out[::-1]
+def dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST, driver_edges: int | None = None, most: int = MAX_SETTLED) -> DataFrame:
+    """(path, found, cost): cheapest path of at most ``max_cost``; of equal ones the one of fewest hops and smallest parents.
+
+    Nodes are settled in order of cost. The search ends when the target is, and finds
+    nothing if more than ``most`` nodes are settled before it.
+    """
+    return _search(edges, source, target, max_cost, None, driver_edges, most)
 
 
-def dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST, driver_edges: int | None = None) -> DataFrame:
-    """(path, found, cost): cheapest path of at most ``max_cost``; of equal ones the one of fewest hops and smallest parents."""
-    return _search(edges, source, target, max_cost, None, driver_edges)
+def _row(spark, path: list | None, cost: float | None) -> DataFrame:
+    return path_row(spark, path).withColumn("cost", F.lit(cost).cast("double"))
 
 
-def _search(edges: DataFrame, source, target, max_cost: float, bounds: DataFrame | None, driver_edges: int | None = None) -> DataFrame:
+def _search(edges: DataFrame, source, target, max_cost: float, bounds: DataFrame | None, driver_edges: int | None = None, most: int = MAX_SETTLED) -> DataFrame:
     spark = edges.sparkSession
-    edges = Workspace(spark, "weighted").stored(edges, "edges")
+    space = Workspace(spark, "weighted")
+    edges = space.stored(edges, "edges")
+    check_weights(edges)
     if not exists(edges, source) or not exists(edges, target):
-        return path_row(spark, None).withColumn("cost", F.lit(None).cast("double"))
+        return _row(spark, None, None)
     if source == target:
-        return path_row(spark, [source]).withColumn("cost", F.lit(0.0))
-    labels = costs(edges, _one(spark, edges, source), max_cost, bounds=bounds, driver_edges=driver_edges)
-    found = labels.where(F.col("id") == F.lit(target)).first()
-    if not found:
-        return path_row(spark, None).withColumn("cost", F.lit(None).cast("double"))
-    return path_row(spark, _cost_path(edges, labels, target)).withColumn("cost", F.lit(float(found["cost"])))
+        return _row(spark, [source], 0.0)
+    graph = LocalGraph.of(edges, traverse.DRIVER_EDGES if driver_edges is None else driver_edges)
+    if graph:
+        low = {graph.at[r["id"]]: r["h"] for r in bounds.toLocalIterator() if r["id"] in graph.at} if bounds is not None else None
+        path, cost = graph.cheapest(source, target, max_cost, low, most)
+        return _row(spark, path, cost)
+    found, _ = settling.cheapest(_stored_weights(edges, space), source, target, max_cost, space, bounds, most)
+    return _row(spark, found["path"], found["cost"]) if found else _row(spark, None, None)
+
 
+def _stored_weights(edges: DataFrame, space: Workspace) -> DataFrame:
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    return space.write(settling.weighted_edges(edges, weight), "weights")
 
-def bidirectional_dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST, per_side: bool = False, driver_edges: int | None = None) -> DataFrame:
-    """(found, cost, meeting): least cost over both sides' labels.
 
-    ``max_cost`` bounds the path; with ``per_side`` it bounds each side alone, so
-    paths up to twice as long are found.
+def bidirectional_dijkstra(edges: DataFrame, source, target, max_cost: float = MAX_COST, per_side: bool = False, driver_edges: int | None = None, most: int = MAX_SETTLED) -> DataFrame:
+    """(found, cost, meeting): the cheapest path by a search from each end, and a node of it where both meet.
+
+    The side with fewer settled nodes moves, and the search ends when the lowest open
+    labels of both sides cost no less than the best path together. ``max_cost`` bounds
+    the path; with ``per_side`` it bounds each side alone, so paths up to twice as
+    long are found. ``most`` bounds the settled nodes of both sides.
     """
     spark = edges.sparkSession
-    edges = Workspace(spark, "weighted").stored(edges, "edges")
+    space = Workspace(spark, "weighted")
+    edges = space.stored(edges, "edges")
+    check_weights(edges)
     none = spark.createDataFrame([(False, None, None)], "found boolean, cost double, meeting string")
     if not exists(edges, source) or not exists(edges, target):
         return none
-    each = max_cost if per_side else max_cost / 2 + _largest(edges)
-    ahead = costs(edges, _one(spark, edges, source), min(each, max_cost), driver_edges=driver_edges)
-    behind = costs(edges, _one(spark, edges, target), min(each, max_cost), forward=False, driver_edges=driver_edges)
-    met = ahead.join(behind.select("id", F.col("cost").alias("back")), "id").select((F.col("cost") + F.col("back")).alias("cost"), "id").orderBy("cost", "id").first()
-    if not met or (met["cost"] > max_cost and not per_side):
-        return none
-    return spark.createDataFrame([(True, float(met["cost"]), str(met["id"]))], "found boolean, cost double, meeting string")
-
-
-def _largest(edges: DataFrame) -> float:
-    return float(_weights(edges).agg(F.max("w")).first()[0] or 1.0)
+    graph = LocalGraph.of(edges, traverse.DRIVER_EDGES if driver_edges is None else driver_edges)
+    if graph:
+        met = graph.meeting(source, target, max_cost, not per_side, most)
+    else:
+        best, *_ = settling.meeting(_stored_weights(edges, space), source, target, max_cost, space, not per_side, most)
+        met = (best["cost"], best["id"]) if best else None
+    return spark.createDataFrame([(True, float(met[0]), str(met[1]))], none.schema) if met else none
 
 
 def landmarks(edges: DataFrame, count: int = LANDMARKS, start=None, driver_edges: int | None = None) -> DataFrame:
@@ -168,13 +173,15 @@ def heuristic(marks: DataFrame, target) -> DataFrame:
     return both.groupBy(F.col("node").alias("id")).agg(F.max(low).alias("h"))
 
 
-def a_star(edges: DataFrame, source, target, marks: DataFrame | None = None, max_cost: float = MAX_COST, driver_edges: int | None = None) -> DataFrame:
-    """(path, found, cost): as ``dijkstra``, labels whose cost plus landmark bound exceed ``max_cost`` being dropped.
+def a_star(edges: DataFrame, source, target, marks: DataFrame | None = None, max_cost: float = MAX_COST, driver_edges: int | None = None, most: int = MAX_SETTLED) -> DataFrame:
+    """(path, found, cost): as ``dijkstra``, nodes being settled in order of cost plus landmark bound.
 
-    Bounds count hops, so they are used only where every weight is 1 or more.
+    Labels whose cost plus bound exceed ``max_cost`` or the cost of a path already
+    found are dropped. Bounds count hops, so they are used only where every weight is
+    1 or more.
     """
     if marks is None or "weight" in edges.columns and not edges.where("weight < 1").limit(1).isEmpty():
-        return dijkstra(edges, source, target, max_cost, driver_edges)
+        return dijkstra(edges, source, target, max_cost, driver_edges, most)
     space = Workspace(edges.sparkSession, "astar")
     h = space.write(heuristic(marks, target), "bounds")
-    return _search(edges, source, target, max_cost, h, driver_edges)
+    return _search(edges, source, target, max_cost, h, driver_edges, most)

@@ -425,6 +425,12 @@ def shortest_path_distributed(spark, sf):
     return _shown(traverse.bidirectional_path(g, *ends(g), max_depth=DEPTH, driver_edges=0))
 
 
+@query("shortest_path_one_sided_distributed", _path(D.PARTS, DEPTH))
+def shortest_path_one_sided_distributed(spark, sf):
+    g = D.parts(spark, sf)
+    return _shown(traverse.shortest_path(g, *ends(g), max_depth=DEPTH, driver_edges=0))
+
+
 @query("shortest_path_unbounded", _path(D.PARTS, 60))
 def shortest_path_unbounded(spark, sf):
     g = D.parts(spark, sf)
@@ -511,6 +517,16 @@ def dijkstra_bidirectional(spark, sf):
     return weighted.bidirectional_dijkstra(*_far(spark, sf), COST).select("found", "cost")
 
 
+@query("dijkstra_weighted_distributed", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT true AS found, cost FROM best WHERE id = {FAR}")
+def dijkstra_weighted_distributed(spark, sf):
+    return weighted.dijkstra(*_far(spark, sf), COST, driver_edges=0).select("found", "cost")
+
+
+@query("dijkstra_bidirectional_distributed", f"WITH RECURSIVE {WEIGHTED}, {COSTS} SELECT true AS found, cost FROM best WHERE id = {FAR}")
+def dijkstra_bidirectional_distributed(spark, sf):
+    return weighted.bidirectional_dijkstra(*_far(spark, sf), COST, driver_edges=0).select("found", "cost")
+
+
 @query("astar_alt", _path(D.PARTS, DEPTH))
 def astar_alt(spark, sf):
     g = D.parts(spark, sf)
@@ -525,14 +541,22 @@ def astar_distributed(spark, sf):
     return _shown(weighted.a_star(g, s, t, weighted.landmarks(g, 2, driver_edges=0), DEPTH, driver_edges=0))
 
 
-@query("landmark_distances", f"""WITH RECURSIVE {D.PARTS}, {NODES}, d(id, k) AS (SELECT min(id), 0 FROM n UNION SELECT dst, k + 1 FROM d JOIN g ON src = id WHERE k < 60), m AS (SELECT id, min(k) AS k FROM d GROUP BY id),
+LANDMARK = f"""WITH RECURSIVE {D.PARTS}, {NODES}, d(id, k) AS (SELECT min(id), 0 FROM n UNION SELECT dst, k + 1 FROM d JOIN g ON src = id WHERE k < 60), m AS (SELECT id, min(k) AS k FROM d GROUP BY id),
 l AS (SELECT id FROM m WHERE k > 0 ORDER BY k DESC, id LIMIT 1), f(id, k) AS (SELECT id, 0 FROM l UNION SELECT dst, k + 1 FROM f JOIN g ON src = id WHERE k < 60), t(id, k) AS (SELECT id, 0 FROM l UNION SELECT src, k + 1 FROM t JOIN g ON dst = id WHERE k < 60),
 f1 AS (SELECT id, min(k) AS k FROM f GROUP BY id), t1 AS (SELECT id, min(k) AS k FROM t GROUP BY id)
-SELECT (SELECT id FROM l) AS landmark, coalesce(f1.id, t1.id) AS node, CAST(f1.k AS INTEGER) AS dist_from, CAST(t1.k AS INTEGER) AS dist_to FROM f1 FULL JOIN t1 ON f1.id = t1.id""")
+SELECT (SELECT id FROM l) AS landmark, coalesce(f1.id, t1.id) AS node, CAST(f1.k AS INTEGER) AS dist_from, CAST(t1.k AS INTEGER) AS dist_to FROM f1 FULL JOIN t1 ON f1.id = t1.id"""
+
+
+@query("landmark_distances", LANDMARK)
 def landmark_distances(spark, sf):
     return weighted.landmarks(D.parts(spark, sf), 1)
 
 
+@query("landmarks_distributed", LANDMARK)
+def landmarks_distributed(spark, sf):
+    return weighted.landmarks(D.parts(spark, sf), 1, driver_edges=0)
+
+
 # Components.
 
 LINKS = "u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), link(a, b) AS (SELECT a, b FROM u UNION SELECT l.a, u.b FROM link l JOIN u ON l.b = u.a), comp AS (SELECT a AS id, min(b) AS component FROM link GROUP BY a)"
