@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.model import nodes_of
+from weft.operators import ordered
 from weft.operators.components import components
 from weft.operators.traverse import distances
 from weft.session import Workspace, ship
@@ -386,3 +387,10 @@ def _layers(e: DataFrame, space: Workspace, kind: str, max_rounds: int, finish:
         if layer.where("rose").isEmpty():
             return layer.select("id", "layer")
     raise ValueError("the graph has a cycle")
+
+
+def topological_numbers(scc: DataFrame, dag: DataFrame, finish: int = FINISH, rows: int = ordered.ROWS) -> DataFrame:
+    """(scc, number) of each strong component: dense numbers from 0 that rise along every edge of ``dag`` (from_scc, to_scc); by layer, then smallest id."""
+    pairs = dag.select(F.col("from_scc").alias("src"), F.col("to_scc").alias("dst"))
+    layers = topological_layers(pairs, scc.select(F.col("scc").alias("id")).distinct(), finish=finish)
+    return ordered.numbered(layers, [F.col("layer"), F.col("id")], rows=rows).select(F.col("id").alias("scc"), "number")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.like import contains_like
 from weft.model import duplicate_keys, nodes_of, to_edges, wide_to_edges
-from weft.operators import condense, history, layout, lookup, procs, traverse, weighted
+from weft.operators import condense, history, layout, lookup, procs, reach, traverse, weighted
 from weft.operators.components import components
 from weft.plans import derived as D
 from weft.operators.stored import StoredWide
@@ -620,6 +619,29 @@ def scc_condensed_edges(spark, sf):
     return condense.condensed_edges(g, condense.strong_components(g))
 
 
+TOPO = f"""sc2 AS (SELECT DISTINCT scc FROM sc), ce AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM g JOIN sc a ON a.id = src JOIN sc b ON b.id = dst WHERE a.scc <> b.scc),
+y(id, k) AS (SELECT scc, 0 FROM sc2 UNION SELECT dst, k + 1 FROM y JOIN ce ON src = id), lay AS (SELECT id, max(k) AS k FROM y GROUP BY id)"""
+
+
+@query("scc_numbers", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH}, {TOPO} SELECT id AS scc, row_number() OVER (ORDER BY k, id) - 1 AS number FROM lay")
+def scc_numbers(spark, sf):
+    """Numbers of strong components that rise along every edge, by ranges of layers."""
+    g = D.orders(spark, sf)
+    scc = condense.strong_components(g)
+    return condense.topological_numbers(scc, condense.condensed_edges(g, scc), rows=2000)
+
+
+@query("reach_pairs", f"""WITH RECURSIVE {D.ORDER_DAG}, {NODES}, p AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority),
+r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, g.dst FROM r JOIN g ON r.b = g.src)
+SELECT DISTINCT p.a, p.b, r.a IS NOT NULL AS reaches FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b LEFT JOIN r ON r.a = p.a AND r.b = p.b""")
+def reach_pairs(spark, sf):
+    """Whether an order leads to another of the same customer and priority, for all such pairs at once."""
+    e = D.order_dag(spark, sf)
+    o = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    pairs = o.withColumnRenamed("o_orderkey", "a").join(o.withColumnRenamed("o_orderkey", "b"), ["o_custkey", "o_orderpriority"]).select("a", "b")
+    return reach.answer(pairs, e, reach.labels(e))
+
+
 @query("scc_reachability", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT CASE WHEN count(*) > 0 THEN 'Reachable' ELSE 'Unreachable' END AS verdict FROM reach WHERE a = (SELECT min(src) FROM g) AND b = (SELECT max(dst) FROM g)")
 def scc_reachability(spark, sf):
     g = D.orders(spark, sf)
@@ -767,10 +789,34 @@ def text_graph_parallel(spark, sf):
     return text.parse(_texts(D.pairs(spark, sf)), dedupe=False)[1].groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("history_loaded", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS step, n_name AS id, CAST(NULL AS VARCHAR) AS via FROM nation")
+_VISITS = "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS step, event_type AS id, CASE WHEN event_id % 2 = 1 THEN 'predecesseur' END AS via FROM events"
+
+
+@query("history_loaded", _VISITS)
 def history_loaded(spark, sf):
-    names = D.table(spark, sf, "nation").orderBy("n_nationkey").select("n_name").collect()
-    return history.load(spark, json.dumps([r[0] for r in names]))
+    """The events of each user as a JSON text, loaded again: plain ids where nothing else is known."""
+    e = D.event_visits(spark, sf)
+    entry = F.when(F.col("via").isNull(), F.to_json(F.struct("id"))).otherwise(F.to_json(F.struct("id", "via")))
+    texts = e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", entry.alias("x")))), lambda s: s["x"]), ","), F.lit("]")).alias("text"))
+    return history.load_all(texts, ["user_id"])
+
+
+@query("history_of_all", "WITH v AS (SELECT event_id AS step, event_type AS id, event_id % 2 = 1 AS back, lag(event_type) OVER (ORDER BY event_id) AS prev FROM events) SELECT DISTINCT CASE WHEN back THEN id ELSE prev END AS src, CASE WHEN back THEN prev ELSE id END AS dst FROM v WHERE prev <> id")
+def history_of_all(spark, sf):
+    """One history of all events: the visit before comes over ranges of steps, not through one task."""
+    e = D.table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("id"), F.when(F.col("event_id") % 2 == 1, "predecesseur").alias("via"))
+    return history.graph(e)
+
+
+@query("text_graph_split", f"WITH {D.PARTS} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM g")
+def text_graph_split(spark, sf):
+    """Section files written and read by many tasks each."""
+    part = F.pmod(F.hash("src"), F.lit(4))
+    lines = D.pairs(spark, sf).select(part.alias("p"), F.lit(1).alias("k"), F.concat_ws(" ", "src", "dst").alias("line"))
+    heads = spark.range(4).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("k"), F.lit("ARETES").alias("line"))
+    path = own_folder(spark, "texts")
+    lines.unionByName(heads).repartition(4, "p").sortWithinPartitions("p", "k").select("p", "line").write.partitionBy("p").text(path)
+    return text.read_split(spark, path)[1].select("src", "dst").distinct()
 
 
 @query("components_sink", f"WITH RECURSIVE {D.ORDERS}, {LINKS} SELECT id AS NodeId, component AS ComponentId FROM comp")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +34,37 @@ def directed_pairs(raw: DataFrame) -> DataFrame:
     return to_edges(raw).select("src", "dst")
 
 
-def can_connect(load: Callable[[], DataFrame]) -> bool:
-    """Whether a source can be read and has a row; any failure counts as no."""
-    try:
-        return not load().isEmpty()
-    except Exception:
+#: Fixed value: seconds that a source has to answer.
+PROBE_SECONDS = 3.0
+
+
+def can_connect(load: Callable[[], DataFrame], seconds: float = PROBE_SECONDS) -> bool:
+    """Whether a source can be read and has a row within ``seconds``; any failure counts as no.
+
+    The probe's jobs bear a tag of their own and are cancelled when time is up.
+    """
+    context, tag = SparkSession.active().sparkContext, f"weft-probe-{uuid.uuid4().hex}"
+    found: list[bool] = []
+    late = threading.Event()
+
+    def probe() -> None:
+        context.addJobTag(tag)
+        try:
+            table = load()
+            found.append(not late.is_set() and not table.isEmpty())
+        except Exception:
+            found.append(False)
+        finally:
+            context.removeJobTag(tag)
+
+    thread = InheritableThread(target=probe, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        late.set()
+        context.cancelJobsWithTag(tag)
         return False
+    return bool(found) and found[0]
 
 
 #: Labels of generated edges.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.session import Workspace
+
 #: Section names, in lower case.
 NODE_SECTIONS = ("noeuds", "nœuds", "nodes")
 EDGE_SECTIONS = ("aretes", "arêtes", "edges")
@@ -18,17 +20,44 @@ class GraphTextError(ValueError):
     """The text is no graph; the message says where."""
 
 
-def _lines(texts: DataFrame, breaks: str) -> DataFrame:
-    """(file, line_no, section, line) of all lines that are neither blank, nor comments, nor headers."""
-    lines = texts.select("file", F.posexplode(F.split("text", breaks)).alias("line_no", "line")).withColumn("line", F.trim(F.regexp_replace("line", "^\\s+|\\s+$", "")))
+def _told(lines: DataFrame) -> DataFrame:
+    """``lines`` trimmed, without blank ones and comments, and the section that a header opens."""
+    trimmed = lines.withColumn("line", F.trim(F.regexp_replace("line", "^\\s+|\\s+$", "")))
     low = F.lower("line")
     head = F.when(low.isin(*NODE_SECTIONS), "nodes").when(low.isin(*EDGE_SECTIONS), "edges")
-    kept = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("head", head)
+    return trimmed.where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("head", head)
+
+
+def _lines(texts: DataFrame, breaks: str) -> DataFrame:
+    """(file, line_no, section, line) of all lines that are neither blank, nor comments, nor headers."""
+    kept = _told(texts.select("file", F.posexplode(F.split("text", breaks)).alias("line_no", "line")))
     # The section of a line is the last header before it in its file.
     section = F.last("head", ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     return kept.withColumn("section", section).where(F.col("head").isNull()).drop("head")
 
 
+def _split_lines(spark: SparkSession, path: str, breaks: str, space: Workspace) -> DataFrame:
+    """As ``_lines``, of the text files at ``path``, each read by as many tasks as it has splits.
+
+    A split's lines are numbered from its beginning. One row for each split, its
+    number of lines and its last header, then tells where the next one starts: after
+    how many lines, and in which section.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "\r$", "").alias("value"))
+    # Lines may hold further breaks; a row's lines keep their order.
+    cut = rows.select("file", "start", "row", F.posexplode(F.split("value", breaks)).alias("sub", "line"))
+    own = Window.partitionBy("file", "start").orderBy("row", "sub")
+    cut = space.write(cut.withColumn("local", F.row_number().over(own) - 1).select("file", "start", "local", "line"), "lines")
+    sizes = cut.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    heads = _told(cut).where("head is not null").groupBy("file", "start").agg(F.max_by("head", "local").alias("last"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = sizes.join(heads, ["file", "start"], "left").select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.last("last", ignorenulls=True).over(before).alias("open"))
+    there = F.last("head", ignorenulls=True).over(Window.partitionBy("file", "start").orderBy("local").rowsBetween(Window.unboundedPreceding, 0))
+    told = _told(cut).withColumn("section", there).where(F.col("head").isNull())
+    return told.join(splits, ["file", "start"]).select("file", (F.col("base") + F.col("local")).cast("int").alias("line_no"), F.coalesce("section", "open").alias("section"), "line")
+
+
 def parse(texts: DataFrame, dedupe: bool = True, breaks: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (file, id, pos) and edges (file, src, dst, pos) of texts (file, text); ``pos`` is the first line that names them.
 
@@ -36,9 +65,11 @@ def parse(texts: DataFrame, dedupe: bool = True, breaks: str | None = None) -> t
     without nodes are errors. Edges name nodes. ``dedupe=False`` keeps parallel
     edges and breaks lines at line feeds only.
     """
-    rows = _lines(texts, breaks or (ALL_BREAKS if dedupe else PLAIN_BREAKS))
-    words = F.split("line", "\\s+")
-    rows = rows.withColumn("words", words)
+    return _graphs(_lines(texts, breaks or (ALL_BREAKS if dedupe else PLAIN_BREAKS)), texts.select("file"), dedupe)
+
+
+def _graphs(rows: DataFrame, files: DataFrame, dedupe: bool) -> tuple[DataFrame, DataFrame]:
+    rows = rows.withColumn("words", F.split("line", "\\s+"))
     wrong = rows.where(F.col("section").isNull() | ((F.col("section") == "edges") & (F.size("words") < 2))).orderBy("file", "line_no").select("section", "line_no").first()
     if wrong:
         what = "content outside a section" if wrong["section"] is None else "an edge needs two nodes"
@@ -48,7 +79,7 @@ def parse(texts: DataFrame, dedupe: bool = True, breaks: str | None = None) -> t
     named = rows.where(F.col("section") == "nodes").select("file", F.col("line").alias("id"), (2 * F.col("line_no")).alias("pos"))
     ends = found.select("file", F.posexplode(F.array("src", "dst")).alias("k", "id"), "pos").select("file", "id", (2 * F.col("pos") + F.col("k")).alias("pos"))
     nodes = named.union(ends).groupBy("file", "id").agg(F.min("pos").alias("pos"))
-    empty = texts.select("file").join(nodes, "file", "left_anti").limit(1).collect()
+    empty = files.join(nodes, "file", "left_anti").limit(1).collect()
     if empty:
         raise GraphTextError("the graph has no nodes")
     return nodes, edges
@@ -62,3 +93,11 @@ def parse_text(spark: SparkSession, text: str, dedupe: bool = True) -> tuple[Dat
 def read(spark: SparkSession, path: str, dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
     """Graphs of all UTF-8 text files at ``path``."""
     return parse(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text")), dedupe)
+
+
+def read_split(spark: SparkSession, path: str, dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
+    """As ``read``, for files of any size: each is read by many tasks, and nothing depends on where it is split."""
+    space = Workspace(spark, "text")
+    rows = space.write(_split_lines(spark, path, ALL_BREAKS if dedupe else PLAIN_BREAKS, space), "told")
+    files = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
+    return _graphs(rows, files, dedupe)
