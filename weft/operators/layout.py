@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.operators import ordered
 from weft.operators.condense import topological_layers, weak_components
 from weft.operators.traverse import distances, numbered_layers
+from weft.session import Workspace
 
 #: Drawings are of graphs that a page can hold.
 MAX_DRAWN = 20_000
@@ -45,8 +47,11 @@ def depth_first_back_edges(nodes: list, pairs: list[tuple]) -> list[tuple]:
 def back_edges(nodes: DataFrame, edges: DataFrame, graph: str | None = None) -> DataFrame:
     """(src, dst), and ``graph``: back edges of each graph, nodes (id, pos) and edges (src, dst, pos) taken in order of ``pos``.
 
-    Each graph is searched in one task, as its order is sequential; graphs must fit a page.
+    Each graph is searched in one task, as its order is sequential. One graph alone may
+    have ``MAX_DRAWN`` rows at most, more are an error; of many graphs each must fit a task.
     """
+    if not graph and nodes.select("id").limit(MAX_DRAWN + 1).count() + edges.select("src").limit(MAX_DRAWN + 1).count() > MAX_DRAWN:
+        raise ValueError(f"a graph of more than {MAX_DRAWN} nodes and edges is not drawn; name the column that tells graphs apart")
     kind = edges.schema["src"].dataType.simpleString()
     key = graph or "_g"
     n, e = (nodes, edges) if graph else (nodes.withColumn("_g", F.lit(0)), edges.withColumn("_g", F.lit(0)))
@@ -91,12 +96,13 @@ CIRCLE_BASE, CIRCLE_STEP, CIRCLE_MOST, GRID = 24.0, 12.0, 92.0, 240.0
 def circular_positions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component, x, y): each weak component on a circle of its own, circles on a square grid, first node on top."""
     comps = weak_components(edges, nodes)
-    w = Window.partitionBy("component")
-    ranked = comps.withColumn("k", F.row_number().over(w.orderBy("id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    # Components are few enough to draw, so they are numbered in one window.
-    cells = comps.select("component").distinct().withColumn("c", F.row_number().over(Window.orderBy("component")) - 1)
-    side = cells.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count(F.lit(1))))).alias("side"))
-    placed = ranked.join(F.broadcast(cells.crossJoin(side)), "component")
+    # Places count over ranges of (component, id), so neither a large component nor their number meets in one task.
+    space = Workspace(edges.sparkSession, "circles")
+    ranked = space.write(ordered.numbered(comps, [F.col("component"), F.col("id")]), "ranked")
+    first = space.write(ranked.groupBy("component").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")), "components")
+    cells = ordered.numbered(first, [F.col("component")], "c")
+    side = first.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count(F.lit(1))))).alias("side"))
+    placed = ranked.join(cells, "component").crossJoin(F.broadcast(side)).withColumn("k", F.col("number") - F.col("first"))
     radius = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.least(F.lit(CIRCLE_MOST), CIRCLE_BASE + CIRCLE_STEP * F.col("n")))
     angle = 2 * F.pi() * F.col("k") / F.col("n") - F.pi() / 2
     return placed.select(

@@ -704,9 +704,15 @@ def complete_graph(spark, sf):
     return catalog.complete_pairs(D.table(spark, sf, "nation").select(F.col("n_name").alias("n")))
 
 
-@query("sample_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{s[0]}', '{a}', '{b}', CAST({'NULL' if w is None else w} AS INTEGER))" for s in catalog.SAMPLES for a, b, w in s[6]) + ") v(slug, src, dst, weight)")
+_SAMPLES = "s(k, slug, src, dst, weight) AS (VALUES " + ", ".join(f"({k}, '{s[0]}', '{a}', '{b}', CAST({'NULL' if w is None else w} AS INTEGER))" for k, s in enumerate(catalog.SAMPLES) for a, b, w in s[6]) + ")"
+
+
+@query("sample_catalog", f"WITH {_SAMPLES} SELECT p_partkey AS part, slug, src, dst, weight FROM part JOIN s ON p_partkey % {len(catalog.SAMPLES)} = k")
 def sample_catalog(spark, sf):
-    return catalog.sample_edges(spark)
+    """The edges of the sample graph of each part: one of the catalogue, by its key."""
+    place = F.array_position(F.lit([s[0] for s in catalog.SAMPLES]), F.col("slug")) - 1
+    part = D.table(spark, sf, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % len(catalog.SAMPLES)).alias("k"))
+    return part.join(F.broadcast(catalog.sample_edges(spark).withColumn("k", place)), "k").drop("k")
 
 
 def _tabular(spark, sf):
@@ -749,9 +755,10 @@ def history_recorded(spark, sf):
 @query("generated_wide", """SELECT 'LNA_' || (id % 5) AS LNA_UID, 'LIN_' || id AS LIN_UID, CASE id % 3 WHEN 0 THEN 'FIADODSWRK' WHEN 1 THEN 'fld_' || (id % 500) ELSE 'COL_' || (id % 500) END AS DTA_1, 'ZJ' AS DTA_2,
 upper(substring(md5(CAST(id AS VARCHAR)), 1, 8)) || '_SCHEMA' AS DTA_3, 'ENV' || (id % 4) AS DTA_4, CASE id % 2 WHEN 0 THEN 'O' ELSE 'I' END AS EDG_DIR, 'EDG_' || (id % 500) AS EDG_1,
 CASE WHEN id % 2 <> 0 THEN 'TAB_' || (id % 97) END AS EDG_2, CASE WHEN id % 3 <> 0 THEN 'SCH_' || (id % 97) END AS EDG_3, CASE WHEN id % 4 <> 0 THEN 'ENV_' || (id % 97) END AS EDG_4,
-CASE WHEN id % 5 <> 0 THEN '{"n":' || id || '}' END AS TXN_DTA, '<t>' || id || '</t>' AS PRX_TXN_DTA FROM range(200001, 2000001) r(id)""")
+CASE WHEN id % 5 <> 0 THEN '{"n":' || id || '}' END AS TXN_DTA, '<t>' || id || '</t>' AS PRX_TXN_DTA FROM (SELECT 200000 + row_number() OVER () AS id FROM lineitem)""")
 def generated_wide(spark, sf):
-    return sources.generate_wide(spark)
+    """As many generated rows as there are order lines."""
+    return sources.generate_wide(spark, 200_001, 200_000 + D.table(spark, sf, "lineitem").count())
 
 
 _FLAGS = ", ".join(f"('LNA_{x}', {zlib.crc32(f'LNA_{x}'.encode())})" for x in "ANR")
@@ -764,10 +771,10 @@ def generated_headers(spark, sf):
     return sources.generate_headers(D.wide(spark, sf))
 
 
-@query("generated_edges", "SELECT CAST(5000 AS BIGINT) AS nodes, CAST(2 AS BIGINT) AS least, CAST(6 AS BIGINT) AS most, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS repeated")
+@query("generated_edges", "SELECT (SELECT count(*) FROM part) AS nodes, CAST(2 AS BIGINT) AS least, CAST(6 AS BIGINT) AS most, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS repeated")
 def generated_edges(spark, sf):
-    """The shape of the generated graph: degrees of 2 to 6, no loops, no repeated pairs."""
-    g = to_edges(sources.generate(spark, 5000))
+    """The shape of a generated graph of as many nodes as there are parts: degrees of 2 to 6, no loops, no repeated pairs."""
+    g = to_edges(sources.generate(spark, D.table(spark, sf, "part").count()))
     by = g.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("d"), F.sum((F.col("src") == F.col("dst")).cast("bigint")).alias("loops"))
     return by.agg(F.count(F.lit(1)).alias("nodes"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("loops").alias("loops"), F.sum(F.col("n") - F.col("d")).alias("repeated"))
 
@@ -845,6 +852,11 @@ def stats_sink(spark, sf):
     return sinks.read_stats(spark, path).drop("RefreshedAt")
 
 
-@query("islands_scc", "SELECT * FROM (VALUES ('X1', 'X1'), ('X2', 'X1'), ('X3', 'X1'), ('X4', 'X4'), ('X5', 'X5'), ('Y1', 'Y1'), ('Y2', 'Y2'), ('Y3', 'Y3')) v(id, scc)")
+@query("islands_scc", "SELECT s_suppkey || '/' || id AS id, s_suppkey || '/' || scc AS scc FROM supplier, (VALUES ('X1', 'X1'), ('X2', 'X1'), ('X3', 'X1'), ('X4', 'X4'), ('X5', 'X5'), ('Y1', 'Y1'), ('Y2', 'Y2'), ('Y3', 'Y3')) v(id, scc)")
 def islands_scc(spark, sf):
-    return condense.strong_components(to_edges(sources.islands(spark)))
+    """Strong components of the islands, one copy of them for each supplier."""
+    e = to_edges(sources.islands(spark))
+    copy = lambda c: F.concat_ws("/", F.col("s_suppkey").cast("string"), c)
+    return condense.strong_components(D.table(spark, sf, "supplier").crossJoin(F.broadcast(e)).select(copy("src").alias("src"), copy("dst").alias("dst")))
+
+

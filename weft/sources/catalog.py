@@ -14,23 +14,48 @@ def complete_pairs(names: DataFrame, column: str = "n") -> DataFrame:
     return a.join(b, F.col("from") < F.col("to"))
 
 
-def _edges(text: str) -> list[tuple[str, str, int | None]]:
-    """AB or AB4 for an edge from A to B, of weight 4."""
-    return [(e[0], e[1], int(e[2:]) if e[2:] else None) for e in text.split()]
-
-
-#: Slug, title, directed, weighted, layout, nodes and edges of the ten shapes, in order.
+#: Slug, title, directed, weighted, layout, nodes and edges (from, to, weight) of the ten shapes, in order.
 SAMPLES = (
-    ("connexe", "Graphe connexe", False, False, "circular", list("ABCDEF"), _edges("AB BC CD DE EF FA BE")),
-    ("non-connexe", "Graphe non connexe", False, False, "circular", list("ABCDEFG"), _edges("AB BC CA DE FG")),
-    ("complet", "Graphe complet (K5)", False, False, "circular", list("ABCDE"), _edges("AB AC AD AE BC BD BE CD CE DE")),
-    ("compact", "Graphe compact (dense)", False, False, "circular", list("ABCDEF"), _edges("AB AC AD AE BC BD BF CD CE CF DE EF")),
-    ("creux", "Graphe creux (sparse)", False, False, "circular", list("ABCDEFG"), _edges("AB BC CD DE EF FG")),
-    ("non-pondere", "Graphe non pondéré", False, False, "circular", list("ABCDE"), _edges("AB AC BD CD DE")),
-    ("pondere", "Graphe pondéré", False, True, "circular", list("ABCDE"), _edges("AB4 AC2 BD5 CD8 CE3 DE1")),
-    ("oriente-dag", "Graphe orienté sans cycle (DAG)", True, False, "layered", list("ABCDE"), _edges("AB AC BD CD DE")),
-    ("cyclique", "Graphe orienté cyclique", True, False, "circular", list("ABCD"), _edges("AB BC CA CD")),
-    ("arbre", "Arbre", False, False, "layered", list("ABCDEFG"), _edges("AB AC BD BE CF CG")),
+    (
+        "connexe", "Graphe connexe", False, False, "circular", ["A", "B", "C", "D", "E", "F"],
+        [("A", "B", None), ("B", "C", None), ("C", "D", None), ("D", "E", None), ("E", "F", None), ("F", "A", None), ("B", "E", None)],
+    ),
+    (
+        "non-connexe", "Graphe non connexe", False, False, "circular", ["A", "B", "C", "D", "E", "F", "G"],
+        [("A", "B", None), ("B", "C", None), ("C", "A", None), ("D", "E", None), ("F", "G", None)],
+    ),
+    (
+        "complet", "Graphe complet (K5)", False, False, "circular", ["A", "B", "C", "D", "E"],
+        [("A", "B", None), ("A", "C", None), ("A", "D", None), ("A", "E", None), ("B", "C", None), ("B", "D", None), ("B", "E", None), ("C", "D", None), ("C", "E", None), ("D", "E", None)],
+    ),
+    (
+        "compact", "Graphe compact (dense)", False, False, "circular", ["A", "B", "C", "D", "E", "F"],
+        [("A", "B", None), ("A", "C", None), ("A", "D", None), ("A", "E", None), ("B", "C", None), ("B", "D", None), ("B", "F", None), ("C", "D", None), ("C", "E", None), ("C", "F", None), ("D", "E", None), ("E", "F", None)],
+    ),
+    (
+        "creux", "Graphe creux (sparse)", False, False, "circular", ["A", "B", "C", "D", "E", "F", "G"],
+        [("A", "B", None), ("B", "C", None), ("C", "D", None), ("D", "E", None), ("E", "F", None), ("F", "G", None)],
+    ),
+    (
+        "non-pondere", "Graphe non pondéré", False, False, "circular", ["A", "B", "C", "D", "E"],
+        [("A", "B", None), ("A", "C", None), ("B", "D", None), ("C", "D", None), ("D", "E", None)],
+    ),
+    (
+        "pondere", "Graphe pondéré", False, True, "circular", ["A", "B", "C", "D", "E"],
+        [("A", "B", 4), ("A", "C", 2), ("B", "D", 5), ("C", "D", 8), ("C", "E", 3), ("D", "E", 1)],
+    ),
+    (
+        "oriente-dag", "Graphe orienté sans cycle (DAG)", True, False, "layered", ["A", "B", "C", "D", "E"],
+        [("A", "B", None), ("A", "C", None), ("B", "D", None), ("C", "D", None), ("D", "E", None)],
+    ),
+    (
+        "cyclique", "Graphe orienté cyclique", True, False, "circular", ["A", "B", "C", "D"],
+        [("A", "B", None), ("B", "C", None), ("C", "A", None), ("C", "D", None)],
+    ),
+    (
+        "arbre", "Arbre", False, False, "layered", ["A", "B", "C", "D", "E", "F", "G"],
+        [("A", "B", None), ("A", "C", None), ("B", "D", None), ("B", "E", None), ("C", "F", None), ("C", "G", None)],
+    ),
 )
 
 
