@@ -154,3 +154,14 @@ def test_command_line(spark, tmp_path):
     for name in ("a.svg", "a.html"):
         assert cli.draw(spark, str(tmp_path / "g.txt"), str(tmp_path / name))["edges"] == 3
     assert "<svg" in (tmp_path / "a.svg").read_text() and "3 nodes, 3 edges" in (tmp_path / "a.html").read_text()
+
+
+def test_jdbc_in_parallel(spark):
+    """An edge table of an embedded database, read by ranges of its key."""
+    url, options = "jdbc:derby:memory:weft;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(i, f"a{i}", "predecesseur" if i % 2 else "successeur", f"b{i % 7}", None if i % 3 else "T") for i in range(60)]
+    table = spark.createDataFrame(rows, "n int, Nodes string, Direction string, NodesLie string, Transformation string")
+    table.write.format("jdbc").options(url=url, dbtable="EDGES", **options).mode("overwrite").save()
+    found = edges.read_jdbc(spark, url, "EDGES", partitionColumn="n", lowerBound="0", upperBound="60", numPartitions="4", **options)
+    assert found.rdd.getNumPartitions() == 4 and sorted(map(str, found.collect())) == sorted(map(str, table.drop("n").collect()))
+    assert edges.can_connect(lambda: edges.read_jdbc(spark, url, "EDGES", **options)) and not edges.can_connect(lambda: edges.read_jdbc(spark, url, "NONE", **options))

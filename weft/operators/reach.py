@@ -6,7 +6,9 @@ layer.  If ``a`` reaches ``b``, whatever ``b`` reaches ``a`` does too, so the fi
 that ``a`` reaches comes no later than that of ``b``, and the first one that reaches
 ``b`` no later than that of ``a``; and ``a`` lies on a lower layer.  So most pairs that
 do not reach each other fail a comparison.  If for some order the first node that ``a``
-reaches is the first one that reaches ``b``, the way leads through it.  Pairs that no
+reaches is the first one that reaches ``b``, the way leads through it.  Nodes also lie on
+paths: an edge from a node to its smallest successor belongs to one if the node is that
+one's smallest predecessor. On one path, places decide.  Pairs that no
 comparison settles are searched, and every step of the search is settled or dropped by
 the same comparisons.
 """
@@ -19,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.model import nodes_of
-from weft.operators.condense import FINISH, ROUNDS, in_one_task, topological_layers
+from weft.operators.condense import FINISH, ROUNDS, condensed_edges, in_one_task, topological_layers
 from weft.session import Workspace
 
-#: Random orders.
+#: Random orders; labels of a node.
 MARKS = 4
+LABELS = ("layer", "down", "up", "path", "place")
 
 
 def _ranks(node: str) -> list[Column]:
@@ -71,14 +74,31 @@ def _carried(rows: list[tuple]) -> Iterable[tuple]:
     return [(v, [{"h": h, "id": i} for h, i in marks[v]]) for v in todo]
 
 
+def paths(edges: DataFrame, nodes: DataFrame, space: Workspace) -> DataFrame:
+    """(id, path, place): disjoint paths that cover all nodes, named by their first node; places by doubling, so rounds grow with the logarithm of the longest."""
+    ahead = edges.groupBy("src").agg(F.min("dst").alias("dst"))
+    back = edges.groupBy("dst").agg(F.min("src").alias("src"))
+    links = ahead.join(back, ["src", "dst"]).select(F.col("dst").alias("id"), F.col("src").alias("up"))
+    at = space.write(nodes.join(links, "id", "left").select("id", "up", F.coalesce("up", "id").alias("path"), F.col("up").isNotNull().cast("int").alias("place")), "paths0")
+    for k in range(ROUNDS):
+        if at.where("up is not null").isEmpty():
+            return at.select("id", "path", "place")
+        far = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("place").alias("more"))
+        new = at.join(far, "up", "left").select("id", F.col("next").alias("up"), F.coalesce("head", "path").alias("path"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
+        old, at = at, space.write(new, f"paths{k + 1}")
+        space.drop(old)
+    raise ValueError("the graph has a cycle")
+
+
 def labels(edges: DataFrame, nodes: DataFrame | None = None, finish: int = FINISH) -> DataFrame:
-    """(id, layer, down, up) of a graph (src, dst) without cycles: the labels that ``answer`` compares."""
+    """(id, layer, down, up, path, place) of a graph (src, dst) without cycles: the labels that ``answer`` compares."""
     space = Workspace(edges.sparkSession, "reach")
     e = space.write(edges.select("src", "dst").distinct(), "edges")
     ids = space.write(nodes_of(e) if nodes is None else nodes.select("id").union(nodes_of(e)).distinct(), "nodes")
     up = _firsts(e, ids, space, finish).withColumnRenamed("marks", "up")
     down = _firsts(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids, space, finish).withColumnRenamed("marks", "down")
-    return space.write(topological_layers(e, ids, finish=finish).join(down, "id").join(up, "id").select("id", "layer", "down", "up"), "labels")
+    rows = topological_layers(e, ids, finish=finish).join(down, "id").join(up, "id").join(paths(e, ids, space), "id")
+    return space.write(rows.select("id", *LABELS), "labels")
 
 
 def _verdict(a: str, b: str) -> Column:
@@ -87,11 +107,12 @@ def _verdict(a: str, b: str) -> Column:
     at = lambda side, k: F.element_at(F.col(side), k + 1)
     through = some(lambda k: at(f"{a}_down", k) == at(f"{b}_up", k))
     barred = some(lambda k: (at(f"{a}_down", k) > at(f"{b}_down", k)) | (at(f"{b}_up", k) > at(f"{a}_up", k)))
-    return F.when(F.col(a).eqNullSafe(F.col(b)) | through, True).when(barred | (F.col(f"{a}_layer") >= F.col(f"{b}_layer")), False)
+    same = F.col(f"{a}_path") == F.col(f"{b}_path")
+    return F.when(same, F.col(f"{a}_place") <= F.col(f"{b}_place")).when(through, True).when(barred | (F.col(f"{a}_layer") >= F.col(f"{b}_layer")), False)
 
 
 def _with_labels(df: DataFrame, known: DataFrame, node: str) -> DataFrame:
-    return df.join(known.select(F.col("id").alias(node), *(F.col(c).alias(f"{node}_{c}") for c in ("layer", "down", "up"))), node)
+    return df.join(known.select(F.col("id").alias(node), *(F.col(c).alias(f"{node}_{c}") for c in LABELS)), node)
 
 
 def answer(pairs: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -103,7 +124,7 @@ def answer(pairs: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
     space = Workspace(pairs.sparkSession, "pairs")
     told = space.write(_with_labels(_with_labels(pairs.select("a", "b").distinct(), known, "a"), known, "b").withColumn("reaches", _verdict("a", "b")), "told")
     found = [told.where("reaches").select("a", "b")]
-    ends = ("b_layer", "b_down", "b_up")
+    ends = [f"b_{c}" for c in LABELS]
     left = told.where("reaches is null").select("a", "b", *ends, F.col("a").alias("at"))
     for k in range(ROUNDS):
         step = left.join(edges.select(F.col("src").alias("at"), F.col("dst").alias("x")), "at").select("a", "b", *ends, "x").distinct()
@@ -124,3 +145,24 @@ def settled_share(pairs: DataFrame, known: DataFrame) -> float:
     told = _with_labels(_with_labels(pairs.select("a", "b").distinct(), known, "a"), known, "b").withColumn("reaches", _verdict("a", "b"))
     r = told.agg(F.count("reaches").alias("k"), F.count(F.lit(1)).alias("n")).first()
     return r["k"] / r["n"] if r["n"] else 1.0
+
+
+def verdicts(pairs: DataFrame, edges: DataFrame, weak: DataFrame, scc: DataFrame) -> DataFrame:
+    """(a, b, verdict) of distinct ``pairs``: Unavailable, DifferentComponents, Reachable or Unreachable, exactly.
+
+    ``weak`` (id, component) and ``scc`` (id, scc) are those of ``edges``. Weak
+    components spare most pairs, strong ones some; the rest compares labels of the
+    condensed graph, a strong component standing for its nodes.
+    """
+    space = Workspace(pairs.sparkSession, "verdicts")
+    known = weak.join(scc, "id").select("id", "component", "scc")
+    at = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_w"), F.col("scc").alias(f"{c}_s"))
+    both = space.write(pairs.select("a", "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left"), "both")
+    none, apart = F.col("a_w").isNull() | F.col("b_w").isNull(), F.col("a_w") != F.col("b_w")
+    early = F.when(none, "Unavailable").when(apart, "DifferentComponents").when(F.col("a_s") == F.col("b_s"), "Reachable")
+    both = both.withColumn("early", early)
+    dag = space.write(condensed_edges(edges, scc).select(F.col("from_scc").alias("src"), F.col("to_scc").alias("dst")), "dag")
+    asked = both.where("early is null").select(F.col("a_s").alias("a"), F.col("b_s").alias("b"))
+    told = answer(asked, dag, labels(dag)).select(F.col("a").alias("a_s"), F.col("b").alias("b_s"), "reaches")
+    late = F.when(F.col("reaches"), "Reachable").otherwise("Unreachable")
+    return both.join(told, ["a_s", "b_s"], "left").select("a", "b", F.coalesce("early", late).alias("verdict"))

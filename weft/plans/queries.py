@@ -642,6 +642,19 @@ def reach_pairs(spark, sf):
     return reach.answer(pairs, e, reach.labels(e))
 
 
+@query("path_verdicts", f"""WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH}, {LINKS}, p AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority
+UNION SELECT o_orderkey, o_orderkey + 1 FROM orders)
+SELECT a, b, CASE WHEN x.component IS NULL OR y.component IS NULL THEN 'Unavailable' WHEN x.component <> y.component THEN 'DifferentComponents' WHEN a = b OR EXISTS (SELECT 1 FROM reach r WHERE r.a = p.a AND r.b = p.b) THEN 'Reachable' ELSE 'Unreachable' END AS verdict
+FROM p LEFT JOIN comp x ON x.id = p.a LEFT JOIN comp y ON y.id = p.b""")
+def path_verdicts(spark, sf):
+    """What is known of many pairs before any search: components first, then labels of the condensed graph."""
+    g = Workspace(spark, "orders").write(D.orders(spark, sf), "edges")
+    o = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    pairs = o.withColumnRenamed("o_orderkey", "a").join(o.withColumnRenamed("o_orderkey", "b"), ["o_custkey", "o_orderpriority"]).select("a", "b")
+    pairs = pairs.unionByName(o.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b")))
+    return reach.verdicts(pairs, g, condense.weak_components(g), condense.strong_components(g))
+
+
 @query("scc_reachability", f"WITH RECURSIVE {D.ORDERS}, {NODES}, {REACH} SELECT CASE WHEN count(*) > 0 THEN 'Reachable' ELSE 'Unreachable' END AS verdict FROM reach WHERE a = (SELECT min(src) FROM g) AND b = (SELECT max(dst) FROM g)")
 def scc_reachability(spark, sf):
     g = D.orders(spark, sf)
