@@ -72,4 +72,4 @@ def test_entry_registers_all(spark):
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 11)}
+    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 14)}
