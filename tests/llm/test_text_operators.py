@@ -89,6 +89,38 @@ def test_repeated_strings_of_nothing(spark, docs_of):
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"] and got.count() == 0
 
 
+@pytest.mark.parametrize("run", [lambda d: suffix_dedup.removed_bytes(d, length=40, passage=25), lambda d: suffix_dedup.deduplicate(d, length=40)])
+def test_equal_hashes_settle_nothing(spark, docs_of, monkeypatch, run):
+    """With codes that make all strings of a length alike, strings that differ are told by their bytes."""
+    monkeypatch.setattr(suffix_dedup, "byte_codes", lambda seed: np.full(256, 7, np.uint64))
+    with pytest.raises(Exception, match="another seed"):
+        run(docs_of([(i, words(random.Random(i), 12)) for i in range(6)])).collect()
+
+
+def test_another_seed_gives_the_same(spark, docs_of):
+    passage = words(random.Random(8), 20)
+    docs = docs_of([(i, words(random.Random(i), 9) + passage) for i in range(6)])
+    got = [sorted(map(tuple, suffix_dedup.removed_bytes(docs, length=40, seed=seed).collect())) for seed in (suffix_dedup.SEED, 5)]
+    assert got[0] == got[1] and all(r[2] >= len(passage) for r in got[0])
+
+
+def test_claims_that_follow_each_other_become_one(monkeypatch):
+    claim = lambda b, e, fs, fd=1: {"b": b, "e": e, "fd": fd, "ft": 2, "fs": fs}
+    got = suffix_dedup.merged([claim(20, 60, 120), claim(0, 30, 100), claim(60, 70, 160), claim(80, 90, 180), claim(30, 50, 20), claim(5, 9, 105, 3)])
+    assert sorted((c["fd"], c["b"], c["e"], c["fs"]) for c in got) == [(1, 0, 70, 100), (1, 30, 50, 20), (1, 80, 90, 180), (3, 5, 9, 105)]
+    # Cut at the parts of the text that is claimed, and put together again.
+    monkeypatch.setattr(suffix_dedup, "PART", 64)
+    a = bytes(random.Random(1).randrange(256) for _ in range(400))
+    x = b"?" * 10 + a[50:350] + b"?"
+    rows = next(suffix_dedup._parted([{"d": [7], "t": [0], "c": [[claim(10, 310, 50)]]}]))
+    parts = next(suffix_dedup._parts([{"d": [1], "t": [2], "text": [a.decode("latin-1")], "parts": [[]]}]), {"x": []})
+    assert parts["x"] == [] and sum(rows["n"]) == 300 and rows["part"] == [0, 1, 2, 3, 4, 5]
+    held = [{"b": b, "x": a[64 * p + o : 64 * p + o + n]} for b, p, o, n in zip(rows["b"], rows["part"], rows["off"], rows["n"])]
+    suffix_dedup.confirm(x, held)
+    with pytest.raises(ValueError, match="seed"):
+        suffix_dedup.confirm(x[:200] + b"!" + x[201:], held)
+
+
 def test_suffix_deduplicate_with_clashing_names(spark):
     passage = words(random.Random(8), 40)
     docs = spark.createDataFrame([(i, f"{i} {passage} {i}", "d", i, 1.5, "x", 7) for i in range(3)] + [(9, None, "n", 0, 0.5, None, 8)], "doc_id bigint, text string, d string, t bigint, p double, _d string, _p int")

@@ -17,6 +17,12 @@ are repeats; all bytes of them are compared.
 A key with more text than fits a block is keyed anew by finer grams, up to whole
 windows, so a passage that a third of all texts hold is spread out as well.
 
+Hashes bring runs together and settle none of them.  What counts as equal to the run
+that stands for it is a claim: stretches of claims that follow each other become
+one, and its bytes are cut from the text that stands for it and compared with the
+text that makes the claim before any of that is cut.  Runs whose hashes agree and
+whose bytes do not are an error that names ``seed``; another one gives other hashes.
+
 Null text counts as empty.  Texts shorter than ``length`` have no windows and
 stay whole.  Rows with equal id and text are separate documents, so each repeats
 the other.  An empty table gives an empty result.
@@ -44,7 +50,9 @@ BLOCK = 1 << 18
 PIECE = 1 << 20
 #: Up to so many documents, their ids are broadcast to keep other texts out of a join: 16 bytes each.
 BROADCAST_IDS = 2_000_000
-CODES = byte_codes(0x2545F491)
+#: Bytes of a text that go to claims on it at once.
+PART = 1 << 14
+SEED = 0x2545F491
 NULL_ID = -(1 << 63)
 
 
@@ -58,7 +66,7 @@ def smallest(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+def runs(texts: list[bytes], length: int, k: int, codes: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text index, first window, windows, key, hash of the run's bytes) of every run of windows with one smallest gram."""
     sizes = np.array([len(t) for t in texts], np.int64)
     a = np.frombuffer(b"".join(texts), np.uint8)
@@ -66,7 +74,7 @@ def runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     if len(a) < length:
         return none, none, none, none, none
     up, _ = powers(len(a) + 1)
-    s = prefix(a, CODES)
+    s = prefix(a, codes)
     gram = mix64((s[k:] - s[:-k]) * up[: len(s) - k])
     low = smallest(gram, length - k + 1)
     off = np.concatenate([[0], np.cumsum(sizes)])
@@ -181,7 +189,7 @@ def repeats(texts: list[bytes], weights: list[int], where: list[tuple], length:
     return [(found[i], firsts.get(i, b"")) if i in found else None for i in range(len(texts))]
 
 
-def _keyed(length: int):
+def _keyed(length: int, codes: np.ndarray):
     k = max(1, int(length * GRAMS[0]))
 
     def run(batches):
@@ -195,7 +203,7 @@ def _keyed(length: int):
                         raw.append(part)
                         ids.append((d, t, at))
             for i, j in slices(raw):
-                doc, start, n, key, sub = runs(raw[i:j], length, k)
+                doc, start, n, key, sub = runs(raw[i:j], length, k, codes)
                 who = [ids[i + x] for x in doc.tolist()]
                 yield {"key": key, "sub": sub, "d": [w[0] for w in who], "t": [w[1] for w in who], "start": [w[2] + x for w, x in zip(who, start.tolist())], "n": n}
 
@@ -219,13 +227,13 @@ def _cut_out(length: int):
     return run
 
 
-def _finer(length: int, k: int):
+def _finer(length: int, k: int, codes: np.ndarray):
     """Runs of a finer gram inside each text, under keys that hold the old key as well."""
 
     def run(batches):
         for b in batches:
             for i, j in slices(b["body"]):
-                doc, rel, n, key, sub = runs(b["body"][i:j], length, k)
+                doc, rel, n, key, sub = runs(b["body"][i:j], length, k, codes)
                 who = (doc + i).tolist()
                 old = np.array([b["key"][x] for x in who], np.int64).view(U64)
                 out = {c: [b[c][x] for x in who] for c in ("w", "d", "t")}
@@ -279,8 +287,8 @@ def _raised(batches):
         }
 
 
-def _places(first: bool):
-    """Repeated windows of each occurrence, as pairs of int64."""
+def _places(first: bool, length: int):
+    """Repeated windows of each occurrence, as pairs of int64; those that do not stand for their run claim its bytes."""
 
     def pairs(raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, np.int32).reshape(-1, 2)
@@ -293,17 +301,85 @@ def _places(first: bool):
                 if first and own and firsts:
                     p = minus(p, pairs(firsts))
                 out.append((p.astype(np.int64) + start).tobytes())
-            yield {"d": b["d"], "t": b["t"], "p": out}
+            yield {"d": b["d"], "t": b["t"], "p": out, "c": _claims(b, length)}
 
     return run
 
 
-def _whole(batches):
-    """Runs that occur elsewhere as they are: all their windows."""
+def _claims(b: dict, length: int) -> list[dict | None]:
+    """That the bytes of each run equal those at the place (fd, ft, fs) that stands for it; none of that place itself."""
+    rows = zip(b["own"], b["start"], b["n"], b["fd"], b["ft"], b["fs"])
+    return [None if own else {"b": start, "e": start + n + length - 1, "fd": fd, "ft": ft, "fs": fs} for own, start, n, fd, ft, fs in rows]
+
+
+def _whole(first: bool, length: int):
+    """Runs that occur elsewhere as they are: all their windows, but those of the first place if it keeps them."""
+
+    def run(batches):
+        for b in batches:
+            at = np.array(b["start"], np.int64)
+            pairs = np.stack([at, at + np.array(b["n"], np.int64)], 1).tobytes()
+            out = [b"" if first and own else pairs[16 * i : 16 * i + 16] for i, own in enumerate(b["own"])]
+            yield {"d": b["d"], "t": b["t"], "p": out, "c": _claims(b, length)}
+
+    return run
+
+
+def merged(claims: list[dict]) -> list[dict]:
+    """Claims on one text at one distance that touch or overlap become one."""
+    out: list[dict] = []
+    for c in sorted(claims, key=lambda c: (c["fd"], c["ft"], c["fs"] - c["b"], c["b"])):
+        last = out[-1] if out else None
+        if last and (last["fd"], last["ft"], last["fs"] - last["b"]) == (c["fd"], c["ft"], c["fs"] - c["b"]) and c["b"] <= last["e"]:
+            last["e"] = max(last["e"], c["e"])
+        else:
+            out.append(dict(c))
+    return out
+
+
+def _merged(batches):
     for b in batches:
-        at = np.array(b["start"], np.int64)
-        pairs = np.stack([at, at + np.array(b["n"], np.int64)], 1).tobytes()
-        yield {"d": b["d"], "t": b["t"], "p": [pairs[i : i + 16] for i in range(0, len(pairs), 16)]}
+        yield b | {"c": [merged(c) for c in b["c"]]}
+
+
+def _parted(batches):
+    """Merged claims, cut where a part of the text they claim ends."""
+    for b in batches:
+        out = {c: [] for c in ("d", "t", "b", "fd", "ft", "part", "off", "n")}
+        for d, t, claims in zip(b["d"], b["t"], b["c"]):
+            for c in merged(claims):
+                at, end = c["fs"], c["fs"] + c["e"] - c["b"]
+                while at < end:
+                    part = at // PART
+                    n = min(end, (part + 1) * PART) - at
+                    for k, v in zip(out, (d, t, c["b"] + at - c["fs"], c["fd"], c["ft"], part, at - part * PART, n)):
+                        out[k].append(v)
+                    at += n
+        yield out
+
+
+def _parts(batches):
+    """The parts of texts that claims ask for."""
+    for b in batches:
+        out: dict = {c: [] for c in ("fd", "ft", "part", "x")}
+        held = 0
+        for d, t, text, parts in zip(b["d"], b["t"], b["text"], b["parts"]):
+            x = text.encode("utf-8", "replace")
+            for p in parts:
+                for c, v in zip(out, (d, t, p, x[p * PART : (p + 1) * PART])):
+                    out[c].append(v)
+                held += len(out["x"][-1])
+                if held > 4 << 20:
+                    yield out
+                    out, held = {c: [] for c in out}, 0
+        yield out
+
+
+def confirm(x: bytes, held: list[dict]) -> None:
+    """Raise if the text does not hold what was claimed of it, byte by byte."""
+    for h in held:
+        if x[h["b"] : h["b"] + len(h["x"])] != h["x"]:
+            raise ValueError("strings of equal hashes differ: run again with another seed")
 
 
 def minus(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -338,10 +414,16 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, keep_first: bool = False, block: int = BLOCK) -> DataFrame:
-    """(d, t, p): for each document (d, t, text) with repeats its windows that occur elsewhere too, pairs of int64 as binaries."""
+CLAIM = "b bigint, e bigint, fd bigint, ft bigint, fs bigint"
+
+
+def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, keep_first: bool = False, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """(d, t, p, c): for each document (d, t, text) with repeats its windows that occur elsewhere too, pairs of int64 as binaries, and
+    the claims they rest on: bytes b to e of it are those from fs on in the document (fd, ft).  They hold once ``claimed`` is confirmed.
+    """
     ship(docs.sparkSession)
-    occ = space.write(map_rows(docs.where(F.octet_length("text") >= length), _keyed(length), "key bigint, sub bigint, d bigint, t bigint, start bigint, n int"), "runs")
+    codes = byte_codes(seed)
+    occ = space.write(map_rows(docs.where(F.octet_length("text") >= length), _keyed(length, codes), "key bigint, sub bigint, d bigint, t bigint, start bigint, n int"), "runs")
     # Bytes of all runs of a key, equal ones too, so a key that is not heavy fits a block.
     size = F.sum(F.col("n") + (length - 1))
     twice = occ.groupBy("key").agg(F.count(F.lit(1)).alias("c"), (F.min("sub") == F.max("sub")).alias("same"), (size > block // 2).alias("heavy")).where("c > 1").drop("c")
@@ -351,10 +433,10 @@ def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, ke
     space.drop(occ, twice)
     first = F.min(F.struct("d", "t", "start")).alias("f")
     cand, same = shared.where("not same").drop("same"), shared.where("same")
-    if keep_first:
-        least = space.write(same.groupBy("key").agg(first), "least")
-        same = same.join(least, "key").where(F.struct("d", "t", "start") != F.col("f"))
-    same = map_rows(same.select("d", "t", "start", "n"), _whole, "d bigint, t bigint, p binary")
+    stands = space.write(same.groupBy("key").agg(first).select("key", F.col("f.d").alias("fd"), F.col("f.t").alias("ft"), F.col("f.start").alias("fs")), "least")
+    own = (F.struct("d", "t", "start") == F.struct("fd", "ft", "fs")).alias("own")
+    place, claim = ["d", "t", "start", "n", "fd", "ft", "fs"], f"d bigint, t bigint, p binary, c struct<{CLAIM.replace(' bigint', ': bigint')}>"
+    same = map_rows(same.join(stands, "key").select(*place, own), _whole(keep_first, length), claim)
     dist = space.write(cand.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("w"), first, F.max("n").alias("n"), F.first("heavy").alias("heavy")), "distinct")
     segs = dist.groupBy(F.col("f.d").alias("d"), F.col("f.t").alias("t")).agg(F.collect_list(F.struct("key", "sub", F.col("f.start").alias("start"), "n", "w", "heavy")).alias("segs"))
     ids = space.write(dist.select("f.d", "f.t").distinct(), "ids")
@@ -370,12 +452,14 @@ def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, ke
         if rows.isEmpty():
             break
         finer = space.write(
-            map_rows(rows, _finer(length, max(1, int(length * share))), f"{body}, up_key bigint, up_sub bigint, rel int"), "finer"
+            map_rows(rows, _finer(length, max(1, int(length * share)), codes), f"{body}, up_key bigint, up_sub bigint, rel int"), "finer"
         )
         maps.append(finer.select("key", "sub", "up_key", "up_sub", "rel", F.col("d").alias("md"), F.col("t").alias("mt"), F.col("start").alias("ms")))
-        one = finer.groupBy("key", "sub").agg(F.sum("w").alias("w"), F.min(F.struct("d", "t", "start", "body")).alias("f")).select("key", "sub", "w", "f.*")
+        one = finer.groupBy("key", "sub", "body").agg(F.sum("w").alias("w"), F.min(F.struct("d", "t", "start")).alias("f")).select("key", "sub", "w", "f.*", "body")
         several = finer.groupBy("key").agg(F.sum("w").alias("w")).where("w > 1").select("key")
         rows = space.write(one.join(several, "key", "left_semi"), "rows")
+        if not rows.groupBy("key", "sub").count().where("count > 1").isEmpty():
+            raise ValueError("strings of equal hashes differ: run again with another seed")
     else:
         ready = ready.unionByName(rows)
     total = ready.agg(F.sum(F.length("body"))).first()[0] or 0
@@ -391,13 +475,29 @@ def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, ke
         up = map_rows(up, _raised, result).groupBy("key", "sub").agg(joined("spans"), joined("firsts"), *(F.first(c).alias(c) for c in ("d", "t", "start")))
         found = space.write(solved.unionByName(up), "found")
     at = cand.join(found.withColumnsRenamed({"d": "fd", "t": "ft", "start": "fs"}), ["key", "sub"])
-    own = F.struct("d", "t", "start") == F.struct("fd", "ft", "fs")
-    places = map_rows(at.select("d", "t", "start", "spans", "firsts", own.alias("own")), _places(keep_first), "d bigint, t bigint, p binary")
-    out = space.write(places.unionByName(same).groupBy("d", "t").agg(F.collect_list("p").alias("p")), "windows")
-    space.drop(shared, found, solved)
+    places = map_rows(at.select(*place, "spans", "firsts", own), _places(keep_first, length), claim)
+    each = places.unionByName(same).groupBy("d", "t").agg(F.collect_list("p").alias("p"), F.collect_list("c").alias("c"))
+    # Not those whose places all stand first.
+    each = each.where(F.exists("p", lambda x: F.length(x) > 0))
+    out = space.write(map_rows(each, _merged, f"d bigint, t bigint, p array<binary>, c array<struct<{CLAIM.replace(' bigint', ': bigint')}>>"), "windows")
+    space.drop(shared, stands, found, solved)
     return out
 
 
+def claimed(docs: DataFrame, windows: DataFrame, space: Workspace) -> DataFrame:
+    """(d, t, held): for each document with claims the bytes (b, x) that other places hold and it must hold from b on.
+
+    Only the parts of a text that are claimed are cut, once for all who claim them.
+    """
+    claims = space.write(map_rows(windows.select("d", "t", "c"), _parted, "d bigint, t bigint, b bigint, fd bigint, ft bigint, part bigint, off int, n int"), "claims")
+    asked = space.write(claims.groupBy(F.col("fd").alias("d"), F.col("ft").alias("t")).agg(F.collect_set("part").alias("parts")), "asked")
+    parts = map_rows(_only(docs, asked.select("d", "t")).join(asked, ["d", "t"]).select("d", "t", "text", "parts"), _parts, "fd bigint, ft bigint, part bigint, x binary")
+    # Rows that repeat id and text are one document.
+    parts = space.write(parts.dropDuplicates(["fd", "ft", "part"]), "parts")
+    bytes_ = F.struct("b", F.substring("x", F.col("off") + 1, F.col("n")).alias("x"))
+    return claims.join(parts, ["fd", "ft", "part"]).groupBy("d", "t").agg(F.collect_list(bytes_).alias("held"))
+
+
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", on: tuple | list = ("d", "t")) -> DataFrame:
     """Documents with (or without) an id in ``ids``; ids are broadcast if there are at most BROADCAST_IDS."""
     small = ids.count() <= BROADCAST_IDS
@@ -408,8 +508,9 @@ def _digest(length: int, passage: int):
     def run(batches):
         for b in batches:
             out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage")}
-            for text, p, q in zip(b["text"], b["p"], b["q"]):
+            for text, p, q, held in zip(b["text"], b["p"], b["q"], b["held"]):
                 x = text.encode("utf-8", "replace")
+                confirm(x, held or [])
                 spans = covered(p or [], length)
                 short = covered(q or [], passage) if passage < length else spans
                 h, at = hashlib.sha256(), 0
@@ -425,15 +526,15 @@ def _digest(length: int, passage: int):
     return run
 
 
-def _joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Documents with their repeated windows; those without any keep out of the shuffle."""
+def _joined(docs: DataFrame, windows: DataFrame, held: DataFrame) -> DataFrame:
+    """Documents with their repeated windows and what was claimed of them; those without any keep out of the shuffle."""
     ids = windows.select("d", "t")
-    there = _only(docs, ids).join(windows, ["d", "t"])
-    none = F.lit(None).cast("array<binary>")
-    return there.unionByName(_only(docs, ids, "left_anti").withColumns({"p": none, "q": none}))
+    there = _only(docs, ids).join(windows, ["d", "t"]).join(held, ["d", "t"], "left")
+    none = {c: F.lit(None).cast(there.schema[c].dataType) for c in ("p", "q", "held")}
+    return there.unionByName(_only(docs, ids, "left_anti").withColumns(none))
 
 
-def removed_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, passage: int | None = None) -> DataFrame:
+def removed_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, passage: int | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage for every document.
 
     ``n_removed``, ``n_spans`` and ``kept_sha256`` are about strings of ``length``
@@ -442,15 +543,17 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     """
     space = Workspace(docs.sparkSession, "suffix")
     docs, passage = _identified(docs), min(length, passage or length)
+    windows = repeated_windows(docs, space, passage, keep_first, seed=seed)
     if passage < length:
         # A document without the shorter repeats has no longer ones.
-        short = repeated_windows(docs, space, passage, keep_first).withColumnRenamed("p", "q")
-        windows = short.join(repeated_windows(_only(docs, short.select("d", "t")), space, length, keep_first), ["d", "t"], "left")
-        windows = space.write(windows.select("d", "t", "p", "q"), "both")
+        longer = repeated_windows(_only(docs, windows.select("d", "t")), space, length, keep_first, seed=seed).withColumnRenamed("c", "more")
+        short = windows.withColumnRenamed("p", "q").join(longer, ["d", "t"], "left")
+        windows = space.write(short.select("d", "t", "p", "q", F.concat("c", F.coalesce("more", F.array().cast(windows.schema["c"].dataType))).alias("c")), "both")
     else:
-        windows = repeated_windows(docs, space, length, keep_first).withColumn("q", F.lit(None).cast("array<binary>"))
+        windows = windows.withColumn("q", F.lit(None).cast("array<binary>"))
+    held = claimed(docs, windows, space)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage bigint"
-    return map_rows(_joined(docs, windows).select("d", "text", "p", "q"), _digest(length, passage), schema)
+    return map_rows(_joined(docs, windows.drop("c"), held).select("d", "text", "p", "q", "held"), _digest(length, passage), schema)
 
 
 def cut_text(x: bytes, spans: list[tuple[int, int]]) -> str:
@@ -466,7 +569,7 @@ def cut_text(x: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, x[at:]]).decode("utf-8", "replace")
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, seed: int = SEED) -> DataFrame:
     """``docs`` with repeated bytes cut from ``text`` and ``n_chars`` set anew; the first place of each repeated string keeps it.
 
     All other columns stay as they are, whatever their names. Null texts that lose
@@ -475,11 +578,13 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True)
     texts under different ids are different documents.
     """
     space = Workspace(docs.sparkSession, "suffix")
-    windows = repeated_windows(_identified(docs), space, length, keep_first)
-    d, t, p = unused(docs.columns, "d", "t", "p")
+    windows = repeated_windows(_identified(docs), space, length, keep_first, seed=seed)
+    held = claimed(_identified(docs), windows, space)
+    d, t, p, h = unused(docs.columns, "d", "t", "p", "held")
     tagged = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), t: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     windows = windows.select(F.col("d").alias(d), F.col("t").alias(t), F.col("p").alias(p))
-    there = _only(tagged, windows.select(d, t), on=[d, t]).join(windows, [d, t])
+    held = held.select(F.col("d").alias(d), F.col("t").alias(t), F.col("held").alias(h))
+    there = _only(tagged, windows.select(d, t), on=[d, t]).join(windows, [d, t]).join(held, [d, t], "left")
     fields = list(docs.schema)
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
@@ -487,8 +592,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True)
         import pyarrow as pa
 
         for b in sliced(batches):
-            spans = b.column(len(fields)).to_pylist()
-            texts = [cut_text((x or "").encode("utf-8", "replace"), covered(q, length)) for x, q in zip(b.column(at).to_pylist(), spans)]
+            texts = []
+            for x, spans, claims in zip(*(b.column(i).to_pylist() for i in (at, len(fields), len(fields) + 1))):
+                raw = (x or "").encode("utf-8", "replace")
+                confirm(raw, claims or [])
+                texts.append(cut_text(raw, covered(spans, length)))
             cols = [b.column(i) for i in range(len(fields))]
             cols[at] = pa.array(texts, cols[at].type)
             if count >= 0:
@@ -496,5 +604,5 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True)
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
         trim()
 
-    cut = there.select(*docs.columns, p).mapInArrow(run, docs.schema)
+    cut = there.select(*docs.columns, p, h).mapInArrow(run, docs.schema)
     return cut.unionByName(_only(tagged, windows.select(d, t), "left_anti", [d, t]).select(*docs.columns))
