@@ -61,6 +61,8 @@ def test_repeated_strings(spark, docs_of, monkeypatch, block, piece, short):
     rows += [(50, ""), (51, None), (52, "short"), (53, "ab " * 60), (54, rows[3][1]), (3, rows[3][1]), (None, rows[5][1]), (55, "é" * 50)]
     made = suffix_dedup.repeated_windows
     rows += [(60 + i, rows[i][1][: 60 + i]) for i in range(5)]
+    # Copies, of a size between both lengths, of two ids twice, and inside another text.
+    rows += [(70 + i, "thirty bytes, and twice or so.") for i in range(2)] + [(80 + i % 2, rows[7][1]) for i in range(4)] + [(90, "x" + rows[7][1] + "y")]
     monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda *a, **k: made(*a, **k, block=block))
     monkeypatch.setattr(suffix_dedup, "_keyed", pieces(suffix_dedup._keyed, piece))
     got = suffix_dedup.removed_bytes(docs_of(rows, extra=True), length=40, passage=short).collect()

@@ -23,6 +23,9 @@ one, and its bytes are cut from the text that stands for it and compared with th
 text that makes the claim before any of that is cut.  Runs whose hashes agree and
 whose bytes do not are an error that names ``seed``; another one gives other hashes.
 
+Where all places count, equal texts of ``length`` bytes or more are told first, and one of
+each group is searched: the others repeat it from end to end, which is a claim as well.
+
 Null text counts as empty.  Texts shorter than ``length`` have no windows and
 stay whole.  Rows with equal id and text are separate documents, so each repeats
 the other.  An empty table gives an empty result.
@@ -33,7 +36,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import U64, Workspace, byte_codes, map_rows, mix64, ship, sliced, trim, unused
@@ -325,6 +328,19 @@ def _whole(first: bool, length: int):
     return run
 
 
+def _all_of_it(length: int, passage: int):
+    """All windows of a text that has copies; each but the one searched claims to be that one."""
+
+    def run(batches):
+        for b in batches:
+            rows = list(zip(b["d"], b["t"], b["n"], b["fd"]))
+            windows = lambda size: [[np.array([0, max(0, n - size + 1)], np.int64).tobytes()] for _, _, n, _ in rows]
+            claims = [[] if d == fd else [{"b": 0, "e": n, "fd": fd, "ft": t, "fs": 0}] for d, t, n, fd in rows]
+            yield {"d": b["d"], "t": b["t"], "p": windows(length), "q": windows(passage), "c": claims}
+
+    return run
+
+
 def merged(claims: list[dict]) -> list[dict]:
     """Claims on one text at one distance that touch or overlap become one."""
     out: list[dict] = []
@@ -409,9 +425,26 @@ def covered(raw: list[bytes], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _identified(docs: DataFrame) -> DataFrame:
+def _identity(seed: int) -> tuple[Column, Column, Column]:
+    """Id, hash and text of a document, nulls replaced."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), F.xxhash64(F.lit(seed), text), text
+
+
+def _identified(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select(*(c.alias(n) for c, n in zip(_identity(seed), ("d", "t", "text"))))
+
+
+def _copies(docs: DataFrame, space: Workspace, length: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with one of each group of equal texts, members of such groups (d, t, n, fd) of ``length`` bytes or more).
+
+    Equal are texts of one hash and size; that a member's bytes are those of the smallest id ``fd`` is a claim like any other.
+    """
+    sized = docs.where(F.octet_length("text") >= length).select("d", "t", F.octet_length("text").alias("n"))
+    groups = space.write(sized.groupBy("t", "n").agg(F.min("d").alias("fd"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "copies")
+    few = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
+    once = docs.withColumn("n", F.octet_length("text")).join(few, ["t", "n"], "left").where("fd IS NULL OR d = fd").select("d", "t", "text")
+    return once, space.write(sized.join(few, ["t", "n"]), "members")
 
 
 CLAIM = "b bigint, e bigint, fd bigint, ft bigint, fs bigint"
@@ -542,15 +575,21 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     bytes, which is shorter, or of ``length`` if it is not given.
     """
     space = Workspace(docs.sparkSession, "suffix")
-    docs, passage = _identified(docs), min(length, passage or length)
-    windows = repeated_windows(docs, space, passage, keep_first, seed=seed)
+    docs, passage = _identified(docs, seed), min(length, passage or length)
+    # Copies of a text would meet in every run of it, so one of each group is searched; the first place is told among all.
+    once, members = (docs, None) if keep_first else _copies(docs, space, passage)
+    windows = repeated_windows(once, space, passage, keep_first, seed=seed)
     if passage < length:
         # A document without the shorter repeats has no longer ones.
-        longer = repeated_windows(_only(docs, windows.select("d", "t")), space, length, keep_first, seed=seed).withColumnRenamed("c", "more")
+        longer = repeated_windows(_only(once, windows.select("d", "t")), space, length, keep_first, seed=seed).withColumnRenamed("c", "more")
         short = windows.withColumnRenamed("p", "q").join(longer, ["d", "t"], "left")
-        windows = space.write(short.select("d", "t", "p", "q", F.concat("c", F.coalesce("more", F.array().cast(windows.schema["c"].dataType))).alias("c")), "both")
+        windows = short.select("d", "t", "p", "q", F.concat("c", F.coalesce("more", F.array().cast(windows.schema["c"].dataType))).alias("c"))
     else:
         windows = windows.withColumn("q", F.lit(None).cast("array<binary>"))
+    if members is not None:
+        whole = map_rows(members.dropDuplicates(), _all_of_it(length, passage), windows.select("d", "t", "p", "q", "c").schema)
+        windows = windows.join(members.select("d", "t"), ["d", "t"], "left_anti").select("d", "t", "p", "q", "c").unionByName(whole)
+    windows = space.write(windows, "all")
     held = claimed(docs, windows, space)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage bigint"
     return map_rows(_joined(docs, windows.drop("c"), held).select("d", "text", "p", "q", "held"), _digest(length, passage), schema)
@@ -578,10 +617,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
     texts under different ids are different documents.
     """
     space = Workspace(docs.sparkSession, "suffix")
-    windows = repeated_windows(_identified(docs), space, length, keep_first, seed=seed)
-    held = claimed(_identified(docs), windows, space)
+    texts = _identified(docs, seed)
+    windows = repeated_windows(texts, space, length, keep_first, seed=seed)
+    held = claimed(texts, windows, space)
     d, t, p, h = unused(docs.columns, "d", "t", "p", "held")
-    tagged = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), t: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    tagged = docs.withColumns(dict(zip((d, t), _identity(seed))))
     windows = windows.select(F.col("d").alias(d), F.col("t").alias(t), F.col("p").alias(p))
     held = held.select(F.col("d").alias(d), F.col("t").alias(t), F.col("held").alias(h))
     there = _only(tagged, windows.select(d, t), on=[d, t]).join(windows, [d, t]).join(held, [d, t], "left")
