@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby, islice
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from weft.operators import ordered
 from weft.operators.condense import topological_layers, weak_components
 from weft.operators.traverse import distances, numbered_layers
-from weft.session import Workspace
+from weft.session import Workspace, ship
 
 #: Drawings are of graphs that a page can hold.
 MAX_DRAWN = 20_000
@@ -58,15 +62,28 @@ def back_edges(nodes: DataFrame, edges: DataFrame, graph: str | None = None) ->
     rows = n.select(key, "pos", F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(0).alias("t")).unionByName(e.select(key, "pos", "src", "dst", F.lit(1).alias("t")))
     key_kind = rows.schema[key].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "pos"], kind="stable")
-        own, arc = pdf[pdf["t"] == 0], pdf[pdf["t"] == 1]
-        found = depth_first_back_edges(own["src"].tolist(), list(dict.fromkeys(zip(arc["src"], arc["dst"]))))
-        if not found:
-            return pdf[[key, "src", "src"]].set_axis([key, "src", "dst"], axis=1).iloc[:0]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]})
-
-    out = rows.groupBy(key).applyInPandas(run, f"{key} {key_kind}, src {kind}, dst {kind}")
+    kinds = [to_arrow_type(rows.schema[c].dataType) for c in (key, "src", "src")]
+
+    def found(batches):
+        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for g, part in groupby(each, itemgetter(0)):
+            own, arcs = [], {}
+            for _, t, a, b in part:
+                if t:
+                    arcs[a, b] = None
+                else:
+                    own.append(a)
+            yield from ((g, a, b) for a, b in depth_first_back_edges(own, list(arcs)))
+
+    def run(batches):
+        out = found(batches)
+        while chunk := list(islice(out, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)], names=[key, "src", "dst"])
+
+    # Graphs follow each other in a task: a call for each would cost more than most searches.
+    ship(rows.sparkSession)
+    met = rows.repartition(key).sortWithinPartitions(key, "t", F.asc_nulls_last("pos")).select(key, "t", "src", "dst")
+    out = met.mapInArrow(run, f"{key} {key_kind}, src {kind}, dst {kind}")
     return out if graph else out.drop("_g")
 
 
