@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.model import nodes_of
@@ -37,6 +39,34 @@ def in_one_task(edges: DataFrame, fn: Callable[[list[tuple]], Iterable[tuple]],
     return edges.coalesce(1).mapInArrow(run, schema)
 
 
+def in_components(edges: DataFrame, fn: Callable[[list[tuple]], Iterable[tuple]], schema: str, space: Workspace, finish: int, more: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """(the rows that ``fn`` makes of each weak component of at most ``finish`` edges (src, dst, ...), edges of the larger ones or None).
+
+    A component's edges meet in one task, which takes one component at a time, so small
+    ones need no rounds however many they are.  ``fn`` is given the columns ``more`` too.
+    """
+    names, kinds = zip(*((f.name, f.type) for f in _arrow(schema)))
+    columns = edges.columns
+    found = components(edges.select("src", "dst")).select(F.col("id").alias("src"), "component")
+    tagged = space.write(edges.join(found, "src"), "tagged")
+    # At most one row for each ``finish`` edges.
+    large = space.write(tagged.groupBy("component").count().where(F.col("count") > finish).select("component"), "large")
+    rest, small = None, tagged
+    if not large.isEmpty():
+        rest = space.write(tagged.join(F.broadcast(large), "component", "left_semi").select(*columns), "larger")
+        small = tagged.join(F.broadcast(large), "component", "left_anti")
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out = (x for _, part in groupby(rows, itemgetter(0)) for x in fn([r[1:] for r in part]))
+        while chunk := list(islice(out, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)], names=list(names))
+
+    ship(edges.sparkSession)
+    met = small.repartition("component").sortWithinPartitions("component").select("component", *columns, *more)
+    return space.write(met.mapInArrow(run, schema), "of-components"), rest
+
+
 def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -156,7 +186,8 @@ def tarjan(pairs: list[tuple]) -> dict:
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None, driver_edges: int = DRIVER_EDGES, finish: int = FINISH) -> DataFrame:
     """(id, scc): the smallest id of each strong component.
 
-    Beyond ``driver_edges``, chains are contracted first: their nodes belong to the
+    Beyond ``driver_edges``, weak components of at most ``finish`` edges are done in one
+    task each.  In larger ones, chains are contracted first: their nodes belong to the
     component of their ends if that is one, else each is its own.  Nodes without a
     predecessor or successor are trimmed in rounds; the component of the busiest node, which is the giant one if there
     is any, is what a forward and a backward search share; the rest is coloured:
@@ -175,6 +206,12 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None, driver_e
         return ids.join(named, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
     done: list[DataFrame] = []
     paths = None
+    if e.count() > finish > 0:
+        small_ones, rest = in_components(e, lambda pairs: tarjan(pairs).items(), f"id {kind}, scc {kind}", space, finish)
+        if rest is None:
+            return ids.join(small_ones, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+        done.append(small_ones)
+        e = rest
     if e.count() > finish and (found := chains(e, space)):
         paths, rings, rest = found
         done.append(rings.withColumnRenamed("ring", "scc"))
@@ -259,8 +296,8 @@ def condensed_edges(edges: DataFrame, scc: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(a, "src").join(b, "dst").where("from_scc != to_scc").select("from_scc", "to_scc").distinct()
 
 
-def reachable(scc: DataFrame | None, dag: DataFrame, source, target) -> str:
-    """Reachable, Unreachable or Unavailable, exactly: a search on the condensed graph, by levels."""
+def reachable(scc: DataFrame | None, dag: DataFrame, source, target, driver_edges: int = DRIVER_EDGES) -> str:
+    """Reachable, Unreachable or Unavailable, exactly: a search on the condensed graph, by levels; of a large graph only the weak component of both is searched."""
     if scc is None:
         return "Unavailable"
     found = {r["id"]: r["scc"] for r in scc.where(F.col("id").isin(source, target)).collect()}
@@ -269,7 +306,15 @@ def reachable(scc: DataFrame | None, dag: DataFrame, source, target) -> str:
     if found[source] == found[target]:
         return "Reachable"
     start = scc.where(F.col("id") == F.lit(source)).select("scc")
-    there = distances(dag.select(F.col("from_scc").alias("src"), F.col("to_scc").alias("dst")), start)
+    space = Workspace(dag.sparkSession, "reachable")
+    dag = space.write(dag.select(F.col("from_scc").alias("src"), F.col("to_scc").alias("dst")), "dag")
+    if dag.count() > driver_edges:
+        weak = space.write(components(dag), "weak")
+        ends = {r["id"]: r["component"] for r in weak.where(F.col("id").isin(found[source], found[target])).collect()}
+        if len(ends) < 2 or len(set(ends.values())) > 1:
+            return "Unreachable"
+        dag = dag.join(weak.where(F.col("component") == F.lit(ends[found[source]])).select(F.col("id").alias("src")), "src", "left_semi")
+    there = distances(dag, start)
     return "Unreachable" if there.where(F.col("id") == F.lit(found[target])).isEmpty() else "Reachable"
 
 
@@ -343,10 +388,16 @@ def _longest(rows: list[tuple]) -> list[tuple]:
     return list(layer.items()) if len(todo) == len(layer) else []
 
 
+def _longest_or_cycle(rows: list[tuple]) -> list[tuple]:
+    """As ``_longest``; one layer below 0 if they hold a cycle."""
+    return _longest(rows) or [(rows[0][0], -1)]
+
+
 def topological_layers(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = ROUNDS, finish: int = FINISH) -> DataFrame:
     """(id, layer): 0, or one more than the highest layer of a predecessor; the graph must have no cycle.
 
-    At most ``finish`` edges are done in one task.  Of more, chains are contracted to
+    At most ``finish`` edges are done in one task, and so is each weak component of at
+    most so many.  Of larger ones, chains are contracted to
     one edge each, of as many layers.  Layers then rise in rounds, as many as the
     longest path has edges; with a cycle they would not end, and ``max_rounds`` or the
     number of nodes stops them with an error.
@@ -357,7 +408,12 @@ def topological_layers(edges: DataFrame, nodes: DataFrame | None = None, max_rou
     kind = e.schema["src"].dataType.simpleString()
     if not e.where("src = dst").isEmpty():
         raise ValueError("the graph has a cycle")
-    paths = None
+    paths, small = None, None
+    if e.count() > finish > 0:
+        small, rest = in_components(e, _longest_or_cycle, f"id {kind}, layer int", space, finish)
+        if not small.where("layer < 0").isEmpty():
+            raise ValueError("the graph has a cycle")
+        e = e.limit(0) if rest is None else rest
     if e.count() > finish and (found := chains(e.select("src", "dst"), space)):
         paths, rings, e = found
         if not rings.isEmpty() or not paths.where("first = last").isEmpty():
@@ -368,6 +424,8 @@ def topological_layers(edges: DataFrame, nodes: DataFrame | None = None, max_rou
         first = known.select(F.col("id").alias("first"), "layer")
         inside = paths.join(first, "first", "left").select("id", (F.coalesce("layer", F.lit(0)) + F.col("back")).cast("int").alias("layer"))
         known = known.unionByName(inside)
+    if small is not None:
+        known = known.unionByName(small)
     return ids.join(known, "id", "left").select("id", F.coalesce("layer", F.lit(0)).alias("layer"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.model import nodes_of
-from weft.operators.condense import FINISH, ROUNDS, condensed_edges, in_one_task, topological_layers
+from weft.operators.condense import FINISH, ROUNDS, _longest, condensed_edges, in_components, in_one_task, topological_layers
 from weft.session import Workspace
 
 #: Random orders; labels of a node.
@@ -95,10 +95,48 @@ def labels(edges: DataFrame, nodes: DataFrame | None = None, finish: int = FINIS
     space = Workspace(edges.sparkSession, "reach")
     e = space.write(edges.select("src", "dst").distinct(), "edges")
     ids = space.write(nodes_of(e) if nodes is None else nodes.select("id").union(nodes_of(e)).distinct(), "nodes")
+    small = None
+    if e.count() > finish > 0:
+        kind = e.schema["src"].dataType.simpleString()
+        mark = f"array<struct<h: bigint, id: {kind}>>"
+        schema = f"id {kind}, layer int, down {mark}, up {mark}, path {kind}, place int"
+        small, e = in_components(e, _labelled, schema, space, finish, tuple(F.array(*_ranks(c)).alias(f"{c}_marks") for c in ("src", "dst")))
+        if not small.where("layer < 0").isEmpty():
+            raise ValueError("the graph has a cycle")
+        if nodes is not None:
+            alone = ids.join(small.select("id"), "id", "left_anti")
+            alone = alone if e is None else alone.join(nodes_of(e), "id", "left_anti")
+            own, none = F.array(*_ranks("id")).cast(mark), F.lit(0).cast("int")
+            small = small.unionByName(alone.select("id", none.alias("layer"), own.alias("down"), own.alias("up"), F.col("id").alias("path"), none.alias("place")))
+        if e is None:
+            return space.write(small, "labels") if nodes is not None else small
+        ids = space.write(nodes_of(e), "larger-nodes")
     up = _firsts(e, ids, space, finish).withColumnRenamed("marks", "up")
     down = _firsts(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids, space, finish).withColumnRenamed("marks", "down")
-    rows = topological_layers(e, ids, finish=finish).join(down, "id").join(up, "id").join(paths(e, ids, space), "id")
-    return space.write(rows.select("id", *LABELS), "labels")
+    rows = topological_layers(e, ids, finish=finish).join(down, "id").join(up, "id").join(paths(e, ids, space), "id").select("id", *LABELS)
+    return space.write(rows if small is None else rows.unionByName(small), "labels")
+
+
+def _labelled(rows: list[tuple]) -> Iterable[tuple]:
+    """All labels of a graph given as (src, dst, marks of src, marks of dst), in topological order; one layer below 0 if it holds a cycle."""
+    own = {v: m for a, b, x, y in rows for v, m in ((a, x), (b, y))}
+    layer = dict(_longest([(a, b, 1) for a, b, *_ in rows]))
+    if not layer:
+        return [(rows[0][0], -1, None, None, None, None)]
+    starts = [(None, v, m) for v, m in own.items()]
+    up = dict(_carried([*starts, *((a, b, None) for a, b, *_ in rows)]))
+    down = dict(_carried([*starts, *((b, a, None) for a, b, *_ in rows)]))
+    ahead: dict = {}
+    back: dict = {}
+    for a, b, *_ in rows:
+        ahead[a] = min(b, ahead.get(a, b))
+        back[b] = min(a, back.get(b, a))
+    at: dict = {}
+    for v in sorted(layer, key=layer.get):
+        before = back.get(v)
+        head, place = at[before] if before is not None and ahead[before] == v else (v, -1)
+        at[v] = head, place + 1
+    return [(v, layer[v], down[v], up[v], *at[v]) for v in layer]
 
 
 def _verdict(a: str, b: str) -> Column:
@@ -111,18 +149,25 @@ def _verdict(a: str, b: str) -> Column:
     return F.when(same, F.col(f"{a}_place") <= F.col(f"{b}_place")).when(through, True).when(barred | (F.col(f"{a}_layer") >= F.col(f"{b}_layer")), False)
 
 
-def _with_labels(df: DataFrame, known: DataFrame, node: str) -> DataFrame:
-    return df.join(known.select(F.col("id").alias(node), *(F.col(c).alias(f"{node}_{c}") for c in LABELS)), node)
+def _with_labels(df: DataFrame, known: DataFrame, node: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    return df.join(known.select(F.col("id").alias(node), *(F.col(c).alias(f"{node}_{c}") for c in labels)), node)
 
 
 def answer(pairs: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b, reaches) of distinct ``pairs`` (a, b) of nodes of ``known``, the labels of ``edges``; pairs with other nodes are left out.
 
-    One plan compares the labels of all pairs; the pairs it leaves go on to the
+    One plan compares the layers and paths of all pairs, a second one the longer labels of
+    those that this leaves; the pairs left then go on to the
     successors of their first node, as many steps as the longest path has.
     """
     space = Workspace(pairs.sparkSession, "pairs")
-    told = space.write(_with_labels(_with_labels(pairs.select("a", "b").distinct(), known, "a"), known, "b").withColumn("reaches", _verdict("a", "b")), "told")
+    short = ("layer", "path", "place")
+    # Dealt by the first node once, for telling equal pairs and for the first join.
+    near = _with_labels(_with_labels(pairs.select("a", "b").repartition("a").distinct(), known, "a", short), known, "b", short)
+    same = F.col("a_path") == F.col("b_path")
+    near = near.select("a", "b", F.when(same, F.col("a_place") <= F.col("b_place")).when(F.col("a_layer") >= F.col("b_layer"), False).alias("reaches"))
+    near = space.write(near, "near")
+    told = space.write(_with_labels(_with_labels(near.where("reaches is null").select("a", "b"), known, "a"), known, "b").withColumn("reaches", _verdict("a", "b")), "told")
     found = [told.where("reaches").select("a", "b")]
     ends = [f"b_{c}" for c in LABELS]
     left = told.where("reaches is null").select("a", "b", *ends, F.col("a").alias("at"))
@@ -137,7 +182,8 @@ def answer(pairs: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
     yes = found[0]
     for x in found[1:]:
         yes = yes.unionByName(x)
-    return told.select("a", "b").join(yes.distinct().withColumn("reaches", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("reaches", F.lit(False)).alias("reaches"))
+    searched = told.select("a", "b").join(yes.distinct().withColumn("reaches", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("reaches", F.lit(False)).alias("reaches"))
+    return near.where("reaches is not null").unionByName(searched)
 
 
 def settled_share(pairs: DataFrame, known: DataFrame) -> float:
@@ -157,7 +203,7 @@ def verdicts(pairs: DataFrame, edges: DataFrame, weak: DataFrame, scc: DataFrame
     space = Workspace(pairs.sparkSession, "verdicts")
     known = weak.join(scc, "id").select("id", "component", "scc")
     at = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_w"), F.col("scc").alias(f"{c}_s"))
-    both = space.write(pairs.select("a", "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left"), "both")
+    both = space.write(pairs.select("a", "b").repartition("a").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left"), "both")
     none, apart = F.col("a_w").isNull() | F.col("b_w").isNull(), F.col("a_w") != F.col("b_w")
     early = F.when(none, "Unavailable").when(apart, "DifferentComponents").when(F.col("a_s") == F.col("b_s"), "Reachable")
     both = both.withColumn("early", early)
