@@ -374,6 +374,15 @@ def _parted(batches):
         yield out
 
 
+def _asked(batches):
+    """Claims of ``_parted``, one row for each part that a document claims, however often it does."""
+    for rows in _parted(batches):
+        found: dict = {}
+        for d, t, b, fd, ft, part, off, n in zip(*(rows[c] for c in ("d", "t", "b", "fd", "ft", "part", "off", "n"))):
+            found.setdefault((d, t, fd, ft, part), []).append({"b": b, "off": off, "n": n})
+        yield dict(zip(("d", "t", "fd", "ft", "part"), map(list, zip(*found)))) | {"at": list(found.values())} if found else {c: [] for c in ("d", "t", "fd", "ft", "part", "at")}
+
+
 def _parts(batches):
     """The parts of texts that claims ask for."""
     for b in batches:
@@ -522,13 +531,13 @@ def claimed(docs: DataFrame, windows: DataFrame, space: Workspace) -> DataFrame:
 
     Only the parts of a text that are claimed are cut, once for all who claim them.
     """
-    claims = space.write(map_rows(windows.select("d", "t", "c"), _parted, "d bigint, t bigint, b bigint, fd bigint, ft bigint, part bigint, off int, n int"), "claims")
+    claims = space.write(map_rows(windows.select("d", "t", "c"), _asked, "d bigint, t bigint, fd bigint, ft bigint, part bigint, at array<struct<b: bigint, off: int, n: int>>"), "claims")
     asked = space.write(claims.groupBy(F.col("fd").alias("d"), F.col("ft").alias("t")).agg(F.collect_set("part").alias("parts")), "asked")
     parts = map_rows(_only(docs, asked.select("d", "t")).join(asked, ["d", "t"]).select("d", "t", "text", "parts"), _parts, "fd bigint, ft bigint, part bigint, x binary")
     # Rows that repeat id and text are one document.
     parts = space.write(parts.dropDuplicates(["fd", "ft", "part"]), "parts")
-    bytes_ = F.struct("b", F.substring("x", F.col("off") + 1, F.col("n")).alias("x"))
-    return claims.join(parts, ["fd", "ft", "part"]).groupBy("d", "t").agg(F.collect_list(bytes_).alias("held"))
+    bytes_ = F.transform("at", lambda a: F.struct(a["b"].alias("b"), F.substring(F.col("x"), a["off"] + 1, a["n"]).alias("x")))
+    return claims.join(parts, ["fd", "ft", "part"]).groupBy("d", "t").agg(F.flatten(F.collect_list(bytes_)).alias("held"))
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", on: tuple | list = ("d", "t")) -> DataFrame:
