@@ -830,12 +830,11 @@ def history_of_all(spark, sf):
 
 @query("text_graph_split", f"WITH {D.PARTS} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM g")
 def text_graph_split(spark, sf):
-    """Section files written and read by many tasks each."""
-    part = F.pmod(F.hash("src"), F.lit(4))
-    lines = D.pairs(spark, sf).select(part.alias("p"), F.lit(1).alias("k"), F.concat_ws(" ", "src", "dst").alias("line"))
-    heads = spark.range(4).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("k"), F.lit("ARETES").alias("line"))
+    """Section files, one for each task that has edges, read by their splits."""
+    # The header of a column is that of the section.
+    lines = D.pairs(spark, sf).select(F.spark_partition_id().alias("p"), F.concat_ws(" ", "src", "dst").alias("ARETES"))
     path = own_folder(spark, "texts")
-    lines.unionByName(heads).repartition(4, "p").sortWithinPartitions("p", "k").select("p", "line").write.partitionBy("p").text(path)
+    lines.write.partitionBy("p").option("header", True).csv(path)
     return text.read_split(spark, path)[1].select("src", "dst").distinct()
 
 
