@@ -34,12 +34,15 @@ the other.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.llm.common import U64, Workspace, byte_codes, map_rows, mix64, ship, sliced, trim, unused
+from weft.llm.common import U64, Workspace, _arrow_schema, byte_codes, map_rows, mix64, ship, sliced, trim, unused
 from weft.llm.textsets import powers, prefix, slices
 
 LENGTH = 400
@@ -198,17 +201,16 @@ def _keyed(length: int, codes: np.ndarray):
     def run(batches):
         for b in batches:
             raw, ids = [], []
-            for d, t, text in zip(b["d"], b["t"], b["text"]):
+            for d, t, text, within in zip(b["d"], b["t"], b["text"], b.get("within") or repeat(None)):
                 x = text.encode("utf-8", "replace")
-                for at in range(0, max(1, len(x) - length + 1), PIECE):
-                    part = x[at : at + PIECE + length - 1]
-                    if len(part) >= length:
-                        raw.append(part)
+                for begin, end in [(0, len(x))] if within is None else np.frombuffer(within, np.int64).reshape(-1, 2).tolist():
+                    for at in range(begin, end - length + 1, PIECE):
+                        raw.append(x[at : min(end, at + PIECE + length - 1)])
                         ids.append((d, t, at))
             for i, j in slices(raw):
                 doc, start, n, key, sub = runs(raw[i:j], length, k, codes)
-                who = [ids[i + x] for x in doc.tolist()]
-                yield {"key": key, "sub": sub, "d": [w[0] for w in who], "t": [w[1] for w in who], "start": [w[2] + x for w, x in zip(who, start.tolist())], "n": n}
+                d, t, at = np.array(ids[i:j], np.int64).T[:, doc]
+                yield {"key": key, "sub": sub, "d": d, "t": t, "start": at + start, "n": n}
 
     return run
 
@@ -290,40 +292,86 @@ def _raised(batches):
         }
 
 
-def _places(first: bool, length: int):
-    """Repeated windows of each occurrence, as pairs of int64; those that do not stand for their run claim its bytes."""
+def _unions(group: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(index of one, begin, end) of intervals after those of a group that touch or overlap became one, by group and begin."""
+    order = np.lexsort((begin, group))
+    g, b, e = group[order], begin[order], end[order]
+    if not len(g):
+        return order, b, e
+    # The furthest end so far in the group: groups are set apart by more than the range of ends.
+    low = int(e.min())
+    apart = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])]) * (int(e.max()) - low + 1)
+    top = np.maximum.accumulate(e - low + apart) - apart + low
+    at = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (b[1:] > top[:-1])]))
+    return order[at], b[at], top[np.append(at[1:], len(g)) - 1]
+
+
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of groups of equal keys, in the order of the keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
-    def pairs(raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, np.int32).reshape(-1, 2)
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for spans, firsts, start, own in zip(b["spans"], b["firsts"], b["start"], b["own"]):
-                p = pairs(spans)
-                if first and own and firsts:
-                    p = minus(p, pairs(firsts))
-                out.append((p.astype(np.int64) + start).tobytes())
-            yield {"d": b["d"], "t": b["t"], "p": out, "c": _claims(b, length)}
+def _gathered(first: bool, length: int, schema: T.StructType):
+    """Repeated windows of each document as pairs of int64, and what the runs that do not stand for themselves claim, merged.
 
-    return run
+    A run without ``spans`` occurs elsewhere as it is. Runs in their first place keep what stands first if ``first``;
+    documents whose places all stand first are left out.
+    """
+    arrow = _arrow_schema(schema)
 
+    def run(batches):
+        for batch in sliced(batches):
+            held = batch.column(batch.schema.names.index("r"))
+            flat = held.flatten()
+            col = dict(zip((f.name for f in flat.type), flat.flatten()))
+            doc = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+            start, n, fd, ft, fs = (col[c].to_numpy().astype(np.int64) for c in ("start", "n", "fd", "ft", "fs"))
+            own = col["own"].to_numpy(zero_copy_only=False).astype(bool)
+            spans = col["spans"].to_pylist()
+            if first:
+                firsts = col["firsts"].to_pylist()
+                for i in np.flatnonzero(own).tolist():
+                    if firsts[i]:
+                        spans[i] = minus(*(np.frombuffer(x, np.int32).reshape(-1, 2) for x in (spans[i], firsts[i]))).astype(np.int32).tobytes()
+            as_is = np.flatnonzero(col["spans"].is_null().to_numpy(zero_copy_only=False) & ~(own & first))
+            pairs = np.frombuffer(b"".join(x for x in spans if x), np.int32).reshape(-1, 2)
+            who = np.repeat(np.arange(len(spans)), [len(x) // 8 if x else 0 for x in spans])
+            begin = np.concatenate([pairs[:, 0] + start[who], start[as_is]])
+            end = np.concatenate([pairs[:, 1] + start[who], start[as_is] + n[as_is]])
+            owner = np.concatenate([doc[who], doc[as_is]])
+            at, begin, end = _unions(owner, begin, end)
+            counts = np.bincount(owner[at], minlength=len(held))
+            cuts = lambda counts: np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            raw = pa.py_buffer(np.stack([begin, end], 1).astype(np.int64).tobytes())
+            p = pa.BinaryArray.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((cuts(counts) * 16).astype(np.int32).tobytes()), raw])
+            away = np.flatnonzero(~own)
+            doc, start, n, fd, ft, fs = (x[away] for x in (doc, start, n, fd, ft, fs))
+            at, begin, end = _unions(_numbered(doc, fd, ft, fs - start), start, start + n + length - 1)
+            claims = [begin, end, fd[at], ft[at], fs[at] - start[at] + begin]
+            c = pa.ListArray.from_arrays(pa.array(cuts(np.bincount(doc[at], minlength=len(held)))), pa.StructArray.from_arrays([pa.array(x) for x in claims], ["b", "e", "fd", "ft", "fs"]))
+            p = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32)), p)
+            found = [batch.column(batch.schema.names.index(k)) for k in ("d", "t")] + [p, c]
+            out = pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(found, arrow)], schema=arrow)
+            yield out.filter(pa.array(counts > 0))
+        trim()
 
-def _claims(b: dict, length: int) -> list[dict | None]:
-    """That the bytes of each run equal those at the place (fd, ft, fs) that stands for it; none of that place itself."""
-    rows = zip(b["own"], b["start"], b["n"], b["fd"], b["ft"], b["fs"])
-    return [None if own else {"b": start, "e": start + n + length - 1, "fd": fd, "ft": ft, "fs": fs} for own, start, n, fd, ft, fs in rows]
+    return run
 
 
-def _whole(first: bool, length: int):
-    """Runs that occur elsewhere as they are: all their windows, but those of the first place if it keeps them."""
+def _stretches(length: int, passage: int):
+    """Where strings of ``length`` bytes can repeat: bytes (begin, end) whose strings of ``passage`` bytes all do."""
 
     def run(batches):
         for b in batches:
-            at = np.array(b["start"], np.int64)
-            pairs = np.stack([at, at + np.array(b["n"], np.int64)], 1).tobytes()
-            out = [b"" if first and own else pairs[16 * i : 16 * i + 16] for i, own in enumerate(b["own"])]
-            yield {"d": b["d"], "t": b["t"], "p": out, "c": _claims(b, length)}
+            held = [[(s, e + passage - 1) for s, e in covered(p, 1) if e - s > length - passage] for p in b["p"]]
+            keep = [i for i, h in enumerate(held) if h]
+            yield {"d": [b["d"][i] for i in keep], "t": [b["t"][i] for i in keep], "within": [np.array(held[i], np.int64).tobytes() for i in keep]}
 
     return run
 
@@ -353,11 +401,6 @@ def merged(claims: list[dict]) -> list[dict]:
     return out
 
 
-def _merged(batches):
-    for b in batches:
-        yield b | {"c": [merged(c) for c in b["c"]]}
-
-
 def _parted(batches):
     """Merged claims, cut where a part of the text they claim ends."""
     for b in batches:
@@ -459,13 +502,16 @@ def _copies(docs: DataFrame, space: Workspace, length: int) -> tuple[DataFrame,
 CLAIM = "b bigint, e bigint, fd bigint, ft bigint, fs bigint"
 
 
-def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, keep_first: bool = False, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, keep_first: bool = False, block: int = BLOCK, seed: int = SEED, within: DataFrame | None = None) -> DataFrame:
     """(d, t, p, c): for each document (d, t, text) with repeats its windows that occur elsewhere too, pairs of int64 as binaries, and
     the claims they rest on: bytes b to e of it are those from fs on in the document (fd, ft).  They hold once ``claimed`` is confirmed.
+
+    ``within`` (d, t, within) tells the bytes of each document outside of which no string repeats, pairs of int64.
     """
     ship(docs.sparkSession)
     codes = byte_codes(seed)
-    occ = space.write(map_rows(docs.where(F.octet_length("text") >= length), _keyed(length, codes), "key bigint, sub bigint, d bigint, t bigint, start bigint, n int"), "runs")
+    long = docs.where(F.octet_length("text") >= length)
+    occ = space.write(map_rows(long if within is None else long.join(within, ["d", "t"]), _keyed(length, codes), "key bigint, sub bigint, d bigint, t bigint, start bigint, n int"), "runs")
     # Bytes of all runs of a key, equal ones too, so a key that is not heavy fits a block.
     size = F.sum(F.col("n") + (length - 1))
     twice = occ.groupBy("key").agg(F.count(F.lit(1)).alias("c"), (F.min("sub") == F.max("sub")).alias("same"), (size > block // 2).alias("heavy")).where("c > 1").drop("c")
@@ -477,8 +523,9 @@ def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, ke
     cand, same = shared.where("not same").drop("same"), shared.where("same")
     stands = space.write(same.groupBy("key").agg(first).select("key", F.col("f.d").alias("fd"), F.col("f.t").alias("ft"), F.col("f.start").alias("fs")), "least")
     own = (F.struct("d", "t", "start") == F.struct("fd", "ft", "fs")).alias("own")
-    place, claim = ["d", "t", "start", "n", "fd", "ft", "fs"], f"d bigint, t bigint, p binary, c struct<{CLAIM.replace(' bigint', ': bigint')}>"
-    same = map_rows(same.join(stands, "key").select(*place, own), _whole(keep_first, length), claim)
+    run = lambda spans, firsts: F.struct("start", "n", "fd", "ft", "fs", own, spans.alias("spans"), firsts.alias("firsts")).alias("r")
+    none = F.lit(None).cast("binary")
+    same = same.join(stands, "key").select("d", "t", run(none, none))
     dist = space.write(cand.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("w"), first, F.max("n").alias("n"), F.first("heavy").alias("heavy")), "distinct")
     segs = dist.groupBy(F.col("f.d").alias("d"), F.col("f.t").alias("t")).agg(F.collect_list(F.struct("key", "sub", F.col("f.start").alias("start"), "n", "w", "heavy")).alias("segs"))
     ids = space.write(dist.select("f.d", "f.t").distinct(), "ids")
@@ -517,11 +564,10 @@ def repeated_windows(docs: DataFrame, space: Workspace, length: int = LENGTH, ke
         up = map_rows(up, _raised, result).groupBy("key", "sub").agg(joined("spans"), joined("firsts"), *(F.first(c).alias(c) for c in ("d", "t", "start")))
         found = space.write(solved.unionByName(up), "found")
     at = cand.join(found.withColumnsRenamed({"d": "fd", "t": "ft", "start": "fs"}), ["key", "sub"])
-    places = map_rows(at.select(*place, "spans", "firsts", own), _places(keep_first, length), claim)
-    each = places.unionByName(same).groupBy("d", "t").agg(F.collect_list("p").alias("p"), F.collect_list("c").alias("c"))
-    # Not those whose places all stand first.
-    each = each.where(F.exists("p", lambda x: F.length(x) > 0))
-    out = space.write(map_rows(each, _merged, f"d bigint, t bigint, p array<binary>, c array<struct<{CLAIM.replace(' bigint', ': bigint')}>>"), "windows")
+    places = at.select("d", "t", run(F.col("spans"), F.col("firsts") if keep_first else none))
+    each = places.unionByName(same).groupBy("d", "t").agg(F.collect_list("r").alias("r"))
+    schema = T._parse_datatype_string(f"d bigint, t bigint, p array<binary>, c array<struct<{CLAIM.replace(' bigint', ': bigint')}>>")
+    out = space.write(each.mapInArrow(_gathered(keep_first, length, schema), schema), "windows")
     space.drop(shared, stands, found, solved)
     return out
 
@@ -589,8 +635,13 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     once, members = (docs, None) if keep_first else _copies(docs, space, passage)
     windows = repeated_windows(once, space, passage, keep_first, seed=seed)
     if passage < length:
-        # A document without the shorter repeats has no longer ones.
-        longer = repeated_windows(_only(once, windows.select("d", "t")), space, length, keep_first, seed=seed).withColumnRenamed("c", "more")
+        if keep_first:  # then windows leave out first places
+            longer = repeated_windows(once, space, length, keep_first, seed=seed)
+        else:
+            # A longer string repeats where all shorter ones in it do; cut to that, most copies are equal runs.
+            within = space.write(map_rows(windows.select("d", "t", "p"), _stretches(length, passage), "d bigint, t bigint, within binary"), "within")
+            longer = repeated_windows(_only(once, within.select("d", "t")), space, length, keep_first, seed=seed, within=within)
+        longer = longer.withColumnRenamed("c", "more")
         short = windows.withColumnRenamed("p", "q").join(longer, ["d", "t"], "left")
         windows = short.select("d", "t", "p", "q", F.concat("c", F.coalesce("more", F.array().cast(windows.schema["c"].dataType))).alias("c"))
     else:
@@ -638,8 +689,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches):
-        import pyarrow as pa
-
         for b in sliced(batches):
             texts = []
             for x, spans, claims in zip(*(b.column(i).to_pylist() for i in (at, len(fields), len(fields) + 1))):
