@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import Workspace, map_rows, mix64, ship, sliced, unused
@@ -31,6 +31,8 @@ LEAST, MOST = 12, 512
 #: Bytes of consecutive copied chunks that count as a repeated substring.
 SHORTEST = 100
 PIECE = 1 << 20
+#: Bytes of texts, and texts at most, whose chunks are told apart before they are shuffled.
+BATCH, TEXTS = 8 << 20, 20_000
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 MASK = np.uint32(((1 << BITS) - 1) << (TOP - BITS))
 
@@ -67,24 +69,53 @@ def cuts(raw: bytes) -> np.ndarray:
     return ends
 
 
-def _chunked(batches):
+def _gathered(batches):
+    """Texts up to ``BATCH`` bytes and the one that passes it, by id and hash, in this order; a text given twice is there once."""
+    held, size = {}, 0
     for b in batches:
-        out = {c: [] for c in ("d", "t", "start", "size", "high", "low")}
         for d, t, text in zip(b["d"], b["t"], b["text"]):
-            raw = text.encode("utf-8", "replace")
-            ends = cuts(raw).tolist()
-            starts = [0, *ends[:-1]] if ends else []
-            out["d"] += [d] * len(ends)
-            out["t"] += [t] * len(ends)
-            out["start"] += starts
-            out["size"] += [e - s for s, e in zip(starts, ends)]
-            digests = np.frombuffer(b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts, ends)), np.int64).reshape(-1, 2)
-            out["high"] += digests[:, 0].tolist()
-            out["low"] += digests[:, 1].tolist()
-            if len(out["d"]) > 100_000:
-                yield out
-                out = {c: [] for c in out}
-        yield out
+            held[d, t] = raw = text.encode("utf-8", "replace")
+            size += len(raw)
+            if size >= BATCH or len(held) >= TEXTS:
+                yield dict(sorted(held.items()))
+                held, size = {}, 0
+    yield dict(sorted(held.items()))
+
+
+def _chunked(batches):
+    """One row for the first place of each chunk in a batch of texts, one of negative size for each run of other places.
+
+    Other places are copies, whatever the other batches hold.  Their runs have no digest but that of their text, so they meet no chunk.
+    """
+    for texts in _gathered(batches):
+        ends = [cuts(raw) for raw in texts.values()]
+        n = [len(e) for e in ends]
+        if not sum(n):
+            continue
+        start = np.concatenate([np.append(0, e[:-1]) if len(e) else e for e in ends])
+        ends = np.concatenate(ends)
+        doc = np.repeat(np.arange(len(n)), n)
+        digests = bytearray()
+        for raw, at, k in zip(texts.values(), np.cumsum(n) - n, n):
+            for s, e in zip(start[at : at + k].tolist(), ends[at : at + k].tolist()):
+                digests += hashlib.blake2b(raw[s:e], digest_size=16).digest()
+        high, low = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2).T
+        # A stable sort of rows that are in order of their places: the first of equal digests is the first place.
+        order = np.lexsort((low, high))
+        copied = np.zeros(len(doc), bool)
+        copied[order[1:]] = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+        begins = copied & np.append(True, ~copied[:-1] | (doc[1:] != doc[:-1]))
+        stops = copied & np.append(~copied[1:] | (doc[1:] != doc[:-1]), True)
+        d, t = np.array(list(texts), np.int64).T[:, doc]
+        first = ~copied
+        yield {
+            "d": np.concatenate([d[first], d[begins]]),
+            "t": np.concatenate([t[first], t[begins]]),
+            "start": np.concatenate([start[first], start[begins]]).astype(np.int32),
+            "size": np.concatenate([(ends - start)[first], start[begins] - ends[stops]]).astype(np.int32),
+            "high": np.concatenate([high[first], d[begins]]),
+            "low": np.concatenate([low[first], t[begins]]),
+        }
 
 
 def _runs(shortest: int):
@@ -114,17 +145,13 @@ def _identified(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, space: Workspace, shortest: int = SHORTEST) -> DataFrame:
     """(d, t, spans) for each document with repeated substrings: byte ranges whose chunks an earlier place holds."""
     ship(docs.sparkSession)
-    occ = space.write(map_rows(_identified(docs), _chunked, "d bigint, t bigint, start int, size int, high bigint, low bigint"), "chunks")
-    place = F.struct("d", "t", "start")
-    first = occ.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1").select("high", "low", "f")
-    # Written before it is joined, so Spark can split the join of a chunk that many texts hold.
-    first = space.write(first, "first")
-    copies = occ.join(first, ["high", "low"]).where(place != F.col("f")).select("d", "t", F.struct("start", "size").alias("c"))
+    places = map_rows(_identified(docs), _chunked, "d bigint, t bigint, start int, size int, high bigint, low bigint")
+    # A chunk has one row for each batch of texts that holds it, however many places it has there; equal places rank alike.
+    rank = F.rank().over(Window.partitionBy("high", "low", "size").orderBy("d", "t", "start"))
+    copies = places.withColumn("rank", rank).where("size < 0 OR rank > 1").select("d", "t", F.struct("start", F.abs("size").alias("size")).alias("c"))
     by_doc = copies.groupBy("d", "t").agg(F.collect_list("c").alias("chunks"))
     spans = map_rows(by_doc, _runs(shortest), "d bigint, t bigint, spans array<struct<begin: bigint, end: bigint>>").where(F.size("spans") > 0)
-    out = space.write(spans, "spans")
-    space.drop(occ)
-    return out
+    return space.write(spans, "spans")
 
 
 def removed_chunks(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
